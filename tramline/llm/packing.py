@@ -10,8 +10,12 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +26,12 @@ from pyspark.sql import functions as F
 from tramline.llm.text import whole
 
 TIERS, EOS, STEP_TOKENS = (512, 1024, 2048, 4096), 2, 32768
-CACHE = 400_000
-#: White space to str.split() but not to the tokenizer: texts with these are encoded in one piece.
-MARKS = ".,;:!?*$%&#()\"|-_"
-ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+CACHE = 500_000
+#: White space to str.split() but not to the tokenizer, letters whose lower case depends on what follows or is
+#: longer, and the head of special tokens: words of texts with these are looked up as they stand.
+ODD_SPACE, ODD = ("\x1c", "\x1d", "\x1e", "\x1f"), ("\u03a3", "\u0130", "<|")
+#: Marks between letters, digits or white space make a token run of their own.
+MARKS = re.compile(r"""[.,;:!?*$%&#()"|-](?<![^\w\s].)(?<!_.)[.,;:!?*$%&#()"|-]*(?![^\w\s]|_)""")
 ID_BITS = 33  # sequence_id: the task's partition, then a counter of so many bits
 
 
@@ -35,6 +41,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def words_of(text: str) -> list[str] | None:
+    """Pieces of a text that are encoded apart with the same ids as in it; None if it has to be encoded whole."""
+    if any(c in text for c in ODD_SPACE):
+        return None
+    low = text.lower()
+    if any(c in text for c in ODD) or not (is_normalized("NFC", text) and is_normalized("NFC", low)):
+        return text.split()
+    return MARKS.sub(r" \g<0> ", low).split()
+
+
 class Encoder:
     """Ids of whole texts. No token spans white space, so words are encoded once and looked up afterwards.
 
@@ -47,35 +63,32 @@ class Encoder:
 
         self.tokenizer, self.cache, self.older = Tokenizer.from_file(path), {}, {}
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > CACHE:
-            self.cache, self.older = {}, self.cache
-        missing = words.difference(self.cache)
-        self.cache.update((w, self.older[w]) for w in missing.intersection(self.older))
-        parts = {w: self._parts(w) for w in missing.difference(self.older)}
-        new = list(set().union(*parts.values()).difference(self.cache))
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[part] = np.array(found.ids, "<u4").tobytes()
-        self.cache.update((w, b"".join(map(self.cache.__getitem__, ps))) for w, ps in parts.items())
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        """Letters and the ASCII marks after them make tokens of their own; A-Z count as a-z."""
-        head = word.rstrip(MARKS)
-        if not (head.isalpha() and head.lower().isalpha()):
-            return (word,)
-        low = head.lower() if head.isascii() else head
-        return (low, word[len(head) :]) if len(head) < len(word) else (low,)
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.cache.get, words))
+        if None in found:
+            places = [i for i, ids in enumerate(found) if ids is None]
+            missing = {words[i] for i in places}
+            known = {w: ids for w in missing if (ids := self.older.get(w)) is not None}
+            new = list(missing.difference(known)) if known else list(missing)
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
+            for i in places:
+                found[i] = known[words[i]]
+            if len(self.cache) + len(known) > CACHE:
+                self.cache, self.older = known, self.cache
+            else:
+                self.cache.update(known)
+        return found
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        lists = [None if any(c in text for c in ODD_SPACE) else text.split() for text in texts]
-        self._learn(set().union(*[words for words in lists if words]))
+        lists = [words_of(text) for text in texts]
+        found, at = self._look_up(list(chain.from_iterable(words or () for words in lists))), 0
         end = np.uint32(EOS).tobytes()
         for text, words in zip(texts, lists, strict=True):
             if words is None:
                 yield np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, EOS], "<u4")
             else:
-                yield np.frombuffer(b"".join([*map(self.cache.__getitem__, words), end]), "<u4")
+                yield np.frombuffer(b"".join([*found[at : at + len(words)], end]), "<u4")
+                at += len(words)
 
 
 _encoders: dict[str, Encoder] = {}
