@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tramline.plans import aggregates, joins, pipelines, scalars, scans, windows  # noqa: F401
+from tramline.plans.registry import QUERIES, SQL  # noqa: F401
