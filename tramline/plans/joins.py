@@ -138,9 +138,9 @@ def stops_nearby(v):
     return near.join(served, F.col("stop_id") == F.col("id"), "left").select("id", "name", F.floor(F.col("d") + 0.5).cast("bigint").alias("metres"), F.coalesce("services", F.lit(0)).cast("bigint").alias("services"))
 
 
-@query(f"SELECT a.id AS a, b.id AS b, CAST(floor({geo.distance_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} + 0.5) AS BIGINT) AS metres FROM stops a JOIN stops b ON a.id < b.id AND abs(a.lat - b.lat) < 0.02 AND {geo.distance_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 1500")
+@query(f"SELECT a.id AS a, b.id AS b, CAST(floor({geo.distance_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} + 0.5) AS BIGINT) AS metres FROM stops a JOIN stops b ON a.id < b.id AND abs(a.lat - b.lat) < 0.2 AND {geo.distance_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 20000")
 def join_spatial_radius(v):
-    return spatial.radius_pairs(v.stops, 1500)
+    return spatial.radius_pairs(v.stops, 20000)
 
 
 @query("""WITH s AS (SELECT id, name, provider FROM stops), x AS (SELECT a.id, b.id AS twin, b.provider AS twin_provider, row_number() OVER (PARTITION BY a.id ORDER BY length(b.provider), b.provider, b.id) AS n FROM s a JOIN s b ON a.name = b.name AND a.provider <> b.provider WHERE a.provider = 'Brand#11')

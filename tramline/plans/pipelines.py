@@ -63,11 +63,11 @@ def _walk(labels: str) -> str:
     return f"SELECT w.b AS stop_id, min(l.minutes + CAST(greatest(1, floor(w.metres / 75 + 0.5)) AS BIGINT)) AS minutes FROM {labels} l JOIN walks w ON w.a = l.stop_id GROUP BY w.b"
 
 
-@query(f"WITH {WALKS}, l0 AS (SELECT id AS stop_id, id % 50 AS minutes FROM stops) SELECT stop_id, CAST(minutes AS BIGINT) AS minutes FROM ({_walk('l0')})")
+@query(f"WITH {WALKS.replace('<= 600', '<= 20000').replace('< 0.01', '< 0.2')}, l0 AS (SELECT id AS stop_id, id % 50 AS minutes FROM stops) SELECT stop_id, CAST(minutes AS BIGINT) AS minutes FROM ({_walk('l0')})")
 def graph_walk_round(v):
     from tramline.operators.spatial import radius_pairs
 
-    return journey.walk_round(v.stops.select(F.col("id").alias("stop_id"), (F.col("id") % 50).alias("minutes")), radius_pairs(v.stops, journey.WALK_M))
+    return journey.walk_round(v.stops.select(F.col("id").alias("stop_id"), (F.col("id") % 50).alias("minutes")), radius_pairs(v.stops, 20000))
 
 
 @query(f"""WITH {HOPS}, {CUM}, {WALKS}, {ORIGIN}, r1 AS ({_round('l0')}), w1 AS ({_walk('r1')}), l1 AS (SELECT stop_id, min(minutes) AS minutes FROM (FROM l0 UNION ALL FROM r1 UNION ALL FROM w1) GROUP BY stop_id),
@@ -77,11 +77,11 @@ def graph_plan(v):
     return journey.reach(origin, v.calls, v.stops, rounds=2)
 
 
-@query(f"SELECT a.id AS a, b.id AS b, CAST(greatest(1, floor({geo.distance_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} / CASE WHEN {geo.distance_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 2000 THEN 84 ELSE 499.8e0 END + 0.5)) AS INTEGER) AS minutes FROM stops a JOIN stops b ON a.id < b.id AND abs(a.lat - b.lat) < 0.03 AND {geo.distance_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 2500")
+@query(f"SELECT a.id AS a, b.id AS b, CAST(greatest(1, floor({geo.distance_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} / CASE WHEN {geo.distance_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 2000 THEN 84 ELSE 499.8e0 END + 0.5)) AS INTEGER) AS minutes FROM stops a JOIN stops b ON a.id < b.id AND abs(a.lat - b.lat) < 0.15 AND {geo.distance_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 15000")
 def graph_transfer_edge(v):
     from tramline.operators.spatial import radius_pairs
 
-    pairs = radius_pairs(v.stops, 2500).select("a", "b")
+    pairs = radius_pairs(v.stops, 15000).select("a", "b")
     at = lambda k: v.stops.select(F.col("id").alias(k), F.col("lat").alias(f"lat_{k}"), F.col("lng").alias(f"lng_{k}"))
     d = geo.distance_m(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
     p = pairs.join(at("a"), "a").join(at("b"), "b").withColumn("d", d)
@@ -208,9 +208,9 @@ def er_backfill_by_name(v):
     return named.filter("departs is null").dropDuplicates(["trip_id", "seq", "stop_id", "platform", "time_source"]).join(times, ["trip_id", "k"], "left").select("trip_id", "seq", "stop_id", F.col("t").alias("departs"))
 
 
-@query("SELECT r.id, r.agency || ' Stand' AS origin, r.provider AS destination FROM routes r WHERE r.id NOT IN (SELECT route_id FROM trips)")
+@query("SELECT r.id, r.agency || ' Stand' AS origin, r.provider AS destination FROM routes r WHERE r.id NOT IN (SELECT route_id FROM trips WHERE direction = 'P')")
 def er_fix_disconnected(v):
-    lost = v.routes.join(v.trips, v.routes.id == v.trips.route_id, "left_anti")
+    lost = v.routes.join(v.trips.filter("direction = 'P'"), v.routes.id == v.trips.route_id, "left_anti")
     origin, destination = text.route_ends(F.concat("agency", F.lit(" Stand to "), "provider"))
     return lost.select("id", origin.alias("origin"), destination.alias("destination"))
 

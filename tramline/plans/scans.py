@@ -85,10 +85,14 @@ def flt_regex(v):
     return v.calls.filter(F.col("departs").isNull() | ~F.col("departs").rlike("^0[0-9]:[0-5][0-9]$")).select("trip_id", "stop_id", "seq", "departs")
 
 
-@query("SELECT id, lat, lng FROM dense_stops WHERE (lat, lng) IN (SELECT (lat, lng) FROM dense_stops GROUP BY lat, lng HAVING count(*) > 1)")
+SNAP = "CAST(floor(lat * 5000) AS BIGINT), CAST(floor(lng * 5000) AS BIGINT)"
+
+
+@query(f"SELECT id, lat, lng FROM dense_stops WHERE ({SNAP}) IN (SELECT (y, x) FROM (SELECT CAST(floor(lat * 5000) AS BIGINT) AS y, CAST(floor(lng * 5000) AS BIGINT) AS x FROM dense_stops) GROUP BY y, x HAVING count(*) > 1)")
 def flt_tuple_in(v):
-    shared = v.dense_stops.groupBy("lat", "lng").count().filter("count > 1")
-    return v.dense_stops.join(shared, ["lat", "lng"], "left_semi").select("id", "lat", "lng")
+    p = v.dense_stops.withColumn("y", F.floor(F.col("lat") * 5000)).withColumn("x", F.floor(F.col("lng") * 5000))
+    shared = p.groupBy("y", "x").count().filter("count > 1")
+    return p.join(shared, ["y", "x"], "left_semi").select("id", "lat", "lng")
 
 
 @query("SELECT id, lat IS DISTINCT FROM 21.5e0 AS differs FROM stops")
@@ -190,9 +194,9 @@ def set_distinct(v):
     return v.stops.select("provider", "state").distinct()
 
 
-@query("SELECT DISTINCT id FROM routes WHERE id NOT IN (SELECT route_id FROM trips WHERE route_id IS NOT NULL)")
+@query("SELECT DISTINCT id FROM routes WHERE id NOT IN (SELECT route_id FROM trips WHERE route_id IS NOT NULL AND direction = 'P')")
 def set_difference(v):
-    return v.routes.select("id").distinct().join(v.trips.select(F.col("route_id").alias("id")), "id", "left_anti")
+    return v.routes.select("id").distinct().join(v.trips.filter("direction = 'P'").select(F.col("route_id").alias("id")), "id", "left_anti")
 
 
 @query("SELECT DISTINCT id FROM routes WHERE id IN (SELECT route_id FROM trips)")
