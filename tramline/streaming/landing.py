@@ -26,7 +26,7 @@ def run(stream: DataFrame, mode: str, target: str) -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{base}/{target}")
+    return stream.sparkSession.read.parquet(f"{base}/{target}/all" if mode == "complete" else f"{base}/{target}")
 
 
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
