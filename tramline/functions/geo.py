@@ -11,11 +11,12 @@ CELL = 0.01
 
 def distance_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return F.lit(2 * RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * RADIUS_M) * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))  # null stays null, which least() would skip
 
 
 def distance_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
-    return f"(12742000e0 * asin(least(1e0, sqrt(pow(sin(radians({lat2} - ({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lng2} - ({lng1})) / 2), 2)))))"
+    a = f"(pow(sin(radians({lat2} - ({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lng2} - ({lng1})) / 2), 2))"
+    return f"(12742000e0 * asin(CASE WHEN {a} > 1 THEN 1e0 ELSE sqrt({a}) END))"
 
 
 def minutes_for(metres: Column, kmh: float) -> Column:

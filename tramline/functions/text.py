@@ -129,7 +129,7 @@ def candidate_kind(c: Column) -> Column:
     low = F.trim(F.lower(c))
     has = lambda *ws: reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in ws])
     label = reduce(Column.__or__, [(low == w) | low.startswith(f"{w} ") | low.endswith(f" {w}") for w in UI_LABELS])
-    parts = F.filter(F.transform(F.split(low, r"\bto\b|-|→"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(low, r"\bto\b|-|→"), lambda p: F.trim(p)), lambda p: p != "")
     first, last = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(-1))
     two = (F.length(c) > 5) & (F.size(parts) >= 2)
     bad = (first == last) | (F.length(first) < 3) | (F.length(last) < 3)
