@@ -201,6 +201,8 @@ def cued(text: str, cues: list[int]) -> list[tuple[str, int, int]]:
             while len(value) >= 15 and not iban_ok(value):
                 stop -= 1
                 value = text[start:stop].replace(" ", "").upper()
+            while text[stop - 1] == " ":
+                stop -= 1
             if iban_ok(value):
                 out.append(("iban", start, stop))
                 free = stop
