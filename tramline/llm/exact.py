@@ -8,6 +8,7 @@ and only those are shuffled and grouped by their hash; all others pass straight
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramline.llm.text import ascii_lower, whole
@@ -16,6 +17,7 @@ from tramline.session import cut
 #: Cells a row in each plane, and the most cells (bits) of a plane: 16 MB, so at most 32 MB are broadcast.
 #: With more rows than a filter of that size can tell apart, more rows are grouped; results stay the same.
 CELLS_PER_ROW, MAX_CELLS = 16, 1 << 27
+TEMP = "__tramline_"  # of columns that are added to a caller's rows for a while
 PAGE = 32768  # bits of one bitmap_construct_agg value
 
 
@@ -36,11 +38,11 @@ def maybe_repeated(rows: DataFrame, hashed: str, filters: DataFrame, cells: int,
     out, tests = rows, []
     for p in (0, 1):
         cell = _cell(F.col(hashed), p, cells)
-        side = filters.filter(F.col("plane") == p).select(F.col("page").alias(f"_page{p}"), F.col("bits").alias(f"_bits{p}"))
-        out = out.join(F.broadcast(side), (cell / PAGE).cast("bigint") == F.col(f"_page{p}"), "left")
-        byte = F.conv(F.hex(F.substring(F.col(f"_bits{p}"), (cell % PAGE / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+        side = filters.filter(F.col("plane") == p).select(F.col("page").alias(f"{TEMP}page{p}"), F.col("bits").alias(f"{TEMP}bits{p}"))
+        out = out.join(F.broadcast(side), (cell / PAGE).cast("bigint") == F.col(f"{TEMP}page{p}"), "left")
+        byte = F.conv(F.hex(F.substring(F.col(f"{TEMP}bits{p}"), (cell % PAGE / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
         tests.append(F.coalesce(F.getbit(byte, (cell % 8).cast("int")) == 1, F.lit(False)))
-    return out.withColumn(flag, tests[0] & tests[1]).drop("_page0", "_page1", "_bits0", "_bits1")
+    return out.withColumn(flag, tests[0] & tests[1]).drop(*[f"{TEMP}{k}{p}" for k in ("page", "bits") for p in (0, 1)])
 
 
 def cells_for(n: int) -> int:
@@ -70,8 +72,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.withColumn("kept", F.col("i").eqNullSafe(F.col("keep_id")))
     if not again.isEmpty():
         marked = rows.join(again.select(F.col("h").alias("_h"), F.col("i").alias("_i"), F.lit(True).alias("_again")), (F.col("h") == F.col("_h")) & F.col("i").eqNullSafe(F.col("_i")), "left")
-        from pyspark.sql import Window as W
-
         first = F.row_number().over(W.partitionBy("h", "i").orderBy("group_size")) == 1
         rows = marked.filter("_again is null").drop("_h", "_i", "_again").unionByName(marked.filter("_again").withColumn("kept", F.col("kept") & first).drop("_h", "_i", "_again"))
     alone = alone.select("i", "h", F.col("i").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
@@ -84,18 +84,17 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows that the filter clears keep their place; only the others are shuffled, with their texts, by id and
     hash, so a large group of copies is spread. Nulls and ties as in exact_dedup().
     """
-    from pyspark.sql import Window as W
-
-    hashed = docs.withColumn("_h", text_hash(F.col(text_col)))
-    slim = cut(hashed.select(F.col(id_col).alias("i"), F.col("_h").alias("h")))
+    h, kh, ki, maybe, n = (f"{TEMP}{k}" for k in ("h", "kh", "ki", "maybe", "n"))
+    hashed = docs.withColumn(h, text_hash(F.col(text_col)))
+    slim = cut(hashed.select(F.col(id_col).alias("i"), F.col(h).alias("h")))
     cells = cells_for(slim.count())
     filters = cut(repeated_cells(slim, "h", cells))
     keep = maybe_repeated(slim, "h", filters, cells, "maybe").filter("maybe").groupBy("h").agg(F.max("i").alias("i"))
-    keep = cut(keep.select(F.col("h").alias("_kh"), F.col("i").alias("_ki")))
-    tested = maybe_repeated(hashed, "_h", filters, cells, "_maybe")
-    alone = tested.filter("not _maybe").select(docs.columns)
-    some = tested.filter("_maybe").join(keep, (F.col("_h") == F.col("_kh")) & F.col(id_col).eqNullSafe(F.col("_ki")), "left_semi")
-    first = some.withColumn("_n", F.row_number().over(W.partitionBy("_h", id_col).orderBy(F.lit(0)))).filter("_n = 1")
+    keep = cut(keep.select(F.col("h").alias(kh), F.col("i").alias(ki)))
+    tested = maybe_repeated(hashed, h, filters, cells, maybe)
+    alone = tested.filter(~F.col(maybe)).select(docs.columns)
+    some = tested.filter(maybe).join(keep, (F.col(h) == F.col(kh)) & F.col(id_col).eqNullSafe(F.col(ki)), "left_semi")
+    first = some.withColumn(n, F.row_number().over(W.partitionBy(h, id_col).orderBy(F.lit(0)))).filter(F.col(n) == 1)
     return alone.unionByName(first.select(docs.columns))
 
 

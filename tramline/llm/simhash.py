@@ -176,5 +176,5 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat the id that stays are one document and stay together; a row without an id stays.
     """
-    drop = near_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("_d"), "left_anti")
+    drop = near_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__tramline_id")).distinct()
+    return docs.join(drop, F.col("doc_id") == F.col("__tramline_id"), "left_anti")
