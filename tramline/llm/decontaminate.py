@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.llm.held import held
 from tramline.llm.text import whole
 
 SIMILARITY = 0.8  # 1 - edits / words of the item, at least
@@ -27,7 +28,7 @@ WALKS, TABLES, SEED = 2, 8, 5
 UNKNOWN = 4096  # symbols for words of no item
 KNOWN_SHARE = 0.7  # of the words of a window that may be hashed
 BLOCK_WORDS = 1_000_000  # words of the items that are matched in one pass
-TOKENS, CACHE, BITS = 1 << 17, 400_000, 22
+TOKENS, CACHE, SLICE, BITS = 1 << 17, 300_000, 1024, 22
 STRIP = ".,;:!?()[]{}\"'*$%&#|<>-_"
 
 
@@ -180,16 +181,6 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
             yield items
 
 
-_matchers: dict[int, Matcher] = {}
-
-
-def _matcher(sent, key: str) -> Matcher:
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher([w for _, w in sent.value])
-    return _matchers[key]
-
-
 def _key(items: list) -> str:
     return f"{len(items)}-{zlib.crc32(repr(items).encode('utf-8', 'surrogatepass'))}"
 
@@ -202,8 +193,8 @@ def _leaks(text: Column, items: list[tuple[int, list[str]]], spark) -> Column:
 
     @F.pandas_udf(LEAK)
     def leaks(texts: pd.Series) -> pd.Series:
-        found = _matcher(sent, key).find(texts.tolist())
-        ids = sent.value
+        matcher, ids = held(f"leaks-{key}", lambda: Matcher([w for _, w in sent.value])), sent.value
+        found = [f for k in range(0, len(texts), SLICE) for f in matcher.find(texts.iloc[k : k + SLICE].tolist())]
         return pd.Series([[{"item_id": ids[i][0], "edits": e, "item_words": len(ids[i][1]), "end_word": end} for i, (e, end) in sorted(f.items())] for f in found])
 
     return leaks(whole(text))

@@ -23,10 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramline.llm.held import held
 from tramline.llm.text import whole
 
 TIERS, EOS, STEP_TOKENS = (512, 1024, 2048, 4096), 2, 32768
-CACHE = 500_000
+CACHE = 350_000
 #: White space to str.split() but not to the tokenizer, letters whose lower case depends on what follows or is
 #: longer, and the head of special tokens: words of texts with these are looked up as they stand.
 ODD_SPACE, ODD = ("\x1c", "\x1d", "\x1e", "\x1f"), ("\u03a3", "\u0130", "<|")
@@ -91,13 +92,8 @@ class Encoder:
                 at += len(words)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(f"tokens-{path}", lambda: Encoder(path))
 
 
 class Packer:

@@ -18,10 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.llm.held import held
 from tramline.llm.labelled import training_rows
 from tramline.llm.text import held_out, whole
 
-WORDS, RANK, THRESHOLD = 1 << 16, 8, 0.5
+WORDS, RANK, THRESHOLD, CACHE = 1 << 16, 8, 0.5, 300_000
 BINS = 16
 STATS = ["upper", "digit", "symbol", "space", "other_end", "word_length", "distinct", "top_word", "adjacent", "repeated_lines", "pipes", "line_words", "sentence_words", "short_words", "chars", "words"]
 SIZE = WORDS + BINS * len(STATS)
@@ -55,17 +56,15 @@ def statistics(text: str, words: list[str], counts: Counter) -> list[float]:
     ]
 
 
-_buckets: dict[str, int] = {}
-
-
-def _bucket(word: str) -> int:
+class _Buckets(dict):
     """A word's bucket without marks around it and in lower case; -1 if only marks."""
-    if (b := _buckets.get(word)) is None:
-        if len(_buckets) > 400_000:
-            _buckets.clear()
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE:
+            self.clear()
         key = word.strip(STRIP).lower()
-        b = _buckets[word] = zlib.crc32(key.encode("utf-8", "surrogatepass")) % WORDS if key else -1
-    return b
+        self[word] = b = zlib.crc32(key.encode("utf-8", "surrogatepass")) % WORDS if key else -1
+        return b
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +72,9 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     counts = Counter(words)
     bags: dict[int, int] = {}
+    buckets = held("quality-words", _Buckets)
     for word, n in counts.items():
-        if (b := _bucket(word)) >= 0:
+        if (b := buckets[word]) >= 0:
             bags[b] = bags.get(b, 0) + n
     stats = np.array(statistics(text, words, counts))
     bins = WORDS + BINS * np.arange(len(STATS)) + np.minimum((stats * BINS).astype(int), BINS - 1)

@@ -20,13 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.llm.held import held
 from tramline.llm.labelled import training_rows
 from tramline.llm.text import held_out, whole
 
 BUCKETS, DIM, SPAN = 1 << 17, 8, 24
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W_]+(?:[@$*'!0-9][^\W_]+)*")
-CACHE = 400_000
+CACHE, SLICE = 250_000, 256  # words whose sums are kept; texts that are split into words at a time
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,9 +189,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return train(rows["text"].tolist(), rows["y"].to_numpy(), prior)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 class _Sent:
     """A broadcast model with a name that workers know it by."""
 
@@ -203,21 +201,14 @@ class _Sent:
 
 
 
-def _scorer(sent) -> Scorer:
-    """The worker's scorer of a broadcast model; only the last is kept."""
-    if sent.id not in _scorers:
-        _scorers.clear()
-        _scorers[sent.id] = Scorer(ToxicityModel(*sent.value))
-    return _scorers[sent.id]
-
-
 def toxicity_score(text: Column, model: ToxicityModel, spark) -> Column:
     """Score in 0..1 of whole texts; a null counts as empty, and a text without words has the prior's score."""
     sent = _Sent(spark.sparkContext.broadcast((model.weight, model.bias, model.slope, model.shift)))  # half a megabyte
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(_scorer(sent)(texts.tolist()), dtype=float)
+        score_all = held(f"toxicity-{sent.id}", lambda: Scorer(ToxicityModel(*sent.value)))
+        return pd.Series([s for k in range(0, len(texts), SLICE) for s in score_all(texts.iloc[k : k + SLICE].tolist())], dtype=float)
 
     return score(whole(text))
 
