@@ -132,3 +132,41 @@ def test_polygon_and_hull(spark):
     assert rows(pts.filter(spatial.in_polygon(F.col("lat"), F.col("lng"), ring)).select("id")) == [(1,), (5,)]
     hull = spatial.hulls(pts, "k").first()
     assert (hull["corners"], round(hull["south"], 3), round(hull["east"], 3)) == (4, 0.9, 3.1)
+
+
+def test_paths_add_up_and_match_costs(spark):
+    stops = spark.createDataFrame([(i, 22.0 + i / 100, 88.0) for i in range(12)], "id bigint, lat double, lng double")
+    rng = random.Random(4)
+    calls = [(t, s, n, 0, 0, None, "A") for t in range(8) for n, s in enumerate(rng.sample(range(12), 4))]
+    df = spark.createDataFrame(calls, "trip_id bigint, stop_id bigint, seq bigint, platform bigint, minute bigint, departs string, time_source string")
+    origin = spark.createDataFrame([(0, 0)], "stop_id bigint, minutes bigint")
+    paths = {r["stop_id"]: r for r in journey.reach_paths(origin, df, stops).collect()}
+    costs = {r["stop_id"]: r["minutes"] for r in journey.reach(origin, df, stops.withColumn("lat", F.col("lat") + F.col("id")), rounds=0).collect()}
+    assert costs == {0: 0} and paths[0]["minutes"] == 0
+    for r in paths.values():
+        at = 0
+        for leg in r["path"]:
+            order = [c[1] for c in calls if c[0] == leg["trip_id"]]
+            assert leg["board"] == at and order.index(leg["board"]) < order.index(leg["alight"])
+            at = leg["alight"]
+        assert at == r["stop_id"] and len(r["path"]) <= 2
+    some = next(s for s, r in paths.items() if r["path"])
+    options = journey.alternatives(origin, df, stops, some).collect()
+    assert options[0]["minutes"] == paths[some]["minutes"] and len({o["trips"] for o in options}) == len(options)
+
+
+def test_structured_pages(spark):
+    from tramline.operators import mapping
+    from tramline.sources import pages
+
+    html = [
+        (1, "<section data-metro-line='Purple'><ul><li data-station-name='A' data-sequence='1' data-interchange='true'>A</li><li data-station-name='B' data-sequence='x'>B</li></ul></section><li data-station-name='C' data-sequence='3'>"),
+        (2, "<table class='table table-striped'><tr><td>Bus Name</td><td> X  Y </td></tr></table><div class='row sud'><div>1</div><div>06:10</div><div>P</div><div>_ _ : _ _</div></div><div class='row sud'><div>2</div><div>06:40</div><div>Q</div><div>18:05</div></div>"),
+        (3, None),
+    ]
+    df = spark.createDataFrame(html, "page_id bigint, html string")
+    assert sorted(tuple(r)[1:] for r in pages.metro_lines(df).collect()) == [("Purple", "A", 1, True), ("Purple", "B", None, False)]
+    detail = pages.bus_detail(df)
+    assert [tuple(r)[3:5] for r in detail.filter("kind = 'field'").collect()] == [("Bus Name", "X Y")]
+    both = mapping.up_down(pages.bus_calls(detail)).orderBy("direction", "seq").collect()
+    assert [(r["direction"], r["stop"], r["at"]) for r in both] == [("DOWN", "Q", "18:05"), ("DOWN", "P", None), ("UP", "P", "06:10"), ("UP", "Q", "06:40")]
