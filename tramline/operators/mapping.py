@@ -66,3 +66,16 @@ def routes_from_links(links: DataFrame) -> DataFrame:
     origin, destination = text.route_ends(F.col("label"))
     rows = links.withColumn("origin", origin).withColumn("destination", destination).filter("origin is not null").withColumn("k", text.route_key(F.col("origin"), F.col("destination")))
     return distinct_on(rows, ["k"], [F.col("id")]).select("id", "origin", "destination")
+
+
+def api_trips(trips: DataFrame, calls: DataFrame) -> DataFrame:
+    """Timed calls of each trip; of a trip without any, its first and last stop with the trip's own times.
+
+    Calls without a stop are dropped, and so are trips of fewer than two calls that have no times.
+    """
+    known = calls.filter("stop_id is not null")
+    at = F.struct("seq", "stop_id", "platform")
+    ends = known.groupBy("trip_id").agg(F.count("at").alias("timed"), F.count("*").alias("n"), F.min_by("stop_id", at).alias("a"), F.max_by("stop_id", at).alias("b")).filter("timed = 0 and n >= 2")
+    two = F.array(F.struct(F.col("a").alias("stop_id"), F.lit(1).cast("bigint").alias("seq"), F.col("starts").alias("at")), F.struct(F.col("b").alias("stop_id"), F.lit(2).cast("bigint").alias("seq"), F.col("ends").alias("at")))
+    own = ends.join(trips, "trip_id").select("trip_id", F.explode(two).alias("c")).select("trip_id", "c.*").filter("at is not null")
+    return known.filter("at is not null").select("trip_id", "stop_id", "seq", "at").unionByName(own)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,7 +75,12 @@ GTFS_ROW = T.StructType([T.StructField("feed", T.StringType()), T.StructField("f
 
 
 def gtfs_rows(spark: SparkSession, path: str, batch: int = 5000) -> DataFrame:
-    """Rows of every .txt member of GTFS archives: feed, file, row and fields by name. Members are read as streams, rows leave in batches."""
+    """archive_rows() of the archives at `path`."""
+    return archive_rows(spark.read.format("binaryFile").load(path), batch)
+
+
+def archive_rows(files: DataFrame, batch: int = 5000) -> DataFrame:
+    """Rows of every .txt member of GTFS archives (path, content): feed, file, row and fields by name. Members are read as streams, rows leave in batches."""
 
     def read(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -92,15 +97,27 @@ def gtfs_rows(spark: SparkSession, path: str, batch: int = 5000) -> DataFrame:
                     if rows:
                         yield pd.DataFrame(rows, columns=GTFS_ROW.names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, GTFS_ROW)
+    return files.select("path", "content").mapInPandas(read, GTFS_ROW)
 
 
-def gtfs_table(rows: DataFrame, file: str, names: list[str]) -> DataFrame:
-    """One file of gtfs_rows() as columns; a field that the feed lacks is an empty string."""
-    return rows.filter(F.col("file") == file).select("feed", *[F.coalesce(F.col("fields")[n], F.lit("")).alias(n) for n in names])
+def gtfs_table(rows: DataFrame, file: str, names: list[str], keep: Sequence[str] = ()) -> DataFrame:
+    """One file of gtfs_rows() as columns, with those of `keep`; a field that the feed lacks is an empty string."""
+    return rows.filter(F.col("file") == file).select("feed", *keep, *[F.coalesce(F.col("fields")[n], F.lit("")).alias(n) for n in names])
 
 
 def candidates(pages: DataFrame) -> DataFrame:
     """Texts of list items with what they are."""
     item = F.explode(cells(F.col("html"), "li")).alias("c")
     return pages.select("page_id", item).select("page_id", F.col("c")[0].alias("label")).withColumn("kind", text.candidate_kind(F.col("label")))
+
+
+HARVEST = "nodes array<struct<externalId:string>>, routePatterns array<struct<externalId:string>>, trips array<struct<stopTimes:array<struct<arrivalTime:string,departureTime:string>>>>"
+
+
+def harvests(files: DataFrame) -> DataFrame:
+    """Harvest files (column body) with their numbers of nodes, routes and timed trips, and why one is refused, if it is."""
+    h, none = F.from_json("body", HARVEST), F.lit(0)
+    count = lambda c: F.coalesce(F.size(c), none).cast("bigint")
+    timed = F.filter("h.trips", lambda t: F.exists(t["stopTimes"], lambda s: F.coalesce(s["departureTime"], s["arrivalTime"]).isNotNull()))
+    out = files.withColumn("h", h).withColumns({"nodes": F.greatest(count("h.nodes"), none), "routes": F.greatest(count("h.routePatterns"), none), "timed": F.greatest(count(timed), none)}).drop("h")
+    return out.withColumn("refused", F.when(F.col("nodes") == 0, "NO_NODES").when(F.col("routes") == 0, "NO_ROUTES").when(F.col("timed") == 0, "NO_TIMED_TRIPS"))
