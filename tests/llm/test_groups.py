@@ -194,6 +194,29 @@ def test_leaks_against_all_positions(spark, sf_dir):
     assert decontaminate.find_leaks(docs(spark, []), items).count() == 0
 
 
+def test_every_item_with_all_its_edits_is_found():
+    rng, items, texts = random.Random(3), [], []
+    for n in [*range(1, 31), 40, 60, 100] * 12:
+        words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        items.append(list(words))
+        for _ in range(n // 5):
+            at = rng.randrange(len(words))
+            rng.choice([lambda: words.__setitem__(at, "zz"), lambda: words.pop(at), lambda: words.insert(at, "qq")])()
+        texts.append(" ".join(["xx"] * rng.randint(0, 30) + words + ["yy"] * rng.randint(0, 30)))
+    found = decontaminate.Matcher(items).find(texts)
+    assert [i for i, f in enumerate(found) if i not in f] == []
+    ids = {w: k for k, w in enumerate(sorted({w for x in items for w in x}))}
+    for i in range(0, len(items), 7):
+        own = np.array([ids.get(w, -1) for w in texts[i].split()])
+        assert found[i][i][0] == decontaminate.edit_distance(np.array([ids[w] for w in items[i]]), own)[0]
+
+
+def test_words_of_marks_only_count_in_no_text():
+    item = decontaminate.item_words("one - two three -- four five")
+    text = "- so: one - two *** three\n-- four ; five ... and more"
+    assert decontaminate.Matcher([item]).find([text, "- -"]) == [{0: (0, text.split().index("five") + 1)}, {}]
+
+
 def auc(scores, y):
     order = np.argsort(scores, kind="stable")
     rank = np.empty(len(order))

@@ -3,8 +3,9 @@
 A CGK walk reads a window of words with a pointer: each step puts out the word under it and moves on if a random bit,
 fixed for that step and word, says so. Windows within a small edit distance fall into step again after each edit, so
 their outputs have a small Hamming distance. Bit sampling hashes the output at a few steps; several walks,
-samples and windows along each item make it likely that one of them meets. What meets is verified by the exact
-edit distance between the item and the text around the place.
+samples and windows along each item make it likely that one of them meets. What they miss is found by parts: an item
+that may have k edits is cut into k + 1 parts, one of which stands unchanged in whatever holds the item. What meets
+either way is verified by the exact edit distance between the item and the text around the place.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ SIMILARITY = 0.8  # 1 - edits / words of the item, at least
 CLASSES = ((12, 20, 5), (4, 6, 3), (1, 1, 1))
 WALKS, TABLES, SEED = 2, 8, 5
 UNKNOWN = 4096  # symbols for words of no item
+NONE = -1  # for a word of marks only, which counts neither in items nor in texts
 KNOWN_SHARE = 0.7  # of the words of a window that may be hashed
 BLOCK_WORDS = 1_000_000  # words of the items that are matched in one pass
 TOKENS, CACHE, SLICE, BITS = 1 << 17, 300_000, 1024, 22
@@ -37,7 +39,7 @@ def normal(word: str) -> str:
 
 
 class _Symbols(dict):
-    """Word as it stands to its symbol: of an item's word, or one of the UNKNOWN ones after them."""
+    """Word as it stands to its symbol: of an item's word, one of the UNKNOWN ones after them, or NONE."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
@@ -48,7 +50,9 @@ class _Symbols(dict):
             self.clear()
         key = normal(word)
         found = self.vocabulary.get(key)
-        self[word] = found = len(self.vocabulary) + zlib.crc32(key.encode("utf-8", "surrogatepass")) % UNKNOWN if found is None else found
+        if found is None:
+            found = len(self.vocabulary) + zlib.crc32(key.encode("utf-8", "surrogatepass")) % UNKNOWN if key else NONE
+        self[word] = found
         return found
 
 
@@ -91,6 +95,28 @@ class Matcher:
                     where.setdefault(key, set()).add(spot)
                 seen[column >> np.uint64(64 - BITS)] = True
             self.classes.append((window, steps, moves, samples, salts, seen, where))
+        self.salts = rng.integers(1, 1 << 63, max(map(len, self.items), default=0) + 1, dtype=np.uint64) | np.uint64(1)
+        spots_of: dict[int, list[tuple[int, int]]] = {}  # by words of a part
+        for i, x in enumerate(self.items):
+            cuts = [k * len(x) // (self.edits[i] + 1) for k in range(self.edits[i] + 2)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                spots_of.setdefault(high - low, []).append((i, low))
+        text = np.concatenate([*self.items, np.zeros(0, np.int64)])
+        begin = np.cumsum([0, *map(len, self.items)])
+        self.parts = []
+        for length, spots in sorted(spots_of.items()):
+            keys, seen, where = self._hash_part(text, np.array([begin[i] + o for i, o in spots]), length), np.zeros(1 << BITS, bool), {}
+            for spot, key in zip(spots, keys.tolist(), strict=True):
+                where.setdefault(key, set()).add(spot)
+            seen[keys >> np.uint64(64 - BITS)] = True
+            self.parts.append((length, seen, where))
+
+    def _hash_part(self, text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+        h = np.full(len(starts), np.uint64(length))
+        for k in range(length):
+            h = (h ^ text[starts + k].astype(np.uint64) * self.salts[k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h * np.uint64(0xBF58476D1CE4E5B9)
 
     def _hash(self, text: np.ndarray, starts: np.ndarray, moves: np.ndarray, samples: np.ndarray, salts: np.ndarray) -> list[np.ndarray]:
         """A hash of each walk's sampled outputs from `starts`, by walk and table."""
@@ -114,47 +140,58 @@ class Matcher:
         part, count = [], 0
         for i, text in enumerate(texts):
             words = text.split()
-            part.append((i, np.fromiter(map(self.symbols.__getitem__, words), np.int64, len(words))))
+            symbols = np.fromiter(map(self.symbols.__getitem__, words), np.int64, len(words))
+            kept = np.flatnonzero(symbols != NONE)
+            part.append((i, symbols[kept], kept))
             count += len(words)
             if count > TOKENS or i + 1 == len(texts):
                 self._scan(part, found)
                 part, count = [], 0
         return found
 
-    def _scan(self, part: list[tuple[int, np.ndarray]], found: list[dict[int, tuple[int, int]]]) -> None:
+    def _scan(self, part: list[tuple[int, np.ndarray, np.ndarray]], found: list[dict[int, tuple[int, int]]]) -> None:
         gap = np.full(max((c[1] for c in self.classes), default=0) + 1, self.pad)
-        text = np.concatenate([x for _, words in part for x in (words, gap)])
-        begin = np.cumsum([0, *[len(words) + len(gap) for _, words in part]])
+        text = np.concatenate([x for _, words, _ in part for x in (words, gap)])
+        begin = np.cumsum([0, *[len(words) + len(gap) for _, words, _ in part]])
         known = np.concatenate(([0], np.cumsum(text < self.size)))
+        places: set[tuple[int, int, int]] = set()
         for window, _, moves, samples, salts, seen, where in self.classes:
             end = np.minimum(np.arange(len(text)) + window, len(text))
             starts = np.flatnonzero((known[end] - known[:-1] >= math.ceil(KNOWN_SHARE * window)) & (text != self.pad))
-            places: set[tuple[int, int, int]] = set()
             for k in range(0, len(starts), 1 << 18):
                 some = starts[k : k + (1 << 18)]
                 for column in self._hash(text, some, moves, samples, salts):
-                    for hit in np.flatnonzero(seen[column >> np.uint64(64 - BITS)]).tolist():
-                        for item, offset in where.get(int(column[hit]), ()):
-                            place = int(some[hit])
-                            owner = int(np.searchsorted(begin, place, side="right")) - 1
-                            places.add((owner, item, place - int(begin[owner]) - offset))
-            done: set[tuple[int, int, int]] = set()
-            for owner, item, at in sorted(places):
-                # Places a few words apart look at the same region.
-                slack = self.edits[item] + 2
-                key = (owner, item, at // (slack + 1))
-                if key in done:
-                    continue
-                done.add(key)
-                self._verify(part[owner], item, at, 2 * slack, found)
-
-    def _verify(self, text: tuple[int, np.ndarray], item: int, at: int, slack: int, found: list[dict[int, tuple[int, int]]]) -> None:
+                    self._meet(column, some, seen, where, begin, places)
+        for length, seen, where in self.parts:
+            starts = np.flatnonzero(known[length:] - known[:-length] == length)  # an item's part has only known words
+            for k in range(0, len(starts), 1 << 18):
+                some = starts[k : k + (1 << 18)]
+                self._meet(self._hash_part(text, some, length), some, seen, where, begin, places)
+        done: set[tuple[int, int, int]] = set()
+        for owner, item, at in sorted(places):
+            # Places a few words apart look at the same region.
+            slack = self.edits[item] + 2
+            key = (owner, item, at // (slack + 1))
+            if key in done:
+                continue
+            done.add(key)
+            self._verify(part[owner], item, at, 2 * slack, found)
+
+    def _meet(self, column: np.ndarray, starts: np.ndarray, seen: np.ndarray, where: dict[int, set[tuple[int, int]]], begin: np.ndarray, places: set[tuple[int, int, int]]) -> None:
+        """Adds to `places` the text, item and first word of each start whose hash is an item's."""
+        for hit in np.flatnonzero(seen[column >> np.uint64(64 - BITS)]).tolist():
+            for item, offset in where.get(int(column[hit]), ()):
+                place = int(starts[hit])
+                owner = int(np.searchsorted(begin, place, side="right")) - 1
+                places.add((owner, item, place - int(begin[owner]) - offset))
+
+    def _verify(self, text: tuple[int, np.ndarray, np.ndarray], item: int, at: int, slack: int, found: list[dict[int, tuple[int, int]]]) -> None:
         best = found[text[0]].get(item)
         if best and best[0] == 0:
             return
-        words, target = text[1], self.items[item]
+        (_, words, kept), target = text, self.items[item]
         if at >= 0 and np.array_equal(words[at : at + len(target)], target):
-            found[text[0]][item] = (0, at + len(target))
+            found[text[0]][item] = (0, int(kept[at + len(target) - 1]) + 1)
             return
         low = max(0, at - slack)
         region = words[low : at + len(target) + slack]
@@ -162,7 +199,7 @@ class Matcher:
             return  # each word that the region lacks is an edit
         edits, end = edit_distance(target, region)
         if edits <= self.edits[item] and (best is None or edits < best[0]):
-            found[text[0]][item] = (edits, low + end)
+            found[text[0]][item] = (edits, int(kept[low + end - 1]) + 1)
 
 
 def item_words(text: str | None) -> list[str]:
@@ -204,7 +241,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per text and item that it holds: doc_id, item_id, edits, item_words, end_word, similarity.
 
     An item is held if some part of the text is within edit distance (1 - SIMILARITY) x its words, words
-    compared in lower case without marks around them. edits is the smallest distance, end_word the
+    compared in lower case without marks around them, and words of marks only left out. edits is the smallest distance, end_word the
     number of words up to that part's end. Null and empty texts and items hold and match nothing;
     repeated rows give repeated rows; items that repeat an id count each on its own.
     """
