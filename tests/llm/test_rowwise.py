@@ -48,6 +48,27 @@ def test_every_licence_sentence_holds_a_cue_and_rules_name_known_ones():
     assert len(licenses.known()) == len(licenses.SENTENCES)
 
 
+def test_every_licence_sentence_and_rule_is_found_in_its_own_text(spark):
+    def listed(ids, gap, wrap):
+        return gap.join(re.sub(r"(.{30}\S*) ", r"\1\n", licenses.SENTENCES[k]) if wrap else licenses.SENTENCES[k] for k in ids)
+
+    cases = [[k] for k in licenses.SENTENCES] + [r[3] for r in licenses.RULES]
+    forms = [("\n", False), ("\n\n", False), ("\n\n", True)]  # the last only as wrapped
+    rows = [(i * 3 + j, listed(ids, *form)) for i, ids in enumerate(cases) for j, form in enumerate(forms)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    for i, ids in enumerate(cases):
+        assert [got[i * 3 + j]["sentence_ids"] for j in range(3)] == [",".join(ids)] * 3
+        assert all(got[i * 3 + j]["n_sentences"] == len(ids) for j in range(3))
+    for i, r in enumerate(licenses.RULES, len(licenses.SENTENCES)):
+        assert all(r[0] in got[i * 3 + j]["rules"].split(",") and r[1] in got[i * 3 + j]["licenses"].split(",") for j in range(3))
+
+
+def test_parts_of_a_licence_sentence_count_only_together(spark):
+    first, second = "This program is free software: ", licenses.SENTENCES["S12"].split(": ", 1)[1]
+    assert found(spark, first)["n_sentences"] == found(spark, second)["n_sentences"] == found(spark, f"{first}or not. {second}")["n_sentences"] == 0
+    assert found(spark, "Under the GNU License, v. 2.0.")["n_sentences"] == 0 and found(spark, first + first + second)["sentence_ids"] == "S12"
+
+
 def test_licences_on_odd_rows(spark):
     out = licenses.scan_licenses(docs(spark, ODD)).collect()
     assert len(out) == len(ODD) and all(r["n_sentences"] == 0 and r["licenses"] == "" for r in out)

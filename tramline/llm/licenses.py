@@ -1,7 +1,7 @@
 """License scan by sentence rules, in built-in functions only.
 
-A text is cut into sentences, each is normalised and looked up among known licence sentences; the
-identifiers, in text order, are then matched against ordered rules (a rule's sentences must occur in its
+A text is cut into sentences, each is normalised and looked up among known licence sentences (one with a mark
+inside, which is cut too, by its parts in a row); the identifiers, in text order, are then matched against ordered rules (a rule's sentences must occur in its
 order, others may stand between). All of that happens within a row: no shuffle, no Python.
 """
 
@@ -72,10 +72,24 @@ def known() -> dict[str, str]:
     return {re.sub("[^a-z0-9]+", " ", s.lower()).strip(): k for k, s in SENTENCES.items()}
 
 
-def _ids(text: Column, breaks: str, names: Column) -> Column:
+def known_parts(breaks: str) -> dict[str, list[str]]:
+    """Identifier to the normalised parts into which `breaks` cuts its sentence: one, or more if it has a mark inside."""
+    import re
+
+    parts = {k: [re.sub("[^a-z0-9]+", " ", x).strip() for x in re.split(breaks, s.lower())] for k, s in SENTENCES.items()}
+    return {k: [x for x in v if x] for k, v in parts.items()}
+
+
+def _ids(text: Column, breaks: str) -> Column:
+    parts = known_parts(breaks)
+    cut = {k: [f"{k}/{i}" for i in range(1, len(v) + 1)] for k, v in parts.items() if len(v) > 1}
+    names = F.create_map(*[F.lit(x) for k, v in parts.items() for pair in zip(v, cut.get(k, [k]), strict=True) for x in pair])
     sentences = F.split(F.regexp_replace(F.concat(text, F.lit("\n")), breaks, "\u0001"), "\u0001")
-    found = F.transform(sentences, lambda s: F.try_element_at(names, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
-    return F.array_join(F.filter(found, lambda s: s.isNotNull()), ",")
+    plain = F.filter(F.transform(sentences, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
+    found = F.array_join(F.transform(plain, lambda s: F.coalesce(F.try_element_at(names, s), F.lit("-"))), ",")
+    for k, v in cut.items():  # parts count where they follow each other
+        found = F.replace(found, F.lit(",".join(v)), F.lit(k))
+    return F.array_join(F.filter(F.split(found, ","), lambda s: s.rlike("^S[0-9]+$")), ",")
 
 
 def sentence_pattern(ids: list[str]) -> str:
@@ -90,11 +104,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeats. Null and empty texts, and texts without licence sentences, give 0 and empty strings; repeated
     rows give repeated rows; other columns of `docs` are ignored.
     """
-    names = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
     low = F.when(F.col("t").rlike(f"(?i){CUES}"), ascii_lower(F.col("t"))).otherwise(F.lit(""))
     out = docs.select(F.col(id_col).alias("i"), whole(F.col(text_col)).alias("t")).select("i", low.alias("t"))
     blank = F.col("t") == ""
-    out = out.select("i", *[F.when(blank, "").otherwise(_ids(F.col("t"), p, names)).alias(k) for k, p in BREAKS.items()])
+    out = out.select("i", *[F.when(blank, "").otherwise(_ids(F.col("t"), p)).alias(k) for k, p in BREAKS.items()])
     out = out.select("i", F.when(F.length("wrapped") > F.length("lines"), F.col("wrapped")).otherwise(F.col("lines")).alias("s"))
     hits = {r[0]: F.concat("s", F.lit(",")).rlike(sentence_pattern(r[3])) for r in RULES}
     listed = lambda k: F.array_join(F.array_distinct(F.filter(F.array(*[F.when(hits[r[0]], F.lit(r[k])) for r in RULES]), lambda x: x.isNotNull())), ",")
@@ -104,7 +117,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def licenses_sql() -> str:
-    """The same in DuckDB, over its view of documents."""
+    """The same in DuckDB, over its view of documents, but for sentences with a mark inside (S12, S13, S23), which it doesn't find."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     names = "map {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in known().items()) + "}"
     seq = lambda p: f"array_to_string(list_filter(list_transform(string_split(regexp_replace(t || chr(10), {q(p)}, chr(1), 'g'), chr(1)), lambda s: {names}[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL), ',')"
