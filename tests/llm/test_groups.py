@@ -143,6 +143,13 @@ def test_components_of_chains_and_hubs(spark):
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_long_chains_in_any_order(spark):
+    shuffled, falling = random.Random(2).sample(range(500), 500), [1000 + (k // 2 if k % 2 == 0 else 299 - k // 2) for k in range(300)]
+    edges = [e for ids in (shuffled, falling, range(2499, 1999, -1)) for e in zip(ids, ids[1:], strict=False)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in range(500)} | {i: 1000 for i in range(1000, 1300)} | {i: 2000 for i in range(2000, 2500)}
+
+
 def test_edit_distance_to_any_part():
     def slow(item, text):
         best = len(item)
