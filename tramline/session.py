@@ -11,6 +11,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a checkpoint goes with the last table that reads it
 }
 
 
@@ -32,11 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: what spark.checkpoint.dir names.
 
-    Only where none is set (tests, a laptop) is a temporary folder used.
+    Only where none is set and all runs in one process (tests, a laptop) is a temporary folder used; on a cluster a
+    folder of one machine would lose what executors write, so there the setting must be made.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tramline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tramline-"))
     return sc.getCheckpointDir()
 
 
@@ -44,3 +49,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it from there, so that lost executors cost no long recompute."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    found, fs = _path(spark, path)
+    return fs.exists(found)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder of this library's own, wherever Spark's file systems reach."""
+    found, fs = _path(spark, path)
+    fs.delete(found, True)
