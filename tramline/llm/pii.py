@@ -21,6 +21,7 @@ DIGITS = frozenset("0123456789")
 ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 HEX = frozenset("0123456789abcdefABCDEF")
 LOCAL, LABEL = ALNUM | frozenset("._%+-"), ALNUM | frozenset("-")
+CUE, SECRET = ALNUM | {"_"}, LABEL | {"_"}
 PHONE = DIGITS | frozenset(" ().-")
 URL_END = frozenset(" \t\r\n\v\f<>\"'`|\\^{}[]")
 #: Kinds in the order that breaks ties between spans of one start: the base kinds first.
@@ -168,14 +169,15 @@ def urls(text: str, schemes: list[int]) -> list[tuple[int, int]]:
         if start < free or (start and text[start - 1] in ALNUM):
             continue
         host = text.index("://", start) + 3
-        end = host
+        if host == len(text) or text[host] not in ALNUM:
+            continue
+        end = host + 1
         while end < len(text) and text[end] not in URL_END and not text[end].isspace():
             end += 1
-        while end > host and text[end - 1] in ".,;:!?)*%&$#":
+        while text[end - 1] in ".,;:!?)*%&$#":
             end -= 1
-        if end > host and text[host] in ALNUM:
-            out.append((start, end))
-            free = end
+        out.append((start, end))
+        free = end
     return out
 
 
@@ -186,14 +188,23 @@ def iban_ok(value: str) -> bool:
 
 
 def cued(text: str, cues: list[int]) -> list[tuple[str, int, int]]:
-    """After a cue and a bridge of spaces, colons, equals signs or quotes: an IBAN that checks, or a long secret with a digit."""
-    out, free = [], 0
+    """After a cue and a bridge of spaces, colons, equals signs or quotes: an IBAN that checks, or a long secret with a digit.
+
+    Cues of one run of letters share its bridge and its value, which is read once for each kind.
+    """
+    out, free, end, start, tried = [], 0, -1, -1, set()
     for cue in cues:
-        end = _run(text, cue, ALNUM | {"_"})
-        start = _run(text, end, BRIDGE)
-        if start == end or start < free or start >= len(text) or (cue and text[cue - 1] in ALNUM):
+        if cue and text[cue - 1] in ALNUM:
+            continue
+        if cue >= end:
+            end = _run(text, cue, CUE)
+            start = _run(text, end, BRIDGE)
+            tried.clear()
+        iban = text[cue : cue + 4].lower() == "iban"
+        if start == end or start < free or start >= len(text) or iban in tried:
             continue
-        if text[cue : cue + 4].lower() == "iban":
+        tried.add(iban)
+        if iban:
             stop, value = start, ""
             while stop < len(text) and len(value) < 34 and (text[stop] in ALNUM or text[stop] == " " and stop + 1 < len(text) and text[stop + 1] in ALNUM):
                 value += text[stop].strip().upper()
@@ -206,7 +217,7 @@ def cued(text: str, cues: list[int]) -> list[tuple[str, int, int]]:
             if iban_ok(value):
                 out.append(("iban", start, stop))
                 free = stop
-        elif (stop := _run(text, start, LABEL | {"_"})) - start >= MIN_SECRET and any(c in DIGITS for c in text[start:stop]):
+        elif (stop := _run(text, start, SECRET)) - start >= MIN_SECRET and any(c in DIGITS for c in text[start:stop]):
             out.append(("secret", start, stop))
             free = stop
     return out
@@ -237,8 +248,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Per row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Spans are kind:start:end in code points, joined by commas; base_sha256 hashes those of the four base
-    kinds. A null text counts as empty: no spans, and the hash of an empty string. Repeated rows give
-    repeated rows; other columns are ignored.
+    kinds. A null text counts as empty: no spans, and the hash of an empty string. Of spans with one start the kinds'
+    order decides. A text of any length is read whole, in time in proportion to it. Repeated rows give repeated rows, an
+    empty table an empty result; other columns are ignored.
     """
     return docs.select(id_col, F.pandas_udf(_spans, SPANS)(whole(F.col(text_col))).alias("_s")).select(id_col, "_s.*")
 
