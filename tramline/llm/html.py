@@ -13,6 +13,8 @@ import html
 import math
 import random
 import re
+from collections import Counter
+from collections.abc import Iterable
 from functools import cache
 
 import numpy as np
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from tramline.llm.boosting import Trees, fit_trees
 from tramline.llm.text import whole
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>|<[!?/][^>]*+>""", re.S)
-ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label|data-[\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>|<[!?/](?:[^<>]++|<(?![!?/]))*+>""", re.S)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop|aria-label|data-[\w-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
@@ -33,9 +35,11 @@ RAW = frozenset("script style title textarea noscript iframe xmp noembed noframe
 SKIPPED = RAW | frozenset("head template svg math object canvas audio video select option button datalist meter progress map".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: A start tag closes an open element of the set, unless one of the second set is nearer.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "body": ({"head"}, set())}
+CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
 SCOPE = frozenset("table td th caption button object template".split())
-MAX_DEPTH = 400  # deeper elements count as their ancestor at this depth
+#: What a head may hold; anything else ends it, with or without its end tag.
+HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
+CLOSE = {t: re.compile(rf"</{t}\s*+>", re.I) for t in RAW}
 
 TAGS = ["p", "h1", "h2 h3 h4 h5 h6", "li", "ul ol menu dl", "div section center", "article main", "nav", "header", "footer", "aside", "form fieldset", "table tbody thead tr td th", "blockquote pre figure figcaption dd dt", "#text", "body html"]
 #: Words in attributes, by what they speak for.
@@ -76,14 +80,49 @@ def hints_of(attributes: str) -> int:
     return bits
 
 
+class _Stack:
+    """The open elements, with the places of each tag, of blocks and of SCOPE tags, so that no search walks the stack."""
+
+    def __init__(self, root: Node):
+        self.open: list[tuple[str, Node]] = [("html", root)]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+
+    def top(self) -> Node:
+        return self.open[-1][1]
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The innermost place of any of the tags; 0 if none is open."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+
+    def push(self, tag: str, node: Node) -> None:
+        place = len(self.open)
+        self.open.append((tag, node))
+        self.at.setdefault(tag, []).append(place)
+        if tag not in INLINE:
+            self.blocks.append(place)
+        if tag in SCOPE:
+            self.scopes.append(place)
+
+    def pop(self) -> str:
+        tag, _ = self.open.pop()
+        self.at[tag].pop()
+        if tag not in INLINE:
+            self.blocks.pop()
+        if tag in SCOPE:
+            self.scopes.pop()
+        return tag
+
+
 def parse(page: str) -> list[Node]:
     """Block nodes in page order, the root first; runs of inline content beside blocks become #text nodes."""
     root = Node("html", 0, None, 0)
-    nodes, stack, links, skip = [root], [("html", root)], 0, 0
+    nodes, stack, links, skip = [root], _Stack(root), 0, 0
     at, size = 0, len(page)
 
     def put(raw: str) -> None:
-        node = stack[-1][1]
+        node = stack.top()
         if node.children or node.tag in ("html", "body"):
             if not node.children or node.children[-1].tag != "#text" or node.children[-1].size < 0:
                 node.children.append(Node("#text", 0, node, at))
@@ -95,7 +134,7 @@ def parse(page: str) -> list[Node]:
 
     def seal() -> None:
         """What inline content follows now makes a block of its own."""
-        node = stack[-1][1]
+        node = stack.top()
         if node.children and node.children[-1].tag == "#text":
             node.children[-1].size = -1
         elif node.pieces and node.tag != "#text":
@@ -106,35 +145,37 @@ def parse(page: str) -> list[Node]:
 
     def pop(to: int) -> None:
         nonlocal links, skip
-        while len(stack) > to:
-            tag, _ = stack.pop()
+        while len(stack.open) > to:
+            tag = stack.pop()
             links -= tag == "a"
             skip -= tag in SKIPPED
 
     while at < size:
         token = TOKEN.search(page, at)
         end = token.start() if token else size
-        if end > at and not skip:
-            put(page[at:end])
+        if end > at:
+            if skip and stack.open[-1][0] == "head" and not page[at:end].isspace():
+                pop(len(stack.open) - 1)
+            if not skip:
+                put(page[at:end])
         if token is None:
             break
         at = token.end()
         tag = (token[2] or token[5] or "").lower()
         if not tag:
             continue
-        closing = bool(token[1] or token[4])
-        if closing:
-            to = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if to and (tag in INLINE or not all(t in INLINE for t, _ in stack[to:])):
-                if tag in INLINE and any(t not in INLINE for t, _ in stack[to + 1 :]):
-                    continue  # an inline end tag doesn't close a block
+        if token[1] or token[4]:
+            to = stack.last((tag,))
+            if to and (tag not in INLINE or not stack.blocks or stack.blocks[-1] < to):  # an inline end tag doesn't close a block
                 pop(to)
                 if tag not in INLINE:
                     seal()
             continue
         attributes = token[3] or token[6] or ""
+        if stack.open[-1][0] == "head" and tag not in HEAD:
+            pop(len(stack.open) - 1)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            close = CLOSE[tag].search(page, at)
             at = close.end() if close else size
             continue
         if tag in VOID:
@@ -143,45 +184,34 @@ def parse(page: str) -> list[Node]:
                     put(" ")
                 elif tag == "hr":
                     seal()
-                stack[-1][1].tags += 1
+                stack.top().tags += 1
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    pop(i)
-                    seal()
-                    break
-                if stack[i][0] in SCOPE:
-                    break
+        if tag in CLOSES_P and (to := stack.last(("p",))) and (not stack.scopes or stack.scopes[-1] < to):
+            pop(to)
+            seal()
         if tag in CLOSES:
             shut, stop = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in shut:
-                    pop(i)
-                    seal()
-                    break
-                if stack[i][0] in stop:
-                    break
-        if attributes.rstrip().endswith("/") and tag not in INLINE and tag in ("svg", "path", "iframe"):
+            if (to := stack.last(shut)) > stack.last(stop):
+                pop(to)
+                seal()
+        if attributes.rstrip().endswith("/") and tag in ("svg", "path", "iframe"):
             continue
-        parent = stack[-1][1]
+        parent = stack.top()
         parent.tags += 1
-        if tag in INLINE or tag in SKIPPED or skip or len(stack) > MAX_DEPTH:
-            if tag not in INLINE and len(stack) > MAX_DEPTH:
-                seal()
+        if tag in INLINE or tag in SKIPPED or skip:
             links += tag == "a"
             skip += tag in SKIPPED
-            stack.append((tag, parent))
+            stack.push(tag, parent)
             continue
         seal()
         if tag in ("html", "body") and parent is root:
             root.hints |= hints_of(attributes)
-            stack.append((tag, root))
+            stack.push(tag, root)
             continue
         node = Node(tag, hints_of(attributes), parent, at)
         parent.children.append(node)
         nodes.append(node)
-        stack.append((tag, node))
+        stack.push(tag, node)
     return nodes
 
 
@@ -199,8 +229,11 @@ def measure(nodes: list[Node]) -> list[list[float]]:
             t = [x + y for x, y in zip(t, totals[id(child)], strict=True)]
         totals[id(node)] = t
     page, last = max(1, totals[id(nodes[0])][0]), max(1, max(n.start for n in nodes))
-    above, rows, place = {id(nodes[0]): (0, 0)}, [], {}
+    above, rows, place, beside = {id(nodes[0]): (0, 0)}, [], {}, {}
     for node in nodes:
+        if node.children:  # the children's sizes and tags, once for all of them
+            sizes = [totals[id(c)][0] for c in node.children]
+            beside[id(node)] = (sum(sizes), max(sizes), Counter(c.tag for c in node.children))
         place.update((id(c), (i, len(node.children), node)) for i, c in enumerate(node.children))
     for node in sorted(nodes, key=lambda n: n.depth):
         hints, tags = above[id(node)]
@@ -209,14 +242,16 @@ def measure(nodes: list[Node]) -> list[list[float]]:
     for node in nodes:
         size, links, marks, tags, count, leaves = totals[id(node)]
         i, n, parent = place.get(id(node), (0, 1, None))
-        siblings = parent.children if parent else [node]
-        sizes = [totals[id(s)][0] for s in (siblings if n <= 50 else siblings[max(0, i - 25) : i + 25])]
-        same = sum(s.tag == node.tag for s in (siblings if n <= 50 else siblings[max(0, i - 25) : i + 25])) / len(sizes)
+        if parent is None:
+            mean, most, same = size, size, 1.0
+        else:
+            total, most, tagged = beside[id(parent)]
+            mean, same = total / n, tagged[node.tag] / n
         hints, over = above[id(node)]
         kind = TAG_OF.get(node.tag, TAG_OF["div"])
         rows.append([
             math.log1p(size), math.log1p(node.size), links / max(1, size), 10 * marks / max(1, size), 10 * tags / max(1, size), math.log1p(size / max(1, leaves)),
-            min(node.depth, 20), min(len(node.children), 30), math.log1p(count), i / n, math.log1p(n), same, math.log1p(sum(sizes) / len(sizes)), size / max(1, max(sizes)), size / page, node.start / last,
+            min(node.depth, 20), min(len(node.children), 30), math.log1p(count), i / n, math.log1p(n), same, math.log1p(mean), size / max(1, most), size / page, node.start / last,
             *[float(kind == k) for k in range(len(TAGS))], *[float(node.hints >> k & 1) for k in range(len(HINTS))], *[float(hints >> k & 1) for k in range(len(HINTS))], *[float(over >> k & 1) for k in range(len(ANCESTORS))],
         ])
     return rows
@@ -379,10 +414,12 @@ class Maker:
             before += [after.pop()] if after else []
         body = "".join(before) + self.article() + "".join(after) + "".join(some(0.85, self.footer)) + "".join(some(0.15, self.notice))
         body = r.choice([body, body, f'<div class="{r.choice(["wrapper", "page", "container"])}">{body}</div>'])
-        return f"<!DOCTYPE html><html><head><title>{self.words(1, 6)}</title><script>x('<p>')</script></head><body>{body}" + r.choice(["</body></html>", "", "</html>"])
+        open_, close = r.choice([("<head>", "</head><body>")] * 4 + [("<head>", "<body>"), ("<head>", ""), ("", ""), ("", "<body>")])
+        return f"<!DOCTYPE html><html>{open_}<title>{self.words(1, 6)}</title><script>x('<p>')</script>{close}{body}" + r.choice(["</body></html>", "", "</html>"])
 
 
 PAGES, SEED = 900, 20
+SLICE = 1 << 21  # characters of the pages that are taken apart at a time
 
 
 @cache
@@ -405,17 +442,24 @@ def trained(pages: int = PAGES, seed: int = SEED) -> Trees:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: id, url, text, n_chars. A null page counts as empty and has an empty text.
 
-    Blocks are joined in page order by a line feed; white space inside a block is one space. Repeated rows give
-    repeated rows; other columns are ignored.
+    Blocks are joined in page order by a line feed; white space inside a block is one space. Pages of any length and
+    nesting are read whole, in time in proportion to them. Repeated rows give repeated rows, an empty table an empty
+    result; other columns are ignored.
     """
     model = trained()
 
     @F.pandas_udf("string")
     def text(htmls: pd.Series) -> pd.Series:
         out: list[str] = []
-        for k in range(0, len(htmls), 200):
-            out += extract(htmls.iloc[k : k + 200].tolist(), model)
-        return pd.Series(out, dtype=object)
+        part: list[str] = []
+        size = 0
+        for page in htmls:
+            part.append(page)
+            size += len(page)
+            if size > SLICE or len(part) == 200:
+                out += extract(part, model)
+                part, size = [], 0
+        return pd.Series(out + extract(part, model), dtype=object)
 
     found = pages.select(F.col(id_col), F.col(url_col), text(whole(F.col(html_col))).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
