@@ -1,8 +1,11 @@
 """Exact deduplication behind a two-pass Bloom filter, in built-in functions only.
 
-Pass one hashes every text and sets, in a filter of two planes (one hash function each), the cells that more
-than one row falls into. Pass two tests each row: only rows whose cells are both set can have an equal,
-and only those are shuffled and grouped by their hash; all others pass straight through.
+Pass one finds the digests (64 bits of the texts' hashes) that more than one row has, and puts them into a Bloom
+filter of two planes. Pass two tests each row: only rows that the filter holds can have an equal, and only those are
+shuffled and grouped by their hash; all others pass straight through. Pass one moves a digest of eight bytes a row and
+no row; it counts them before the shuffle. A bitmap of once and twice for each task would move more than that from
+64 / CELLS_PER_KEY tasks on, as it has CELLS_PER_KEY bits for each row of the whole table. The filter's size goes by
+the digests that repeat, not by the rows, so it tells as much at any number of rows.
 """
 
 from __future__ import annotations
@@ -11,58 +14,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tramline.llm.bloom import TEMP, bloom_pages, cells_for, flag_held, split_by
 from tramline.llm.text import ascii_lower, whole
 from tramline.session import cut
 
-#: Cells a row in each plane, and the most cells (bits) of a plane: 16 MB, so at most 32 MB are broadcast.
-#: With more rows than a filter of that size can tell apart, more rows are grouped; results stay the same.
-CELLS_PER_ROW, MAX_CELLS = 16, 1 << 27
-TEMP = "__tramline_"  # of columns that are added to a caller's rows for a while
-PAGE = 32768  # bits of one bitmap_construct_agg value
 
-
-def _cell(hashed: Column, plane: int, cells: int) -> Column:
-    return F.pmod(F.xxhash64(hashed, F.lit(plane)), F.lit(cells))
-
-
-def repeated_cells(hashes: DataFrame, hashed: str, cells: int) -> DataFrame:
-    """The filter: page, plane and bits of the cells that more than one row falls into."""
-    each = hashes.select(F.explode(F.array(*[F.struct(F.lit(p).alias("plane"), _cell(F.col(hashed), p, cells).alias("cell")) for p in (0, 1)])).alias("c"))
-    full = each.groupBy("c.plane", "c.cell").agg(F.count("*").alias("n")).filter("n > 1")
-    page, bit = (F.col("cell") / PAGE).cast("bigint"), F.col("cell") % PAGE
-    return full.groupBy("plane", page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits"))
-
-
-def maybe_repeated(rows: DataFrame, hashed: str, filters: DataFrame, cells: int, flag: str) -> DataFrame:
-    """`rows` with `flag`: whether the filter has both cells of a row's hash."""
-    out, tests = rows, []
-    for p in (0, 1):
-        cell = _cell(F.col(hashed), p, cells)
-        side = filters.filter(F.col("plane") == p).select(F.col("page").alias(f"{TEMP}page{p}"), F.col("bits").alias(f"{TEMP}bits{p}"))
-        out = out.join(F.broadcast(side), (cell / PAGE).cast("bigint") == F.col(f"{TEMP}page{p}"), "left")
-        byte = F.conv(F.hex(F.substring(F.col(f"{TEMP}bits{p}"), (cell % PAGE / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
-        tests.append(F.coalesce(F.getbit(byte, (cell % 8).cast("int")) == 1, F.lit(False)))
-    return out.withColumn(flag, tests[0] & tests[1]).drop(*[f"{TEMP}{k}{p}" for k in ("page", "bits") for p in (0, 1)])
+def text_hash(text: Column) -> Column:
+    return F.sha2(ascii_lower(whole(text)).cast("binary"), 256)
 
 
-def cells_for(n: int) -> int:
-    return min(MAX_CELLS, max(PAGE, 1 << (CELLS_PER_ROW * max(n, 1) - 1).bit_length()))
+def repeated_digests(hashes: DataFrame, hashed: str) -> DataFrame:
+    """The digests (column d) that more than one row has."""
+    return hashes.groupBy(F.xxhash64(hashed).alias("d")).agg(F.count("*").alias("n")).filter("n > 1").select("d")
 
 
-def text_hash(text: Column) -> Column:
-    return F.sha2(ascii_lower(whole(text)).cast("binary"), 256)
+def maybe_repeated(slim: DataFrame, hashed: str, flag: str) -> DataFrame:
+    """`slim` with `flag`: whether another row may have the same hash."""
+    digests = cut(repeated_digests(slim, hashed))
+    cells = cells_for(digests.count())
+    return flag_held(slim, F.xxhash64(hashed), cut(bloom_pages(digests, "d", cells)), cells, flag)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, keep_id, group_size, kept, text_sha256. Texts are equal after lower-casing A-Z only.
 
     The row with the largest id of a group stays; nulls in the id count as smallest. A null text counts as
-    empty. Rows that repeat both id and text count in group_size, and one of them is kept. An empty
-    table gives an empty result; other columns are ignored.
+    empty; texts of any length are hashed whole. Rows that repeat both id and text count in group_size, and one of them
+    is kept. An empty table gives an empty result; other columns are ignored.
     """
     slim = cut(docs.select(F.col(id_col).alias("i"), text_hash(F.col(text_col)).alias("h")))
-    cells = cells_for(slim.count())
-    tested = maybe_repeated(slim, "h", cut(repeated_cells(slim, "h", cells)), cells, "maybe")
+    tested = maybe_repeated(slim, "h", "maybe")
     some, alone = tested.filter("maybe"), tested.filter("not maybe")
     groups = cut(some.groupBy("h").agg(F.max("i").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"))
     # Repeats of one id: only the first of them can be kept.
@@ -81,21 +62,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of equal texts, the one with the largest id, in all its columns.
 
-    Rows that the filter clears keep their place; only the others are shuffled, with their texts, by id and
-    hash, so a large group of copies is spread. Nulls and ties as in exact_dedup().
+    What goes is found on ids and hashes. A second filter, of the ids that go, lets the other rows pass as they are:
+    only rows with such an id are shuffled, by id and hash, so a large group of copies is spread. Nulls, ties, long
+    texts, repeated rows and empty tables as in exact_dedup().
     """
-    h, kh, ki, maybe, n = (f"{TEMP}{k}" for k in ("h", "kh", "ki", "maybe", "n"))
-    hashed = docs.withColumn(h, text_hash(F.col(text_col)))
-    slim = cut(hashed.select(F.col(id_col).alias("i"), F.col(h).alias("h")))
-    cells = cells_for(slim.count())
-    filters = cut(repeated_cells(slim, "h", cells))
-    keep = maybe_repeated(slim, "h", filters, cells, "maybe").filter("maybe").groupBy("h").agg(F.max("i").alias("i"))
-    keep = cut(keep.select(F.col("h").alias(kh), F.col("i").alias(ki)))
-    tested = maybe_repeated(hashed, h, filters, cells, maybe)
-    alone = tested.filter(~F.col(maybe)).select(docs.columns)
-    some = tested.filter(maybe).join(keep, (F.col(h) == F.col(kh)) & F.col(id_col).eqNullSafe(F.col(ki)), "left_semi")
-    first = some.withColumn(n, F.row_number().over(W.partitionBy(h, id_col).orderBy(F.lit(0)))).filter(F.col(n) == 1)
-    return alone.unionByName(first.select(docs.columns))
+    h, n = f"{TEMP}h", f"{TEMP}n"
+    slim = cut(docs.select(F.col(id_col).alias("i"), text_hash(F.col(text_col)).alias("h")))
+    some = cut(maybe_repeated(slim, "h", "maybe").filter("maybe").select("i", "h"))
+    keep = some.groupBy("h").agg(F.max("i").alias("k"), F.count("*").alias("n")).filter("n > 1").select(F.col("h").alias("kh"), "k")
+    gone = cut(some.join(keep, F.col("h") == F.col("kh")).filter(~F.col("i").eqNullSafe(F.col("k"))).select(F.col("i").alias(f"{TEMP}i"), F.col("h").alias(f"{TEMP}gh")).distinct())
+    again = some.groupBy("h", "i").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("i").alias(f"{TEMP}i"))
+    touched, rest = split_by(docs, id_col, cut(gone.select(f"{TEMP}i").unionByName(again).distinct()))
+    left = touched.withColumn(h, text_hash(F.col(text_col))).join(gone, (F.col(h) == F.col(f"{TEMP}gh")) & F.col(id_col).eqNullSafe(F.col(f"{TEMP}i")), "left_anti")
+    first = left.withColumn(n, F.row_number().over(W.partitionBy(h, id_col).orderBy(F.lit(0)))).filter(F.col(n) == 1)
+    return rest.unionByName(first.select(docs.columns))
 
 
 EXACT_SQL = """

@@ -16,8 +16,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.components import connected_components
+from tramline.llm.bloom import TEMP, split_by
 from tramline.llm.text import whole
+from tramline.operators.components import connected_components
 from tramline.session import cut
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -174,7 +175,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """`docs` without the rows of a group other than its smallest id, in all its columns.
 
-    Rows that repeat the id that stays are one document and stay together; a row without an id stays.
+    Rows that repeat the id that stays are one document and stay together; a row without an id stays. Only rows whose id
+    a Bloom filter of the ids that go may hold are shuffled; the texts of the others stay where they are.
     """
-    drop = near_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__tramline_id")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("__tramline_id"), "left_anti")
+    drop = cut(near_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias(f"{TEMP}id")).distinct())
+    touched, rest = split_by(docs, "doc_id", drop)
+    return rest.unionByName(touched.join(drop, F.col("doc_id") == F.col(f"{TEMP}id"), "left_anti"))
