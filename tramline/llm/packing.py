@@ -3,7 +3,9 @@
 Documents are routed to the smallest tier that holds them. Each tier's windows are filled from its own documents,
 longest first; what a document leaves of a window is filled with the largest pieces that fit from shorter
 tiers, and the last gap by cutting a document there. So every window is exactly full; what a task has left at its
-end goes to windows of smaller powers of two, which need no padding either. Nothing is shuffled.
+end goes to windows of smaller powers of two, which need no padding either. Windows of one size make up step groups of
+equal tokens; the groups that a task has begun for each size are dealt anew at its end, so all but one of its groups are
+full. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -101,7 +103,7 @@ class Packer:
 
     def __init__(self, first_id: int, tiers: tuple[int, ...] = TIERS):
         self.tiers, self.next, self.pending, self.total, self.seen = sorted(tiers), first_id, [], 0, 0
-        self.steps: dict[int, tuple[int, int]] = {}
+        self.open: dict[int, list[list[tuple]]] = {}  # windows of the group that each size has begun
         self.groups = 0
 
     def add(self, doc_id, ids: np.ndarray) -> Iterator[tuple]:
@@ -140,23 +142,34 @@ class Packer:
         return self._window(size, parts)
 
     def flush(self, last: bool = False) -> Iterator[tuple]:
-        """Windows of each tier while its documents last, then, at the end, of smaller powers of two."""
+        """Windows of each tier while its documents last, then, at the end, of smaller powers of two, and all open groups."""
         for size, below in zip(reversed(self.tiers), [*reversed(self.tiers[:-1]), 0], strict=True):
             while self.total >= size and self.pending[-1][0] > below:
                 yield from self.fill(size)
         while last and self.total:
             yield from self.fill(min(self.tiers[-1], 1 << (self.total.bit_length() - 1)))
+        if last:
+            used = STEP_TOKENS  # powers of two in falling order fill groups without a gap
+            for size in sorted(self.open, reverse=True):
+                for window in self.open.pop(size):
+                    if used == STEP_TOKENS:
+                        used, self.groups = 0, self.groups + 1
+                    used += size
+                    yield from ((*row, self.groups - 1) for row in window)
 
     def _window(self, size: int, parts: list[tuple]) -> Iterator[tuple]:
-        group, used = self.steps.get(size, (None, STEP_TOKENS))
-        if used + size > STEP_TOKENS:  # each step group holds as many tokens of one context size
-            group, used, self.groups = self.groups, 0, self.groups + 1
-        self.steps[size] = (group, used + size)
-        offset = 0
+        """Takes a window; yields the rows of the step group that it fills, if it does."""
+        offset, window = 0, []
         for doc_id, start, ids, tokens in parts:
-            yield doc_id, start, len(ids), zlib.crc32(ids.tobytes()), tokens, self.next, offset, size, group
+            window.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), tokens, self.next, offset, size))
             offset += len(ids)
         self.next += 1
+        waiting = self.open.setdefault(size, [])
+        waiting.append(window)
+        if len(waiting) * size >= STEP_TOKENS:
+            del self.open[size]
+            self.groups += 1
+            yield from ((*row, self.groups - 1) for w in waiting for row in w)
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, step_group long"
@@ -167,12 +180,15 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[i
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, context, step_group.
 
     Every document is its tokens and an end token; a null or empty text is that token alone. Each token lies
-    in one piece. context is the window's size, a power of two; windows are full. Rows that repeat an id are packed
-    as documents of their own. Windows and ids follow the partitions of `docs`, so write the result once and read
-    that. `tiers` must be powers of two.
+    in one piece. context is the window's size, a power of two; windows are full. step_group has STEP_TOKENS tokens of
+    one size, but for a task's last ones, which mix sizes and of which the last may be smaller. Rows that repeat an id
+    are packed as documents of their own; equally long pieces go in the order they came. A document of any length is
+    cut into full windows as it comes; an empty table gives an empty result; other columns are ignored. Windows and ids
+    follow the partitions of `docs`, so write the result once and read that. `tiers` must be powers of two of at most
+    STEP_TOKENS.
     """
-    if any(t < 1 or t & (t - 1) for t in tiers):
-        raise ValueError("tiers must be powers of two")
+    if any(t < 1 or t & (t - 1) or t > STEP_TOKENS for t in tiers):
+        raise ValueError("tiers must be powers of two of at most STEP_TOKENS")
     path = tokenizer or default_tokenizer()
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
