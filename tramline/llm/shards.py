@@ -38,21 +38,18 @@ def shard_of(key: Column, shards: int) -> Column:
     return jump(F.coalesce(key, F.lit(0)).cast("bigint"))
 
 
-def chunk_of(key: Column, chunks: int) -> Column:
-    """A spread of keys over chunks in arithmetic that any SQL engine has."""
-    return F.pmod(F.pmod(F.pmod(F.coalesce(key, F.lit(0)).cast("bigint"), F.lit(2147483647)) * 48271, F.lit(2147483647)), F.lit(chunks))
-
-
 def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", chunks: int = CHUNKS) -> DataFrame:
     """Per row: id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is `key`: the id and the number of shards decide alone. size is the text's UTF-8 bytes plus one
-    (a null text has none). Slots count from 0 without gaps in each shard: by chunk of the id, then id, so
-    no task sorts a whole shard. Rows that repeat an id get slots of their own; null ids count as id 0.
+    (a null text has none, a text of any length is read whole). Slots count from 0 without gaps in each shard: by chunk
+    of the id and the text, then id, so no task sorts a whole shard, nor all rows that share an id or have none. Rows
+    that repeat an id get slots of their own, in an order by text; null ids count as id 0. An empty table gives an empty
+    result; other columns are ignored.
     """
     text = whole(F.col(text_col)).cast("binary")
     slim = docs.select(F.col(id_col).alias("i"), (F.length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("crc"))
-    rows = cut(slim.withColumn("shard", shard_of(F.col("i"), shards)).withColumn("grown", shard_of(F.col("i"), shards + 1)).withColumn("chunk", chunk_of(F.col("i"), chunks)))
+    rows = cut(slim.withColumn("shard", shard_of(F.col("i"), shards)).withColumn("grown", shard_of(F.col("i"), shards + 1)).withColumn("chunk", F.pmod(F.xxhash64("i", "crc", "size"), F.lit(chunks))))
     counts = rows.groupBy("shard", "chunk").agg(F.count("*").alias("n"))  # at most shards x chunks rows
     before = W.partitionBy("shard").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
