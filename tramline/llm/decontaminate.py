@@ -241,9 +241,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per text and item that it holds: doc_id, item_id, edits, item_words, end_word, similarity.
 
     An item is held if some part of the text is within edit distance (1 - SIMILARITY) x its words, words
-    compared in lower case without marks around them, and words of marks only left out. edits is the smallest distance, end_word the
-    number of words up to that part's end. Null and empty texts and items hold and match nothing;
-    repeated rows give repeated rows; items that repeat an id count each on its own.
+    compared in lower case without marks around them, and words of marks only left out. edits is the smallest distance,
+    end_word the number of words up to the end of a part with so many edits; of several such parts any may give it. Null
+    and empty texts and items hold and match nothing; texts of any length are read whole; repeated rows give repeated
+    rows; items that repeat an id count each on its own; an empty table gives an empty result. Each block of
+    BLOCK_WORDS words of items is one more pass over the texts.
     """
     parts = [docs.select("doc_id", F.explode(_leaks(F.col("text"), items, docs.sparkSession)).alias("h")).select("doc_id", "h.*") for items in item_blocks(benchmark)]
     if not parts:
@@ -255,7 +257,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the rows that hold a benchmark item, in all their columns."""
+    """`docs` without the rows that hold a benchmark item, in all their columns; nulls and the like as in find_leaks()."""
     out = docs
     for items in item_blocks(benchmark):
         out = out.filter(F.size(_leaks(F.col("text"), items, docs.sparkSession)) == 0)

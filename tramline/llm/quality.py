@@ -152,7 +152,8 @@ def quality_score(text: Column, model: FactorisationMachine, spark) -> Column:
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted. Repeated rows score alike; other columns are ignored.
 
-    Without labels, or with those of one class only, every score is the share of label 1.
+    Null texts count as empty and texts of any length are scored whole; an empty table gives an empty result. Without
+    labels, or with those of one class only, every score is the share of label 1 among them, held to 0.001 to 0.999.
     """
     model = fit(docs, labels)
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality_score(F.col("text"), model, docs.sparkSession).alias("score"))

@@ -154,8 +154,9 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, most: int = MAX_BUCK
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Per row: id, fp (bigint), component_id: the smallest id that is reachable over links, its own included.
 
-    Null and empty texts have fingerprint 0 and link like any other. Repeated rows give repeated rows; an id that is
-    null has the component of its fingerprint. An empty table gives an empty result.
+    Null and empty texts have fingerprint 0 and link like any other; texts of any length are read whole. Repeated rows
+    give repeated rows; an id that is null has the component of its fingerprint. An empty table gives an empty result;
+    other columns are ignored.
     """
     rows = cut(docs.select(F.col(id_col).alias("i"), fingerprints(F.col(text_col)).alias("fp")))
     firsts = cut(rows.groupBy("fp").agg(F.min("i").alias("first")))

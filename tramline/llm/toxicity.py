@@ -200,7 +200,6 @@ class _Sent:
         return self.broadcast.value
 
 
-
 def toxicity_score(text: Column, model: ToxicityModel, spark) -> Column:
     """Score in 0..1 of whole texts; a null counts as empty, and a text without words has the prior's score."""
     sent = _Sent(spark.sparkContext.broadcast((model.weight, model.bias, model.slope, model.shift)))  # half a megabyte
@@ -216,7 +215,8 @@ def toxicity_score(text: Column, model: ToxicityModel, spark) -> Column:
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted. Repeated rows score alike; other columns are ignored.
 
-    Without labels, or with those of one class only, every score is the share of label 1.
+    Null texts count as empty and texts of any length are scored whole; an empty table gives an empty result. Without
+    labels, or with those of one class only, every score is the share of label 1 among them, held to 0.001 to 0.999.
     """
     model = fit(docs, labels)
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity_score(F.col("text"), model, docs.sparkSession).alias("score"))
@@ -226,7 +226,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """`docs` without the rows whose score reaches THRESHOLD, in all its columns.
 
-    The model learns from the texts of `labelled` (columns doc_id and text), or of `docs`.
+    The model learns from the texts of `labelled` (columns doc_id and text), or of `docs`. Nulls, long texts and missing
+    labels as in score_toxicity(): without labels the share of label 1 decides over all rows alike. Repeated rows stay
+    or go together.
     """
     model = fit(docs if labelled is None else labelled, labels)
     return docs.filter(toxicity_score(F.col("text"), model, docs.sparkSession) < THRESHOLD)
