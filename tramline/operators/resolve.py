@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramline.functions import text
 from tramline.functions.geo import distance_m
 from tramline.operators.relational import distinct_on, top_n
+from tramline.operators.spatial import Bands
+from tramline.session import cut
 
 
 def name_rank(name: Column, wanted: str, unlocated: Column, aliases: Column | None = None, unserved: Column | None = None) -> Column:
@@ -42,29 +41,105 @@ def grid_survivors(stops: DataFrame, snap: int = 1000) -> DataFrame:
     return keyed.join(low, same[0] & same[1] & same[2] & same[3]).select("id", "survivor")
 
 
-def resolve_names(wanted: DataFrame, places: DataFrame, least: float = 0.85) -> DataFrame:
-    """The place of each wanted name: the same name, else the most similar one, else to be created.
+def _segments(name: Column, parts: Column) -> Column:
+    """(place, segment) of `name` cut into `parts` nearly equal segments, counted from 0."""
+    n = F.length(name)
+    bound = lambda i: F.floor(i * n / parts).cast("int")
+    each = F.sequence(F.lit(0), parts - 1)
+    return F.transform(each, lambda i: F.struct(bound(i).alias("at"), name.substr(bound(i) + 1, bound(i + 1) - bound(i)).alias("s")))
 
-    Fuzzy candidates share two letters and differ in length by no more than `least` allows.
+
+def similar_names(wanted: DataFrame, names: DataFrame, least: float = 0.85) -> DataFrame:
+    """Pairs (wanted, name, s) of similarity `least` or more; nothing is missed.
+
+    Names of that similarity are at most k = floor((1 - least) x longer length) edits apart. If a wanted name is cut
+    into k + 1 segments for the longest name that it can match, an edit spoils one segment at most, so one of them
+    stands unchanged in the other name, at most k places further or back. So both sides meet on equal segments of equal
+    place; a hot segment is a key like any other and is split by adaptive execution. Names of up to k characters, whose
+    segments would be empty, don't occur while least is more than one half.
+    """
+    if not 0.5 < least <= 1:
+        raise ValueError("least must be more than one half")
+    ratio = 1 - least
+    edits = lambda n: F.floor(F.floor(n / least + 1e-9) * ratio + 1e-9).cast("int")  # noqa: E731  of the longest partner
+    n = F.length("wanted")
+    left = wanted.select("wanted").distinct().withColumn("k", edits(n))
+    left = left.select("wanted", "k", F.explode(_segments(F.col("wanted"), F.least(F.col("k") + 1, F.greatest(n, F.lit(1))))).alias("g"))
+    left = left.select("wanted", F.col("g.s").alias("seg"), F.explode(F.sequence(F.col("g.at") - F.col("k"), F.col("g.at") + F.col("k"))).alias("at"))
+    # The other side's segments: of every length that a partner may cut, at every place.
+    m = F.length("name")
+    least_n, most_n = F.ceil(m * least - 1e-9).cast("int"), F.floor(m / least + 1e-9).cast("int")
+    sizes = F.array_distinct(F.flatten(F.transform(F.sequence(least_n, most_n), lambda x: F.array(F.floor(x / F.least(edits(x) + 1, F.greatest(x, F.lit(1)))).cast("int"), F.ceil(x / F.least(edits(x) + 1, F.greatest(x, F.lit(1)))).cast("int")))))
+    right = names.select("name").distinct().select("name", F.explode(sizes).alias("z")).filter((F.col("z") <= m))
+    right = right.select("name", F.explode(F.transform(F.sequence(F.lit(0), m - F.col("z")), lambda i: F.struct(i.alias("at"), F.col("name").substr(i + 1, F.col("z")).alias("seg")))).alias("g")).select("name", "g.at", "g.seg")
+    pairs = left.join(right, ["seg", "at"]).filter(F.abs(n - m) <= ratio * F.greatest(n, m) + 1e-9).select("wanted", "name").distinct()
+    return pairs.withColumn("s", text.similarity(F.col("wanted"), F.col("name"))).filter(F.col("s") >= least)
+
+
+def resolve_names(wanted: DataFrame, places: DataFrame, aliases: DataFrame | None = None, least: float = 0.85) -> DataFrame:
+    """For each distinct wanted name: place, place_id and how: exact, alias, fuzzy, merged or created.
+
+    In this order: a place of the name itself (smallest id); one that `aliases` (alias, place_id) has for it; the most
+    similar place at `least` or more, ties to the smallest id. What is left is created, but for names that are near an
+    earlier one that is created: these are merged into the most similar of them (ties to the first by name), as if the
+    names came in their order. Null names are left out. The last step makes the pairs of similar names among those that
+    are created, which is the square of the largest family of such names.
     """
-    block = lambda c: F.substring(c, 1, 2).alias("block")
-    longest = F.greatest(F.length("wanted"), F.length("name"))
-    pairs = wanted.select("wanted", block("wanted")).join(places.select("id", "name", block("name")), "block")
-    pairs = pairs.filter(F.abs(F.length("wanted") - F.length("name")) <= (1 - least) * longest + 1e-9).withColumn("s", text.similarity(F.col("wanted"), F.col("name"))).filter(F.col("s") >= least)
-    best = distinct_on(pairs, ["wanted"], [F.desc("s"), F.col("id")]).select("wanted", F.col("name").alias("place"), F.col("id").alias("place_id"))
-    how = F.when(F.col("place").isNull(), "created").when(F.col("place") == F.col("wanted"), "exact").otherwise("fuzzy")
-    return wanted.join(best, "wanted", "left").withColumn("how", how)
+    w = cut(wanted.select("wanted").filter("wanted is not null").distinct())
+    known = places.filter("name is not null").groupBy("name").agg(F.min("id").alias("place_id"))
+    same = w.join(known.withColumnRenamed("name", "wanted"), "wanted").select("wanted", F.col("wanted").alias("place"), "place_id", F.lit("exact").alias("how"))
+    rest, out = w.join(same, "wanted", "left_anti"), same
+    if aliases is not None:
+        listed = aliases.groupBy(F.col("alias").alias("wanted")).agg(F.min("place_id").alias("place_id"))
+        meant = rest.join(listed, "wanted").join(places.select(F.col("id").alias("place_id"), F.col("name").alias("place")), "place_id")
+        meant = meant.select("wanted", "place", "place_id", F.lit("alias").alias("how"))
+        rest, out = rest.join(meant, "wanted", "left_anti"), out.unionByName(meant)
+    rest = cut(rest)
+    near = similar_names(rest, known, least).join(known, "name")
+    best = cut(distinct_on(near, ["wanted"], [F.desc("s"), F.col("place_id")]).select("wanted", F.col("name").alias("place"), "place_id", F.lit("fuzzy").alias("how")))
+    left = cut(rest.join(best, "wanted", "left_anti"))
+    pairs = similar_names(left, left.select(F.col("wanted").alias("name")), least).filter("name < wanted").select(F.col("wanted").alias("late"), F.col("name").alias("early"), "s")
+    heads = first_come(left.select(F.col("wanted").alias("node")), pairs)
+    joined = pairs.join(heads.select(F.col("node").alias("early")), "early")
+    merged = distinct_on(joined.join(heads.select(F.col("node").alias("late")), "late", "left_anti"), ["late"], [F.desc("s"), F.col("early")])
+    none = F.lit(None).cast(known.schema["place_id"].dataType).alias("place_id")
+    out = out.unionByName(best).unionByName(merged.select(F.col("late").alias("wanted"), F.col("early").alias("place"), none, F.lit("merged").alias("how")))
+    return out.unionByName(heads.select(F.col("node").alias("wanted"), F.lit(None).cast("string").alias("place"), none, F.lit("created").alias("how")))
+
+
+def first_come(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The nodes that a pass in order would keep, if each kept node took those after it that it has a pair with.
+
+    `pairs` has early and late. Each round keeps the undecided nodes without an undecided earlier partner and drops
+    their partners; in any but an adverse order the rounds grow with the logarithm of the longest chain.
+    """
+    kept = None
+    left, links = cut(nodes), cut(pairs.select("early", "late"))
+    while not left.isEmpty():
+        waiting = links.select(F.col("late").alias("node")).distinct()
+        now = cut(left.join(waiting, "node", "left_anti"))
+        taken = links.join(now.select(F.col("node").alias("early")), "early", "left_semi").select(F.col("late").alias("node")).distinct()
+        gone = cut(taken.unionByName(now))
+        left = cut(left.join(gone, "node", "left_anti"))
+        links = cut(links.join(gone.select(F.col("node").alias("early")), "early", "left_anti").join(gone.select(F.col("node").alias("late")), "late", "left_anti"))
+        kept = now if kept is None else kept.unionByName(now)
+    return nodes.limit(0) if kept is None else cut(kept)
 
 
 def geocode(stops: DataFrame) -> DataFrame:
-    """Candidates for unlocated stops among located names with the same first five characters, by similarity."""
+    """Candidates for unlocated stops among located names with the same first five characters, by similarity.
+
+    Both sides are reduced to their distinct names and states before they meet, however many stops share them.
+    """
     block = F.substring("name", 1, 5).alias("block")
     known = stops.filter("lat is not null").groupBy("name", "state").agg(F.min("id").alias("candidate"))
     known = known.select(block, F.col("name").alias("name_2"), F.col("state").alias("state_2"), "candidate")
     s = text.similarity(F.col("name"), F.col("name_2")) - F.when(F.col("state") == F.col("state_2"), F.lit(0.0)).otherwise(0.3)
-    pairs = stops.filter("lat is null").select("id", "name", "state", block).join(known, "block").withColumn("s", s).filter("s >= 0.6")
-    best = distinct_on(pairs, ["id"], [F.desc("s"), F.col("candidate")])
-    return best.select("id", "candidate", F.when(F.col("s") >= 1, 0.98).when(F.col("s") >= 0.8, 0.92).otherwise(0.84).alias("confidence"))
+    lost = stops.filter("lat is null")
+    pairs = lost.select("name", "state").distinct().select("name", "state", block).join(known, "block").withColumn("s", s).filter("s >= 0.6")
+    best = distinct_on(pairs, ["name", "state"], [F.desc("s"), F.col("candidate")]).select(F.col("name").alias("_name"), F.col("state").alias("_state"), "candidate", "s")
+    found = lost.join(best, (F.col("name") == F.col("_name")) & F.col("state").eqNullSafe(F.col("_state")))
+    return found.select("id", "candidate", F.when(F.col("s") >= 1, 0.98).when(F.col("s") >= 0.8, 0.92).otherwise(0.84).alias("confidence"))
 
 
 def source_confidence(sources: DataFrame, key: str) -> DataFrame:
@@ -99,48 +174,44 @@ def lifecycle(stops: DataFrame, calls: DataFrame, age_days: Column, stale_days:
     return stops.join(used, "id", "left").select("id", status.alias("status"))
 
 
-def _greedy(limit_m: float):
-    """Over the stops of whole name keys: each joins the first cluster whose survivor is near and of a compatible state."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out, heads = [], []
-        for row in frame.sort_values(["services", "has_state", "id"], ascending=[False, False, True]).itertuples(index=False):
-            at = row.id
-            if not np.isnan(row.lat):
-                for head in heads:
-                    same = not head.state or not row.state or head.state == row.state
-                    if same and _metres(head.lat, head.lng, row.lat, row.lng) <= limit_m:
-                        at = head.id
-                        break
-                else:
-                    heads.append(row)
-            out.append((row.id, at))
-        return pd.DataFrame(out, columns=["id", "survivor"])
-
-    return run
-
-
-def _metres(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
-    p, q = np.radians(lat1), np.radians(lat2)
-    a = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lng2 - lng1) / 2) ** 2
-    return float(2 * 6371000.0 * np.arcsin(min(1.0, np.sqrt(a))))
-
-
-def cluster_greedy(stops: DataFrame, services: DataFrame, limit_m: float = 150.0, band: float = 0.05) -> DataFrame:
-    """Survivor of each stop among the stops of its name within limit_m, busiest first.
+def cluster_greedy(stops: DataFrame, services: DataFrame, limit_m: float = 150.0) -> DataFrame:
+    """id and survivor: each stop joins the first survivor of its name within limit_m and of a compatible state.
 
-    Order matters, so each component runs in Python: name keys are split further into chains of
-    latitude bands with no gap, which no cluster can cross. Stops without a twin never leave the JVM.
+    Stops come in the order of services (most first), with a state before without, then id; a stop that joins none
+    becomes a survivor; states are compatible if equal or one is missing. The rounds below give what one pass in that
+    order would: stops that share name, state and place have one fate and are taken together; in each round the first
+    undecided stop of a cell becomes a survivor if no cell around has an earlier one, and then takes the undecided stops
+    near it. All of it is joins by name key and cell: a cell is little wider than limit_m, so only a few survivors of
+    each state stand in it, and no pairs of a crowded name are made. Rounds grow with the longest chain of cells in falling order, in practice a few. Stops
+    without place stay alone; null names are one name.
     """
-    s = stops.join(services.select(F.col("stop_id").alias("id"), "services"), "id", "left").withColumn("k", text.name_key(F.col("name")))
-    s = s.select("id", "k", F.coalesce("state", F.lit("")).alias("state"), "lat", "lng", F.coalesce("services", F.lit(0)).alias("services"), (F.length(F.coalesce("state", F.lit(""))) > 0).alias("has_state"))
-    by_lat = W.partitionBy("k").orderBy(F.asc_nulls_last("lat"), "id")
-    gap = F.coalesce((F.col("lat") - F.lag("lat").over(by_lat)) * 111_194.0 > limit_m * 1.01, F.lit(True)).cast("int")
-    chained = s.withColumn("gap", gap).withColumn("chain", F.sum("gap").over(by_lat))
-    sized = chained.withColumn("n", F.count("*").over(W.partitionBy("k", "chain")))
-    alone = sized.filter("n = 1").select("id", F.col("id").alias("survivor"))
-    many = sized.filter("n > 1").drop("gap", "n").groupBy("k", "chain").applyInPandas(_greedy(limit_m), "id bigint, survivor bigint")
-    return alone.unionByName(many)
+    busy = services.select(F.col("stop_id").alias("id"), "services")
+    s = stops.join(busy, "id", "left").select("id", F.coalesce(text.name_key(F.col("name")), F.lit("")).alias("k"), F.coalesce("state", F.lit("")).alias("state"), "lat", "lng", F.coalesce("services", F.lit(0)).alias("services"))
+    s = s.withColumn("o", F.struct((-F.col("services")).alias("s"), (F.col("state") == "").alias("none"), "id"))
+    s = cut(s)
+    place = ["k", "state", "lat", "lng"]
+    bands = Bands(limit_m)
+    first = s.filter("lat is not null and lng is not null").groupBy(*place).agg(F.min("o").alias("o"))
+    y = bands.band(F.col("lat"))
+    first = cut(first.withColumn("y", y).withColumn("x", bands.cell(F.col("lng"), F.col("y"))).withColumn("near", bands.near(F.col("lat"), F.col("lng"))))
+    cell = ["k", "y", "x"]
+    fits = (F.col("state") == F.col("h_state")) | (F.col("state") == "") | (F.col("h_state") == "")
+    close = distance_m(F.col("lat"), F.col("lng"), F.col("h_lat"), F.col("h_lng")) <= limit_m
+    spread = lambda df: df.select("k", "state", "lat", "lng", "o", F.explode("near").alias("c")).select("k", "state", "lat", "lng", "o", "c.y", "c.x")
+    head = lambda df: df.select(*cell, F.col("o").alias("h_o"), F.col("state").alias("h_state"), F.col("lat").alias("h_lat"), F.col("lng").alias("h_lng"))
+    left, heads = first, None
+    while not left.isEmpty():
+        lead = cut(left.groupBy(*cell).agg(F.min_by(F.struct("state", "lat", "lng", "o", "near"), "o").alias("f")).select(*cell, "f.*"))
+        before = spread(lead).join(lead.select(*cell, F.col("o").alias("h_o")), cell).filter(F.col("h_o") < F.col("o")).select("o").distinct()
+        now = cut(lead.join(before, "o", "left_anti"))
+        gone = spread(left).join(head(now), cell).filter(fits & close).select("o").distinct()
+        left = cut(left.join(gone, "o", "left_anti"))
+        heads = now if heads is None else heads.unionByName(now)
+    if heads is None:
+        return s.select("id", F.col("id").alias("survivor"))
+    taken = spread(first).join(head(cut(heads)), cell).filter(fits & close & (F.col("h_o") <= F.col("o"))).groupBy(*place).agg(F.min("h_o").alias("h_o"))
+    taken = cut(taken.select(*place, F.col("h_o.id").alias("survivor")))
+    return s.join(taken, place, "left").select("id", F.coalesce("survivor", "id").alias("survivor"))
 
 
 def enrich(old: DataFrame, new: DataFrame, keys: Iterable[str]) -> DataFrame:
