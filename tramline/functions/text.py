@@ -120,20 +120,24 @@ def service_class(c: Column) -> Column:
     return first_match([(low.rlike(r"\b(ac|a/c|volvo|premium)\b"), "PREMIUM"), (low.rlike(r"\bexpress\b"), "EXPRESS"), (low.rlike(r"\bnight\b"), "NIGHT")], "REGULAR")
 
 
-# Labels of filters and menus that are no routes.
+# Labels of filters and menus that are no routes; kinds of scraped texts and the words that tell them, in
+# the order in which they count.
 UI_LABELS = ["filter", "search", "sort", "menu", "home", "next", "previous"]
+UI_KIND, ROUTE_KIND, NO_KIND = "Filter/UI Element", "Route", "Unknown"
+TEXT_KINDS = {"Authentication": ["login", "register", "password"], "Static Content": ["privacy", "terms", "about us", "contact us"], "District Page": ["district", "block", "panchayat"]}
 
 
 def candidate_kind(c: Column) -> Column:
-    """What a scraped text is: the first rule that holds."""
+    """What a scraped text is: a label, a kind that its words tell, a route if it has two different ends, or unknown."""
     low = F.trim(F.lower(c))
-    has = lambda *ws: reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in ws])
-    label = reduce(Column.__or__, [(low == w) | low.startswith(f"{w} ") | low.endswith(f" {w}") for w in UI_LABELS])
-    parts = F.filter(F.transform(F.split(low, r"\bto\b|-|→"), lambda p: F.trim(p)), lambda p: p != "")
-    first, last = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(-1))
-    two = (F.length(c) > 5) & (F.size(parts) >= 2)
-    bad = (first == last) | (F.length(first) < 3) | (F.length(last) < 3)
-    return first_match([(label, "Filter/UI Element"), (has("login", "register", "password"), "Authentication"), (has("privacy", "terms", "about us", "contact us"), "Static Content"), (has("district", "block", "panchayat"), "District Page"), (two & bad, "Filter/UI Element"), (two, "Route")], "Unknown")
+    any_of = lambda conditions: reduce(Column.__or__, conditions)
+    label = any_of([(low == w) | low.startswith(f"{w} ") | low.endswith(f" {w}") for w in UI_LABELS])
+    told = [(any_of([F.contains(low, F.lit(w)) for w in words]), kind) for kind, words in TEXT_KINDS.items()]
+    ends = F.filter(F.transform(F.split(low, r"\bto\b|-|→"), lambda p: F.trim(p)), lambda p: p != "")
+    first, last = F.try_element_at(ends, F.lit(1)), F.try_element_at(ends, F.lit(-1))
+    two = (F.length(c) > 5) & (F.size(ends) >= 2)
+    real = (first != last) & (F.length(first) >= 3) & (F.length(last) >= 3)
+    return first_match([(label, UI_KIND), *told, (two & ~real, UI_KIND), (two, ROUTE_KIND)], NO_KIND)
 
 
 def page_kind(url: Column) -> Column:

@@ -43,12 +43,17 @@ def service_day(c: Column) -> Column:
     return F.when(ok(PLAIN), clock(_part(v, PLAIN, 1), _part(v, PLAIN, 2))).when(ok(bare), clock(_part(v, bare, 1), _part(v, bare, 2)))
 
 
+# What may follow an hour on a notice board, and the hours that it adds to an hour of the half day.
+HALVES = {"am": 0, "midnight": 0, "pm": 12, "noon": 12}
+
+
 def notice_board(c: Column) -> Column:
-    """`h[:mm] [AM|PM|noon|midnight]`; other texts stay as they are, empty ones become null."""
-    v = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(c, " +", " ")), r"(?i)\bnoon\b", "PM"), r"(?i)\bmidnight\b", "AM")
-    p = r"(?i)^(\d{1,2})(?::(\d{2}))? *(AM|PM)?$"
-    h, half = _part(v, p, 1), F.upper(F.regexp_extract(v, p, 3))
-    hour = F.when((half == "PM") & (h < 12), h + 12).when((half == "AM") & (h == 12), 0).otherwise(h)
+    """`h[:mm] [AM|PM|noon|midnight]`; other texts stay as they are but for their spaces, empty ones become null."""
+    v = F.trim(F.regexp_replace(c, " +", " "))
+    p = rf"(?i)^(\d{{1,2}})(?::(\d{{2}}))? *({'|'.join(HALVES)})?$"
+    h, added = _part(v, p, 1), F.create_map(*[F.lit(x) for pair in HALVES.items() for x in pair])
+    half = F.try_element_at(added, F.lower(F.regexp_extract(v, p, 3)))
+    hour = F.when(half.isNotNull() & (h <= 12), h % 12 + half).otherwise(h)
     return F.when(v.rlike(p), clock(hour, F.coalesce(_part(v, p, 2), F.lit(0)))).otherwise(F.nullif(v, F.lit("")))
 
 

@@ -24,20 +24,25 @@ def later_calls(calls: DataFrame, stops: DataFrame, origin: str, destination: st
     return o.join(d, "trip_id").filter("e > s").select("trip_id", "origin", "destination", (F.col("e") - F.col("s")).cast("int").alias("hops"))
 
 
-def _pairs(calls: DataFrame, origins: Column) -> DataFrame:
-    o = calls.filter(origins).select("trip_id", F.col("stop_id").alias("origin"), F.col("seq").alias("s"))
+def _rides(calls: DataFrame, minutes: Column, condition: str) -> DataFrame:
+    """Fewest minutes and number of rides between two stops of a trip, s and e being their places on it.
+
+    A trip of n calls makes about n^2 / 2 pairs, which are counted before the shuffle.
+    """
+    o = calls.select("trip_id", F.col("stop_id").alias("origin"), F.col("seq").alias("s"))
     d = calls.select("trip_id", F.col("stop_id").alias("destination"), F.col("seq").alias("e"))
-    return o.join(d, "trip_id")
+    each = o.join(d, "trip_id").filter(condition).withColumn("m", minutes.cast("int"))
+    return each.groupBy("origin", "destination").agg(F.min("m").alias("minutes"), F.count("*").alias("rides"))
 
 
-def direct_legs(calls: DataFrame, origins: Column) -> DataFrame:
+def direct_legs(calls: DataFrame) -> DataFrame:
     """Rides along a trip's order: three minutes a hop, eight at least."""
-    return _pairs(calls, origins).filter("s < e").select("trip_id", "origin", "destination", F.greatest(F.lit(8), 3 * (F.col("e") - F.col("s"))).cast("int").alias("minutes"))
+    return _rides(calls, F.greatest(F.lit(8), 3 * (F.col("e") - F.col("s"))), "s < e")
 
 
-def line_legs(calls: DataFrame, origins: Column) -> DataFrame:
+def line_legs(calls: DataFrame) -> DataFrame:
     """Rides either way along a line: two minutes a hop and three to start, six at least."""
-    return _pairs(calls, origins).filter("s <> e").select("trip_id", "origin", "destination", F.greatest(F.lit(6), 2 * F.abs(F.col("e") - F.col("s")) + 3).cast("int").alias("minutes"))
+    return _rides(calls, F.greatest(F.lit(6), 2 * F.abs(F.col("e") - F.col("s")) + 3), "s <> e")
 
 
 def name_transfers(stations: DataFrame, stops: DataFrame) -> DataFrame:
@@ -46,12 +51,15 @@ def name_transfers(stations: DataFrame, stops: DataFrame) -> DataFrame:
     return stations.select(F.col("id").alias("station"), key).join(stops.select(F.col("id").alias("stop"), key), "k").filter(F.length("k") >= 4).select("station", "stop", F.lit(0.8).alias("confidence"))
 
 
-def two_legs(calls: DataFrame, origins: Column, destinations: Column, walk: int = 4) -> DataFrame:
-    """Fewest minutes over two rides that meet at a stop; each side is reduced to its best ride before they meet."""
-    minutes = F.greatest(F.lit(8), 3 * (F.col("e") - F.col("s")))
-    first = _pairs(calls, origins).filter("s < e").select("origin", F.col("destination").alias("via"), minutes.alias("m1")).groupBy("origin", "via").agg(F.min("m1").alias("m1"))
-    ends = calls.filter(destinations).select("trip_id", F.col("stop_id").alias("destination"), F.col("seq").alias("e"))
-    second = calls.select("trip_id", F.col("stop_id").alias("via"), F.col("seq").alias("s")).join(ends, "trip_id").filter("s < e").select("via", "destination", minutes.alias("m2")).groupBy("via", "destination").agg(F.min("m2").alias("m2"))
+def two_legs(calls: DataFrame, origins: DataFrame, walk: int = 4, legs: DataFrame | None = None) -> DataFrame:
+    """Fewest minutes from each of `origins` (origin) to every stop over two rides that meet at a stop.
+
+    Both rides are the best ones between their stops (direct_legs(), or `legs` if they are at hand), so what meets at a
+    stop is bounded by the stops around it, not by the rides through it.
+    """
+    legs = cut(direct_legs(calls)) if legs is None else legs
+    first = legs.join(origins, "origin", "left_semi").select("origin", F.col("destination").alias("via"), F.col("minutes").alias("m1"))
+    second = legs.select(F.col("origin").alias("via"), "destination", F.col("minutes").alias("m2"))
     both = first.join(second, "via").filter("origin <> destination")
     return both.groupBy("origin", "destination").agg(F.min(F.col("m1") + walk + F.col("m2")).cast("int").alias("minutes"))
 
@@ -127,14 +135,18 @@ def access(stops: DataFrame, lat: float, lng: float, most_m: float = ACCESS_M) -
 LEG = "struct<trip_id:bigint,board:bigint,alight:bigint,minutes:bigint>"
 
 
-def reach_paths(origins: DataFrame, calls: DataFrame, stops: DataFrame, rounds: int = 2, banned: DataFrame | None = None) -> DataFrame:
-    """reach() without walks, with the legs of the best way: stop_id, minutes and path (an array of LEG).
+def ride_table(calls: DataFrame, stops: DataFrame) -> DataFrame:
+    """hops() as the rounds read it, written once for all of them."""
+    return cut(hops(calls, stops).select("trip_id", "segment", "pos", "stop_id", "hop_min"))
+
+
+def reach_paths(origins: DataFrame, ride: DataFrame, rounds: int = 2, banned: list[int] | None = None) -> DataFrame:
+    """reach() without walks over a ride_table(), with the legs of the best way: stop_id, minutes and path (an array of LEG).
 
     The running minimum is over structs, so the way there travels with its cost; ties go to the smaller boarding
-    stop. Trips of `banned` (trip_id) are not used.
+    stop. The few trips of `banned` are not used.
     """
-    ride = hops(calls, stops).select("trip_id", "segment", "pos", "stop_id", "hop_min")
-    ride = cut(ride if banned is None else ride.join(banned, "trip_id", "left_anti"))
+    ride = ride.filter(~F.col("trip_id").isin(banned)) if banned else ride
     along = W.partitionBy("trip_id", "segment").orderBy("pos")
     cum = F.sum(F.coalesce("hop_min", F.lit(0))).over(along.rowsBetween(W.unboundedPreceding, 0))
     labels = origins.select("stop_id", F.col("minutes").cast("bigint").alias("minutes"), F.array().cast(f"array<{LEG}>").alias("path"))
@@ -155,12 +167,14 @@ def legs(labels: DataFrame) -> DataFrame:
     return labels.select("stop_id", F.posexplode("path").alias("leg", "l")).select("stop_id", (F.col("leg") + 1).alias("leg"), "l.*")
 
 
-def alternatives(origins: DataFrame, calls: DataFrame, stops: DataFrame, target: int, passes: int = 3) -> DataFrame:
-    """Up to `passes` ways to one stop, each without the trips that the earlier ones board first; stops when a way repeats or is missing."""
-    spark, banned, seen, out = calls.sparkSession, [], set(), []
+def alternatives(origins: DataFrame, ride: DataFrame, target: int, passes: int = 3) -> DataFrame:
+    """Up to `passes` ways to one stop, each without the trips that the earlier ones board first; stops when a way repeats or is missing.
+
+    Each pass depends on the way that the one before found, so one row a pass comes to the driver.
+    """
+    spark, banned, seen, out = ride.sparkSession, [], set(), []
     for number in range(passes):
-        ban = spark.createDataFrame([(t,) for t in banned], "trip_id bigint") if banned else None
-        way = reach_paths(origins, calls, stops, banned=ban).filter(F.col("stop_id") == target).first()  # one row
+        way = reach_paths(origins, ride, banned=banned).filter(F.col("stop_id") == target).first()
         sign = tuple(leg["trip_id"] for leg in way["path"]) if way else ()
         if not sign or sign in seen:
             break

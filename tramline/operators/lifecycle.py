@@ -25,17 +25,21 @@ def landable(routes: DataFrame, trips: DataFrame, stops: DataFrame, calls: DataF
 def content_hash(df: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """A hash of each group's rows that doesn't depend on their order: rows are hashed, then their hashes added up.
 
-    Sums of four 32-bit parts need no collected list, so a group may be of any size.
+    Sums of four 32-bit parts need no collected list, so a group may be of any size. Each field is written as its
+    length, a colon and its text, or as n if it is null, so no two different rows are written alike.
     """
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), 256)
+    field = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("n"))
+    row = F.sha2(F.concat(*[field(F.col(c)) for c in columns]), 256)
     parts = [F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("bigint")).alias(f"_p{i}") for i in range(4)]
     sums = df.withColumn("_h", row).groupBy(*group).agg(F.count("*").alias("rows"), *parts)
     return sums.select(*group, "rows", F.sha2(F.concat_ws("|", *[F.col(f"_p{i}").cast("string") for i in range(4)], F.col("rows").cast("string")), 256).alias("content_hash"))
 
 
-def skip_unchanged(landed: DataFrame, known: DataFrame, keys: Sequence[str], hash_col: str = "content_hash") -> DataFrame:
-    """Rows of `landed` whose hash differs from the latest known one of their key."""
-    return landed.join(known.select(*keys, hash_col).distinct(), [*keys, hash_col], "left_anti")
+def skip_unchanged(landed: DataFrame, known: DataFrame, keys: Sequence[str], order: str, hash_col: str = "content_hash") -> DataFrame:
+    """Rows of `landed` whose hash differs from the latest known one (by `order`) of their key; a change back to an
+    earlier content lands."""
+    last = known.groupBy(*keys).agg(F.max_by(hash_col, order).alias(hash_col))
+    return landed.join(last, [*keys, hash_col], "left_anti")
 
 
 def quarantine(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
@@ -62,22 +66,34 @@ def over_threshold(failed: Column, total: Column) -> Column:
 
 
 class Snapshots:
-    """Versions of one dataset as Parquet folders, and a pointer to the active one, all in a folder that Spark reaches."""
+    """Versions of one dataset as Parquet folders, and numbered pointers, all in a folder that Spark reaches.
+
+    The pointer of the highest number names the active version. A pointer is written beside its place and renamed to a
+    number that isn't taken, so a reader finds the old version or the new one, and a crash leaves the old one.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
         self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _last(self) -> int:
+        """The highest pointer number; 0 if there is none."""
+        if not self.fs.exists(self.path(self.root)):
+            return 0
+        names = [f.getPath().getName() for f in self.fs.listStatus(self.path(self.root))]
+        return max((int(n[7:]) for n in names if n.startswith("ACTIVE-") and n[7:].isdigit()), default=0)
+
     def active(self) -> DataFrame | None:
-        pointer = f"{self.root}/ACTIVE"
-        if not self.fs.exists(self.path(pointer)):
+        number = self._last()
+        if not number:
             return None
-        version = json.loads(self.spark.read.text(pointer, wholetext=True).first()[0])["version"]
+        version = json.loads(self.spark.read.text(f"{self.root}/ACTIVE-{number}", wholetext=True).first()[0])["version"]
         return self.spark.read.parquet(f"{self.root}/{version}")
 
     def promote(self, df: DataFrame, rules: Sequence[tuple[str, Column]] = (), key: str | None = None) -> str:
-        """Writes a version, checks it as written, then moves the pointer. A version that fails leaves the pointer alone."""
+        """Writes a version, checks it as written, then adds a pointer to it. A version that fails gets none."""
+        number = self._last()
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{version}")
         new = self.spark.read.parquet(f"{self.root}/{version}")
@@ -89,13 +105,21 @@ class Snapshots:
         old = self.active()
         if old is not None and found["rows"] < old.count() / 2:
             raise ValueError(f"{version} is refused: it has fewer than half of the active rows")
-        text = self.fs.create(self.path(f"{self.root}/.ACTIVE"), True)
+        beside, place = self.path(f"{self.root}/.{version}"), self.path(f"{self.root}/ACTIVE-{number + 1}")
+        text = self.fs.create(beside, True)
         text.write(bytearray(json.dumps({"version": version}).encode()))
         text.close()
-        self.fs.delete(self.path(f"{self.root}/ACTIVE"), False)
-        self.fs.rename(self.path(f"{self.root}/.ACTIVE"), self.path(f"{self.root}/ACTIVE"))
+        if self.fs.exists(place) or not self.fs.rename(beside, place):
+            raise ValueError(f"{version} is refused: another version was promoted meanwhile")
         return version
 
 
+def refuse_shrink(harvests: DataFrame, key: str, timed: Column, least: int) -> DataFrame:
+    """Per key: how many were harvested, how many of them are timed, and whether to keep the version before: with no
+    timed ones, or fewer than `least` in all."""
+    n = harvests.groupBy(key).agg(F.count("*").alias("harvested"), F.count_if(timed).alias("timed"))
+    return n.withColumn("refused", (F.col("timed") == 0) | (F.col("harvested") < least))
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return distinct_on(df, keys, order)

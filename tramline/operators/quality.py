@@ -1,4 +1,4 @@
-"""Data-quality gates, health and audits; one pass over each table."""
+"""Data-quality gates, health and audits; each reads a table no more often than its groupings need."""
 
 from __future__ import annotations
 
@@ -29,25 +29,44 @@ def coverage(stops: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def gates(stops: DataFrame, routes: DataFrame, trips: DataFrame, calls: DataFrame) -> DataFrame:
-    """All gates as rows: rule, severity, actual, passed. Only broken errors stop a promotion."""
-    s = stops.agg((F.count("lat") * 10000 / F.greatest(F.count("*"), F.lit(1))).cast("bigint").alias("actual")).select(F.lit("COORDINATE_COVERAGE_MIN_90").alias("rule"), F.lit("WARNING").alias("severity"), "actual", (F.col("actual") >= 9000).alias("passed"))
-
-    def zero(df: DataFrame, rule: str, severity: str) -> DataFrame:
-        return df.agg(F.count("*").alias("actual")).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "actual", (F.col("actual") == 0).alias("passed"))
-
-    def share(df: DataFrame, c: Column, rule: str) -> DataFrame:
-        per = df.agg((F.count(c) * 10000 / F.greatest(F.count("*"), F.lit(1))).cast("bigint").alias("actual"), F.count("*").alias("n"))
-        return per.select(F.lit(rule).alias("rule"), F.lit("WARNING").alias("severity"), "actual", ((F.col("actual") >= 1000) | (F.col("n") == 0)).alias("passed"))
-
-    twins = stops.groupBy("provider", F.lower("name").alias("k")).agg(F.count("*").alias("n")).filter("n > 1")
-    orphans = stops.join(calls, F.col("stop_id") == F.col("id"), "left_anti")
-    empty = routes.join(trips, routes["id"] == trips["route_id"], "left_anti")
-    # A trip's steps in one aggregate serve both sequence gates.
-    steps = calls.groupBy("trip_id", "seq").agg(F.count("*").alias("n")).groupBy("trip_id").agg(F.sum("n").alias("n"), F.count("*").alias("steps"), F.min("seq").alias("low"), F.max("seq").alias("high"))
-    parts = [s, zero(twins, "DUPLICATE_STOPS_EXIST", "WARNING"), zero(orphans, "ORPHAN_STOPS", "WARNING"), zero(empty, "ROUTE_DISCONNECTED", "ERROR"), zero(steps.filter("n <> steps or low <> 1 or high <> n"), "STOP_SEQUENCE_INVALID", "ERROR"), zero(steps.filter("n < 2"), "STOP_SEQUENCE_TOO_SHORT", "WARNING"), share(calls, F.col("departs"), "TIMETABLE_COVERAGE_LOW"), share(routes, F.nullif("fare_inr", F.lit(0)), "FARE_COVERAGE_LOW")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """All gates as rows: rule, severity, actual, passed. Only broken errors stop a promotion.
+
+    Three aggregates feed them: stops by provider and name with how many are located and called at, calls by trip with
+    their steps and times, and routes with whether they have trips. Stops and routes are read once, calls twice: by
+    trip and by stop.
+    """
+    called = calls.select(F.col("stop_id").alias("id")).distinct().withColumn("called", F.lit(1))
+    by_name = stops.join(called, "id", "left").groupBy("provider", F.lower("name").alias("k")).agg(F.count("*").alias("n"), F.count("lat").alias("located"), F.count("called").alias("called"))
+    s = by_name.agg(*[F.coalesce(c, F.lit(0)).alias(a) for a, c in (("stops", F.sum("n")), ("located", F.sum("located")), ("orphans", F.sum("n") - F.sum("called")), ("twins", F.count_if(F.col("n") > 1)))])
+    by_step = calls.groupBy("trip_id", "seq").agg(F.count("*").alias("n"), F.count("departs").alias("timed"))
+    by_trip = by_step.groupBy("trip_id").agg(F.sum("n").alias("n"), F.count("*").alias("steps"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.sum("timed").alias("timed"))
+    c = by_trip.agg(*[F.coalesce(x, F.lit(0)).alias(a) for a, x in (("calls", F.sum("n")), ("timed", F.sum("timed")), ("broken", F.count_if(F.expr("n <> steps or low <> 1 or high <> n"))), ("short", F.count_if(F.col("n") < 2)))])
+    ridden = trips.select(F.col("route_id").alias("id")).distinct().withColumn("ridden", F.lit(1))
+    r = routes.join(ridden, "id", "left").agg(F.count("*").alias("routes"), F.count(F.nullif("fare_inr", F.lit(0))).alias("fares"), (F.count("*") - F.count("ridden")).alias("empty"))
+    share = lambda part, all_: F.floor(F.col(part) * 10000 / F.greatest(F.col(all_), F.lit(1))).cast("bigint")
+    zero = lambda part: (F.col(part), F.col(part) == 0)
+    most = lambda part, all_, least: (share(part, all_), (share(part, all_) >= least) | (F.col(all_) == 0))
+    rules = [
+        ("COORDINATE_COVERAGE_MIN_90", "WARNING", share("located", "stops"), share("located", "stops") >= 9000),
+        ("DUPLICATE_STOPS_EXIST", "WARNING", *zero("twins")),
+        ("ORPHAN_STOPS", "WARNING", *zero("orphans")),
+        ("ROUTE_DISCONNECTED", "ERROR", *zero("empty")),
+        ("STOP_SEQUENCE_INVALID", "ERROR", *zero("broken")),
+        ("STOP_SEQUENCE_TOO_SHORT", "WARNING", *zero("short")),
+        ("TIMETABLE_COVERAGE_LOW", "WARNING", *most("timed", "calls", 1000)),
+        ("FARE_COVERAGE_LOW", "WARNING", *most("fares", "routes", 1000)),
+    ]
+    each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), actual.cast("bigint").alias("actual"), passed.alias("passed")) for rule, severity, actual, passed in rules])
+    return s.crossJoin(c).crossJoin(r).select(F.explode(each).alias("g")).select("g.*")  # one row each
+
+
+def counts(tables: dict[str, tuple[DataFrame, dict[str, str]]]) -> DataFrame:
+    """Metric and number of rows (or of non-null values, for a column) of several tables, each read once."""
+    out = None
+    for df, metrics in tables.values():
+        one = df.agg(*[F.count(c).alias(m) for m, c in metrics.items()])
+        rows = one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("n")) for m in metrics])).alias("r")).select("r.*")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

@@ -17,23 +17,27 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def run(stream: DataFrame, mode: str, target: str) -> DataFrame:
-    """Runs a stream over all that has landed. Each batch goes to a folder of its own; in complete mode the last one counts."""
+    """Runs a stream over all that has landed. Each batch goes to a folder of its own (column batch), which a repeat of it overwrites."""
     base = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        folder = "all" if mode == "complete" else f"batch={number}"
-        batch.write.mode("overwrite").parquet(f"{base}/{target}/{folder}")
+        batch.write.mode("overwrite").parquet(f"{base}/{target}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{base}/{target}/all" if mode == "complete" else f"{base}/{target}")
+    return stream.sparkSession.read.parquet(f"{base}/{target}")
 
 
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events and users for each hour and kind of event. Users are counted by a first aggregate over (hour, kind, user)."""
+    """Events and users for each hour and kind of event. Users are counted by a first aggregate over (hour, kind, user).
+
+    In update mode a batch writes what it changed, with the count so far, and state past the watermark is dropped; the
+    latest count of a key is its largest.
+    """
     events = stream_of(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "2 hours")
     each = events.groupBy(F.window("at", "1 hour").alias("w"), "event_type", "user_id").agg(F.count("*").alias("n"))
-    per_user = run(each.select(F.col("w.start").alias("start"), "event_type", "user_id", "n"), "complete", "hours")
+    per_user = run(each.select(F.col("w.start").alias("start"), "event_type", "user_id", "n"), "update", "hours")
+    per_user = per_user.groupBy("start", "event_type", "user_id").agg(F.max("n").alias("n"))
     return per_user.groupBy("event_type", F.date_format("start", "yyyy-MM-dd HH:00").alias("hour")).agg(F.sum("n").alias("n"), F.count("*").alias("users"))
 
 
