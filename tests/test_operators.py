@@ -3,29 +3,154 @@
 from __future__ import annotations
 
 import io
+import math
 import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from tramline.operators import journey, lifecycle, relational, resolve, spatial, timetable
-from tramline.sources import feeds
+from tramline.operators import journey, lifecycle, mapping, relational, resolve, spatial, timetable
+from tramline.sources import feeds, pages
 from tramline.streaming import landing
 
 
+def metres(lat1, lng1, lat2, lng2):
+    p, q = math.radians(lat1), math.radians(lat2)
+    a = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(lng2 - lng1) / 2) ** 2
+    return 2 * 6371000.0 * math.asin(min(1.0, math.sqrt(a)))
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_radius_pairs_match_all_pairs(spark):
+@pytest.mark.parametrize(("lat", "lng", "wide", "limit"), [(22, 88, 0.1, 1500), (65, 10, 0.1, 1500), (-65, 179.95, 0.1, 1500), (89.9, -180, 360, 4000), (-89.97, 0, 360, 30_000), (0, 180, 0.1, 1500)])
+def test_radius_pairs_match_all_pairs(spark, lat, lng, wide, limit):
     rng = random.Random(5)
-    pts = [(i, 22 + rng.random() / 10, 88 + rng.random() / 10) for i in range(120)] + [(900, None, None)]
-    got = {(r["a"], r["b"]) for r in spatial.radius_pairs(spark.createDataFrame(pts, "id bigint, lat double, lng double"), 1500).collect()}
-    want = {(a[0], b[0]) for a in pts[:-1] for b in pts[:-1] if a[0] < b[0] and resolve._metres(a[1], a[2], b[1], b[2]) <= 1500}
+    pts = [(i, lat + rng.random() / 10, (lng + rng.random() * wide + 180) % 360 - 180) for i in range(120)] + [(900, None, None)]
+    got = {(r["a"], r["b"]) for r in spatial.radius_pairs(spark.createDataFrame(pts, "id bigint, lat double, lng double"), limit).collect()}
+    want = {(a[0], b[0]) for a in pts[:-1] for b in pts[:-1] if a[0] < b[0] and metres(a[1], a[2], b[1], b[2]) <= limit}
     assert got == want and want
 
 
+def slow_dbscan(pts, eps, least):
+    """Cluster of each row of (row, key, lat, lng): the smallest core row that it is connected to, or None."""
+    near = [[j for j, b in enumerate(pts) if a[1] == b[1] and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= eps * eps] for a in pts]
+    core = {i for i, n in enumerate(near) if len(n) >= least}
+    label = {}
+    for i in sorted(core, key=lambda i: pts[i][0]):
+        todo = [] if i in label else [i]
+        while todo:
+            j = todo.pop()
+            if j not in label:
+                label[j] = pts[i][0]
+                todo += [k for k in near[j] if k in core]
+    return {pts[i][0]: (i in core, label.get(i, min((label[j] for j in near[i] if j in core), default=None))) for i in range(len(pts))}
+
+
+@pytest.mark.parametrize("spread", [0.6, 1.5, 4.0])
+def test_dbscan_equals_its_definition(spark, spread):
+    rng, pts = random.Random(int(spread * 10)), []
+    for key in ("a", "b", None):
+        for _ in range(6):
+            y, x = 20 + rng.random() * spread * 3, 80 + rng.random() * spread * 3
+            pts += [(key, y + rng.gauss(0, 0.25), x + rng.gauss(0, 0.25)) for _ in range(rng.choice([2, 4, 12]))]
+        pts += [(key, 20 + rng.random() * spread * 3, 80 + rng.random() * spread * 3) for _ in range(15)]
+        pts += [(key, 30.0, 90.0)] * 5 + [(key, 30.0, 90.5), (key, 30.0, 91.0)] + [(key, -5.0, -5.0)] * 3  # as far as eps; too few
+    order = rng.sample(range(len(pts)), len(pts))
+    data = [(i, *p) for i, p in zip(order, pts, strict=True)]
+    df = spark.createDataFrame([*data, (999, "a", None, None)], "id bigint, key string, lat double, lng double")
+    out = spatial.dbscan(df, "key")
+    assert {r["id"]: (r["core"], r["cluster"]) for r in out.collect()} == slow_dbscan(data, 0.5, 5)
+    hulls = {(r["key"], r["cluster"]): (r["corners"], round(r["south"], 9), round(r["east"], 9)) for r in spatial.hulls(out.filter("cluster is not null"), ["key", "cluster"]).collect()}
+    for (key, cluster), got in hulls.items():
+        own = {(p[2], p[3]) for p in data if slow_cluster(data)[p[0]] == cluster and p[1] == key}
+        corners = [p for p in own if len(own) < 3 or any(all((a[0] - p[0]) * math.cos(t) + (a[1] - p[1]) * math.sin(t) < 0 for a in own if a != p) for t in [k * math.pi / 3600 for k in range(7200)])]
+        assert abs(len(corners) - got[0]) <= 1 and got[1:] == (round(min(p[0] for p in own) - 0.1, 9), round(max(p[1] for p in own) + 0.1, 9))
+    assert spatial.dbscan(df.limit(0), "key").count() == 0
+
+
+def slow_cluster(data, known={}):  # noqa: B006
+    if id(data) not in known:
+        known[id(data)] = {i: c for i, (_, c) in slow_dbscan(data, 0.5, 5).items()}
+    return known[id(data)]
+
+
+def slow_greedy(stops, busy, limit):
+    """The pass over stops in order: each joins the first survivor of its name that is near and of a compatible state."""
+    out, heads = {}, {}
+    for i, name, state, lat, lng in sorted(stops, key=lambda s: (-busy.get(s[0], 0), not s[2], s[0])):
+        out[i] = i
+        if lat is None:
+            continue
+        own = heads.setdefault("".join(c for c in (name or "").lower() if c.isascii() and c.isalnum()), [])
+        for h in own:
+            if (not h[2] or not state or h[2] == state) and metres(h[3], h[4], lat, lng) <= limit:
+                out[i] = h[0]
+                break
+        else:
+            own.append((i, name, state, lat, lng))
+    return out
+
+
+@pytest.mark.parametrize("wide", [0.002, 0.01])
+def test_cluster_greedy_equals_a_pass_in_order(spark, wide):
+    rng = random.Random(int(wide * 1000))
+    stops = [(i, rng.choice(["Garia", "GARIA.", "Park", "পার্ক", None]), rng.choice(["WB", "OD", "", None]), 22 + rng.random() * wide, 88 + rng.random() * wide) for i in range(400)]
+    stops += [(500 + i, "Row", "WB", 22 + i * 0.001, 88.0) for i in range(40)] + [(600 + i, "Spot", rng.choice(["WB", ""]), 22.5, 88.5) for i in range(60)] + [(700, "Park", "WB", None, None)]
+    busy = {i: rng.randint(0, 6) for i in rng.sample(range(760), 300)}
+    got = resolve.cluster_greedy(spark.createDataFrame([(i, n, "p", s, a, b) for i, n, s, a, b in stops], "id bigint, name string, provider string, state string, lat double, lng double"), spark.createDataFrame(list(busy.items()), "stop_id bigint, services bigint"))
+    assert {r["id"]: r["survivor"] for r in got.collect()} == slow_greedy(stops, busy, 150.0)
+
+
+def similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    n = max(len(a), len(b))
+    return 1.0 if n == 0 else (n - row[-1]) / n
+
+
+def test_resolve_names_equals_a_pass_over_all_places(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choices("abcde ", k=rng.randint(3, 24))) for _ in range(60)]
+    places = [(i, n) for i, n in enumerate(base[:40])] + [(90, base[3]), (91, None)]
+    wanted = {"", *base[30:]}
+    for n in base:
+        for _ in range(4):
+            t = list(n)
+            for _ in range(rng.randint(1, 4)):
+                at = rng.randrange(len(t))
+                rng.choice([lambda: t.__setitem__(at, "z"), lambda: t.insert(at, "y"), lambda: t.pop(at) if len(t) > 1 else None])()
+            wanted.add("".join(t))
+    aliases = [("central", 5), ("central", 7), ("nowhere", 999)]
+    wanted |= {"central", "nowhere"}
+    names = {n: min(i for i, m in places if m == n) for _, n in places if n is not None}
+    left, want = [], {}
+    for w in sorted(wanted):
+        best = max(((similarity(w, n), -i, n) for n, i in names.items()), default=None)
+        if w in names:
+            want[w] = (w, "exact")
+        elif w == "central":
+            want[w] = (base[5], "alias")
+        elif best[0] >= 0.85:
+            want[w] = (best[2], "fuzzy")
+        else:
+            left.append(w)
+    made = []
+    for w in left:
+        near = [(-similarity(w, m), m) for m in made if similarity(w, m) >= 0.85]
+        want[w] = (None, "created") if not near else (min(near)[1], "merged")
+        if not near:
+            made.append(w)
+    got = resolve.resolve_names(spark.createDataFrame([(w,) for w in [*wanted, None, "central"]], "wanted string"), spark.createDataFrame(places, "id bigint, name string"), spark.createDataFrame(aliases, "alias string, place_id bigint"))
+    assert {r["wanted"]: (r["place"], r["how"]) for r in got.collect()} == want and {"merged", "fuzzy", "created"} <= {h for _, h in want.values()}
+
+
 def test_ride_round_equals_sequential_rule(spark):
     rng = random.Random(8)
     calls, labels = [], {s: rng.randint(0, 60) for s in rng.sample(range(40), 12)}
@@ -91,6 +216,110 @@ def test_content_hash_ignores_order_and_partitions(spark):
     assert a == b and rows(lifecycle.content_hash(df.filter("id <> 7"), ["id", "name"], ["g"])) != a
 
 
+def test_numbers_follow_the_order_over_all_ranges(spark):
+    rng = random.Random(1)
+    names = [f"n{rng.randrange(10**6):06d}" for _ in range(3000)]
+    df = spark.createDataFrame([(n,) for n in {*names, None}], "name string").repartition(7)
+    got = [r["name"] for r in relational.numbered(df, "name").orderBy("id").collect()]
+    assert got == [None, *sorted(set(names))]
+    assert relational.numbered(df.limit(0), "name").count() == 0
+
+
+def test_first_come_keeps_what_a_pass_keeps(spark):
+    rng = random.Random(3)
+    links = {tuple(sorted(rng.sample(range(200), 2))) for _ in range(260)} | {(i, i + 1) for i in range(300, 340)}
+    nodes, kept = sorted({x for e in links for x in e} | {500}), []
+    for n in nodes:
+        if not any((k, n) in links for k in kept):
+            kept.append(n)
+    got = resolve.first_come(spark.createDataFrame([(n,) for n in nodes], "node bigint"), spark.createDataFrame(list(links), "early bigint, late bigint"))
+    assert [r["node"] for r in got.orderBy("node").collect()] == kept
+    assert resolve.first_come(spark.createDataFrame([], "node bigint"), spark.createDataFrame([], "early bigint, late bigint")).count() == 0
+
+
+def test_content_hash_tells_fields_apart(spark):
+    pairs = [("a|b", "c"), ("a", "b|c"), ("\\N", "x"), (None, "x"), ("n", "x"), ("1:a", ""), ("", "1:a"), (None, None), ("", "")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "g int, a string, b string")
+    assert len({r["content_hash"] for r in lifecycle.content_hash(df, ["a", "b"], ["g"]).collect()}) == len(pairs)
+
+
+def test_a_change_back_to_an_earlier_content_lands(spark):
+    known = spark.createDataFrame([("p", "old", 1), ("p", "new", 2), ("q", "one", 1)], "k string, content_hash string, at int")
+    landed = spark.createDataFrame([("p", "old"), ("p", "new"), ("q", "one"), ("r", "one")], "k string, content_hash string")
+    assert rows(lifecycle.skip_unchanged(landed, known, ["k"], "at")) == [("p", "old"), ("r", "one")]
+
+
+def test_experimental_routes_go_with_what_hangs_on_them(spark):
+    routes = spark.createDataFrame([(1, "exp_a"), (2, "exp_b"), (3, "exp_keep"), (4, "real")], "id bigint, external_id string")
+    trips = spark.createDataFrame([(10, 2)], "id bigint, route_id bigint")
+    stops = spark.createDataFrame([(100, 1), (101, 2), (102, 3), (103, 4)], "id bigint, route_id bigint")
+    marked = relational.experimental(routes, trips, F.col("external_id").startswith("exp_"), F.col("external_id").isin("exp_keep"))
+    left = relational.prune(marked, F.col("doomed"), [(stops, "route_id")])
+    assert [r["id"] for r in left[0].orderBy("id").collect()] == [2, 3, 4] and [r["id"] for r in left[1].orderBy("id").collect()] == [101, 102, 103]
+
+
+def test_gates_of_empty_tables(spark):
+    from tramline.operators import quality
+
+    stops = spark.createDataFrame([], "id bigint, name string, provider string, lat double")
+    routes, trips = spark.createDataFrame([], "id bigint, fare_inr bigint"), spark.createDataFrame([], "route_id bigint")
+    calls = spark.createDataFrame([], "trip_id bigint, stop_id bigint, seq bigint, departs string")
+    got = {r["rule"]: (r["actual"], r["passed"]) for r in quality.gates(stops, routes, trips, calls).collect()}
+    assert got["COORDINATE_COVERAGE_MIN_90"] == (0, False) and all(v == (0, True) for k, v in got.items() if k != "COORDINATE_COVERAGE_MIN_90")
+
+
+def test_alternatives_equal_a_search_by_hand(spark):
+    """Two trips reach stop 3 directly, one by a change; each pass bans the trip boarded first."""
+    calls = [(1, 0, 1, 1, None), (1, 0, 2, 3, 10), (2, 0, 1, 1, None), (2, 0, 2, 3, 12), (3, 0, 1, 1, None), (3, 0, 2, 2, 3), (4, 0, 1, 2, None), (4, 0, 2, 3, 4)]
+    ride = spark.createDataFrame(calls, "trip_id bigint, segment bigint, pos int, stop_id bigint, hop_min bigint")
+    origin = spark.createDataFrame([(1, 0)], "stop_id bigint, minutes bigint")
+    got = journey.alternatives(origin, ride, 3, passes=4)
+    assert [tuple(r) for r in got.collect()] == [(1, 16, 1, "1"), (2, 18, 1, "2"), (3, 19, 2, "3>4")]
+
+
+FILES = {
+    "bus": ("<table class='table-striped'><tr><td>Bus Name</td><td>Sri &amp; Co<td>  </tr><tr><th>Depot</th><td>A<br>B</td></tr></table><div class='x row sud y'><div> 1 </div><div>06:10</div><div>Old  Stand</div><div>_ _ : _ _</div></div><div class='row sud'><div>2</div><div>bad</div><div>Town</div><div>18:05</div></div><div class='row'><div>no</div></div>", [("field", "Bus Name", "Sri & Co", "", None), ("field", "Depot", "AB", None, None), ("call", "1", "06:10", "Old Stand", "_ _ : _ _"), ("call", "2", "bad", "Town", "18:05")]),
+    "cut": ("<table><tr><td>Bus Name</td><td>X</td></tr><div class='row sud'><div>1</div><div>06:10", [("field", "Bus Name", "X", None, None)]),
+    "none": (None, []),
+}
+
+
+def test_bus_pages_as_landed(spark):
+    df = spark.createDataFrame([(i, html) for i, (html, _) in enumerate(FILES.values())], "page_id bigint, html string")
+    out = pages.bus_detail(df)
+    for i, (_, want) in enumerate(FILES.values()):
+        assert [tuple(r)[1:2] + tuple(r)[3:] for r in out.filter(F.col("page_id") == i).orderBy("n").collect()] == want
+    calls = {(r["stop"], r["up"], r["down"]) for r in pages.bus_calls(out).collect()}
+    assert calls == {("Old Stand", "06:10", None), ("Town", None, "18:05")}
+
+
+def test_line_pages_as_landed(spark):
+    html = "<section data-purple-line='Purple'><ul><li data-station-name='A &amp; B' data-sequence='1' data-interchange='true'>x<li data-station-name='C' data-sequence=' 2 '><li data-station-name='C2' data-sequence='2'></ul></section><li data-station-name='outside' data-sequence='9'><section data-green-line='Green'><li data-station-name='D' data-sequence='x' data-interchange='YES'>"
+    out = pages.metro_lines(spark.createDataFrame([(1, html), (2, None)], "page_id bigint, html string")).collect()
+    assert [tuple(r)[1:] for r in out] == [("Purple", "A & B", 1, True), ("Purple", "C", 2, False), ("Purple", "C2", 2, False), ("Green", "D", None, True)]
+
+
+def test_lines_and_harvests_as_landed(spark):
+    lines = ['"a, b","say ""x"""', "plain,", ',"',  "", '" x ", y ,z']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    naive = [r["f"] for r in df.select(feeds.naive_fields(F.col("line")).alias("f")).collect()]
+    assert naive == [["a", "b", "say \"\"x\"\""], ["plain", ""], ["", ""], [""], [" x ", "y", "z"]]
+    strict = [tuple(r["f"]) if r["f"] else None for r in df.limit(2).select(feeds.csv_fields(F.col("line"), ["a", "b"]).alias("f")).collect()]
+    assert strict == [("a, b", 'say "x"'), ("plain", None)]
+    bodies = ['{"nodes":[{"externalId":"a"}],"routePatterns":[{}],"trips":[{"stopTimes":[{"departureTime":null,"arrivalTime":"06:00"}]},{"stopTimes":[]}]}', '{"nodes":[{"externalId":"a"}],"routePatterns":[{}],"trips":[{"stopTimes":[{"departureTime":null}]}]}', "{broken", None]
+    got = feeds.harvests(spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")).orderBy("i").collect()
+    assert [(r["nodes"], r["routes"], r["timed"], r["refused"]) for r in got] == [(1, 1, 1, None), (1, 1, 0, "NO_TIMED_TRIPS"), (0, 0, 0, "NO_NODES"), (0, 0, 0, "NO_NODES")]
+
+
+def test_open_feeds_with_what_they_lack(spark):
+    osm = spark.createDataFrame([(1, None, {"railway": "station", "highway": "bus_stop", "name": " Big ", "alt_name": "B"}, 1.0, 2.0), (2, "own", {"name": "", "name:en": ""}, None, None), (3, None, None, None, None)], "id bigint, name string, tags map<string,string>, lat double, lon double")
+    got = [tuple(r) for r in mapping.osm_nodes(osm).orderBy("id").collect()]
+    assert got == [(1, "OPENSTREETMAP", "BUS_STOP", " Big ", "big", ["B"], 1.0, 2.0, 0.95), (2, "OPENSTREETMAP", "BUS_STOP", "own", "own", [], 22.5726, 88.3639, 0.95), (3, "OPENSTREETMAP", "BUS_STOP", "OSM Stop 3", "osm stop 3", [], 22.5726, 88.3639, 0.95)]
+    places = spark.createDataFrame([(1, "", "N", {"ISO3166-2-lvl4": "IN-OD", "town": "T", "county": "C"}, " 22.5x", "abc"), (2, None, None, None, None, None)], "id bigint, display_name string, name string, address map<string,string>, lat string, lon string")
+    got = [(r["name"], r["aliases"], r["lat"], r["lng"], r["state"], r["district"], r["block"], r["city"]) for r in mapping.nominatim_nodes(places).orderBy("id").collect()]
+    assert got == [("N", ["T"], 22.5, 0.0, "OD", "C", "C", "T"), ("Nominatim Place 2", [], 0.0, 0.0, "WB", None, None, None)]
+
+
 def test_promotion_moves_the_pointer_only_when_rules_hold(spark, tmp_path):
     snap = lifecycle.Snapshots(spark, str(tmp_path))
     assert snap.active() is None
@@ -140,7 +369,7 @@ def test_paths_add_up_and_match_costs(spark):
     calls = [(t, s, n, 0, 0, None, "A") for t in range(8) for n, s in enumerate(rng.sample(range(12), 4))]
     df = spark.createDataFrame(calls, "trip_id bigint, stop_id bigint, seq bigint, platform bigint, minute bigint, departs string, time_source string")
     origin = spark.createDataFrame([(0, 0)], "stop_id bigint, minutes bigint")
-    paths = {r["stop_id"]: r for r in journey.reach_paths(origin, df, stops).collect()}
+    paths = {r["stop_id"]: r for r in journey.reach_paths(origin, journey.ride_table(df, stops)).collect()}
     costs = {r["stop_id"]: r["minutes"] for r in journey.reach(origin, df, stops.withColumn("lat", F.col("lat") + F.col("id")), rounds=0).collect()}
     assert costs == {0: 0} and paths[0]["minutes"] == 0
     for r in paths.values():
@@ -151,7 +380,7 @@ def test_paths_add_up_and_match_costs(spark):
             at = leg["alight"]
         assert at == r["stop_id"] and len(r["path"]) <= 2
     some = next(s for s, r in paths.items() if r["path"])
-    options = journey.alternatives(origin, df, stops, some).collect()
+    options = journey.alternatives(origin, journey.ride_table(df, stops), some).collect()
     assert options[0]["minutes"] == paths[some]["minutes"] and len({o["trips"] for o in options}) == len(options)
 
 

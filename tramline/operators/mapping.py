@@ -79,3 +79,68 @@ def api_trips(trips: DataFrame, calls: DataFrame) -> DataFrame:
     two = F.array(F.struct(F.col("a").alias("stop_id"), F.lit(1).cast("bigint").alias("seq"), F.col("starts").alias("at")), F.struct(F.col("b").alias("stop_id"), F.lit(2).cast("bigint").alias("seq"), F.col("ends").alias("at")))
     own = ends.join(trips, "trip_id").select("trip_id", F.explode(two).alias("c")).select("trip_id", "c.*").filter("at is not null")
     return known.filter("at is not null").select("trip_id", "stop_id", "seq", "at").unionByName(own)
+
+
+def _first(*texts: Column) -> Column:
+    """The first text that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts])
+
+
+def _some(*texts: Column) -> Column:
+    return F.filter(F.array(*texts), lambda t: t.isNotNull() & (t != ""))
+
+
+def _number(c: Column, default: float) -> Column:
+    """The number that a text starts with; the default where there is none."""
+    return F.coalesce(F.regexp_extract(c, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1).try_cast("double"), F.lit(default))
+
+
+def _node(df: DataFrame, provider: str, kind: Column, name: Column, normal: Column, aliases: Column, lat: Column, lng: Column, confidence: float, **area: Column) -> DataFrame:
+    low = F.trim(F.lower(normal))
+    return df.select("id", F.lit(provider).alias("provider"), kind.alias("node_type"), name.alias("name"), low.alias("normal_name"), aliases.alias("aliases"), lat.alias("lat"), lng.alias("lng"), F.lit(confidence).alias("confidence"), *[c.alias(k) for k, c in area.items()])
+
+
+# The codes of the open feeds, their confidence, and the place of records without one.
+CITY = (22.5726, 88.3639)
+PORTAL = (22.57, 88.36)
+
+
+def osm_nodes(elements: DataFrame) -> DataFrame:
+    """Map elements (id, name, tags, lat, lon) as nodes; the kind is that of the first tag that says one."""
+    tag = lambda k: F.coalesce(F.try_element_at("tags", F.lit(k)), F.lit(""))
+    kind = text.first_match(
+        [
+            ((tag("highway") == "bus_stop") | (tag("public_transport") == "platform"), "BUS_STOP"),
+            (tag("railway") == "station", "RAILWAY_STATION"),
+            ((tag("station") == "subway") | (tag("railway") == "subway_entrance"), "METRO_STATION"),
+            (tag("amenity") == "ferry_terminal", "FERRY_TERMINAL"),
+            (tag("railway") == "tram_stop", "TRAM_STOP"),
+        ],
+        "BUS_STOP",
+    )
+    name = _first(tag("name"), tag("name:en"), F.col("name"), F.concat(F.lit("OSM Stop "), F.col("id").cast("string")))
+    return _node(elements, "OPENSTREETMAP", kind, name, name, _some(tag("name:bn"), tag("alt_name")), F.coalesce("lat", F.lit(CITY[0])), F.coalesce("lon", F.lit(CITY[1])), 0.95)
+
+
+def nominatim_nodes(items: DataFrame) -> DataFrame:
+    """Geocoder answers (id, display_name, name, address, and lat and lon as texts) as nodes with their area."""
+    part = lambda k: F.try_element_at("address", F.lit(k))
+    name = _first(F.col("display_name"), F.col("name"), F.concat(F.lit("Nominatim Place "), F.col("id").cast("string")))
+    state = _first(F.regexp_replace(part("ISO3166-2-lvl4"), "^(.*?)IN-", "$1"), F.lit("WB"))
+    return _node(items, "NOMINATIM", F.lit("BUS_STOP"), name, name, _some(*[part(k) for k in ("village", "town", "suburb", "healthcare")]), _number(F.col("lat"), 0.0), _number(F.col("lon"), 0.0), 0.92, state=state, district=_first(part("state_district"), part("county")), block=part("county"), city=_first(part("city"), part("town"), part("village")))
+
+
+def census_nodes(rows: DataFrame) -> DataFrame:
+    """Village directory rows (texts, with either feed's column names) as nodes; a village is named with its council."""
+    has = lambda *names: _first(*[F.col(n) for n in names if n in rows.columns], F.lit(None).cast("string"))
+    village = _first(has("village_name", "name"), F.concat(F.lit("Village "), F.col("id").cast("string")))
+    council = has("gram_panchayat", "gp")
+    name = F.when(council.isNotNull(), F.concat(village, F.lit(" ("), council, F.lit(" GP)"))).otherwise(village)
+    return _node(rows, "CENSUS_INDIA", F.lit("BUS_STOP"), name, village, F.array(village, F.concat(village, F.lit(" Village"))), _number(F.col("lat"), 0.0), _number(F.col("lon"), 0.0), 0.98, district=has("district_name", "district"), block=has("subdistrict_name", "block"), locality=council)
+
+
+def portal_nodes(rows: DataFrame) -> DataFrame:
+    """Open-data portal rows (id, title, facility_name, latitude, longitude) as nodes."""
+    name = _first(F.col("title"), F.col("facility_name"), F.concat(F.lit("OGD Infrastructure "), F.col("id").cast("string")))
+    out = _node(rows, "DATA_GOV_INDIA", F.lit("BUS_STOP"), name, name, F.array().cast("array<string>"), F.coalesce("latitude", F.lit(PORTAL[0])), F.coalesce("longitude", F.lit(PORTAL[1])), 0.9)
+    return out.withColumn("external_id", F.concat(F.lit("datagov_"), F.col("id").cast("string")))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tramline.session import cut
+
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each key. Spark keeps only n rows of a key in each task before the shuffle."""
@@ -51,6 +53,26 @@ def prune(root: DataFrame, doomed: Column, chain: Sequence[tuple[DataFrame, str]
     return out
 
 
+def numbered(df: DataFrame, by: str, name: str = "id") -> DataFrame:
+    """`df` with `name`: 1, 2, ... in the order of distinct values of `by`, nulls first.
+
+    Rows are dealt by ranges of `by` and numbered in each range; only the ranges' sizes meet in one task. The ranges are
+    written first, as their bounds come from a sample and must be the same for the sizes and the rows.
+    """
+    dealt = cut(df.repartitionByRange(F.col(by).asc_nulls_first()).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(W.partitionBy("_range").orderBy(F.col(by).asc_nulls_first()))
+    return dealt.join(starts, "_range").select((F.col("_start") + own).cast("bigint").alias(name), *df.columns)
+
+
+def experimental(routes: DataFrame, trips: DataFrame, marked: Column, kept: Column) -> DataFrame:
+    """`routes` with doomed: marked as an experiment, without any trip, and not on the list to keep. For prune()."""
+    used = trips.select(F.col("route_id").alias("_route")).distinct()
+    return routes.join(used, F.col("id") == F.col("_route"), "left").withColumn("doomed", marked & F.col("_route").isNull() & ~kept).drop("_route")
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int, most: int = 50) -> DataFrame:
     """One page with pages counted from 1 and the size held to 1..most."""
     size = min(max(size, 1), most)

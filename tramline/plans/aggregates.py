@@ -144,14 +144,21 @@ def agg_progress_pct(v):
 
 @query()
 def agg_spatial_hull(v):
-    clustered = spatial.dense_cells(v.stops, "provider", least=3).filter("dense")
-    return spatial.hulls(clustered, "provider")
-
-
-@query("""WITH c AS (SELECT id, provider, CAST(floor(lat / 0.5e0) AS BIGINT) AS y, CAST(floor(lng / 0.5e0) AS BIGINT) AS x FROM stops WHERE lat IS NOT NULL)
-SELECT a.id, a.y AS cell_y, a.x AS cell_x, (SELECT count(*) FROM c b WHERE b.provider = a.provider AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1) >= 5 AS dense FROM c a""")
+    """An outline for each cluster of stops, by the first digit of their providers."""
+    stops = v.stops.withColumn("provider", F.substring("provider", 1, 7))
+    return spatial.hulls(spatial.dbscan(stops, "provider").filter("cluster is not null"), ["provider", "cluster"])
+
+
+@query("""WITH RECURSIVE p AS (SELECT id, provider, lat, lng FROM stops WHERE lat IS NOT NULL),
+near AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.provider = b.provider AND (a.lat - b.lat) * (a.lat - b.lat) + (a.lng - b.lng) * (a.lng - b.lng) <= 0.25e0),
+full_ AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 5),
+link AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM full_) AND b IN (SELECT id FROM full_)),
+reached AS (SELECT id, id AS r FROM full_ UNION SELECT reached.id, link.b FROM reached JOIN link ON link.a = reached.r),
+own AS (SELECT id, min(r) AS cluster FROM reached GROUP BY id),
+edge AS (SELECT a AS id, min(cluster) AS cluster FROM near JOIN own ON own.id = near.b WHERE a NOT IN (SELECT id FROM full_) GROUP BY a)
+SELECT p.id, p.provider, own.id IS NOT NULL AS core, coalesce(own.cluster, edge.cluster) AS cluster FROM p LEFT JOIN own ON own.id = p.id LEFT JOIN edge ON edge.id = p.id""")
 def win_dbscan(v):
-    return spatial.dense_cells(v.stops, "provider").select("id", "cell_y", "cell_x", "dense")
+    return spatial.dbscan(v.stops, "provider").select("id", "provider", "core", "cluster")
 
 
 @query("SELECT provider, count(*) AS versions, count(DISTINCT content_hash) AS distinct_hashes FROM raw_records GROUP BY provider")
@@ -160,7 +167,12 @@ def agg_dataset_hash(v):
     return per.groupBy("provider").agg(F.sum("n").alias("versions"), F.count("*").alias("distinct_hashes"))
 
 
-@query()
+FIELD = "coalesce(length({0}) || ':' || {0}, 'n')"
+ROW = " || ".join(FIELD.format(c) for c in ("CAST(id AS VARCHAR)", "name", "provider", "state"))
+
+
+@query(f"""WITH h AS (SELECT provider, sha256({ROW}) AS h FROM stops), p AS (SELECT provider, count(*) AS n, {", ".join(f"sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS p{i}" for i in range(4))} FROM h GROUP BY provider)
+SELECT provider, n AS rows, sha256(p0 || '|' || p1 || '|' || p2 || '|' || p3 || '|' || n) AS content_hash FROM p""")
 def hash_of_dataset(v):
     return lifecycle.content_hash(v.stops, ["id", "name", "provider", "state"], ["provider"])
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tramline.functions import timeofday
+from tramline.functions import text, timeofday
 from tramline.plans.registry import query
 from tramline.sources import feeds
 from tramline.streaming import landing
 
 
-@query("SELECT page_id, url, length(html) AS size FROM pages")
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, length(html) AS size, sha256(html) AS content_hash, CASE WHEN regexp_matches(html, '(?i)<html') THEN 'text/html' ELSE 'text/plain' END AS content_type FROM pages")
 def src_html_fetch(v):
-    return v.table("pages").select("page_id", "url", F.length("html").cast("bigint").alias("size"))
+    """Landed pages as raw records: where from, how large, of what kind, and the hash that tells changes."""
+    return feeds.raw_pages(v.table("pages"))
 
 
 @query("SELECT DISTINCT CASE WHEN regexp_matches(h, '^https?://') THEN h ELSE host || h END AS url FROM (SELECT regexp_extract(url, '^(https?://[^/]+)', 1) AS host, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM pages) WHERE contains(h, '/th')")
@@ -20,9 +21,10 @@ def src_link_discovery(v):
     return feeds.links(v.table("pages"), "/th")
 
 
-@query("SELECT DISTINCT h AS url FROM (SELECT regexp_extract(url, '^(https?://[^/]+)', 1) || unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM pages) WHERE contains(h, '/an') ORDER BY h LIMIT 50")
+@query("SELECT h AS url, CAST((row_number() OVER (ORDER BY h) - 1) // 25 + 1 AS BIGINT) AS page FROM (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) || h AS h FROM (SELECT url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM pages) WHERE contains(h, '/an'))")
 def src_paged_crawl(v):
-    return feeds.links(v.table("pages"), "/an").orderBy("url").limit(50)
+    """All found links in pages of 25."""
+    return feeds.paged(feeds.links(v.table("pages"), "/an"), "url", 25)
 
 
 @query("SELECT page_id, array_to_string(regexp_extract_all(html, 'href=\"/[a-z]+\"'), ' | ') AS found, len(regexp_extract_all(html, 'href=\"/[a-z]+\"')) AS n FROM pages")
@@ -50,21 +52,39 @@ def src_json_unwrap(v):
     return v.table("events").select("event_id", F.explode(feeds.json_rows(body)).alias("r")).select("event_id", F.get_json_object("r", "$.k").alias("k"))
 
 
-@query("SELECT id, name AS stop_name, provider || ', \"x\"' AS note FROM stops")
+@query("SELECT id, CASE WHEN id % 4 = 3 THEN NULL ELSE name END AS stop_name, CASE id % 4 WHEN 0 THEN provider || ', \"x\"' WHEN 1 THEN provider END AS note FROM stops")
 def src_gtfs_csv(v):
-    line = F.concat(F.lit('"'), "name", F.lit('","'), "provider", F.lit(', ""x"""'))
+    """Lines with quotes inside, a plain one, one that lacks a field, and an empty one."""
+    i, name = F.col("id") % 4, F.col("name")
+    line = F.when(i == 0, F.concat(F.lit('"'), name, F.lit('","'), "provider", F.lit(', ""x"""'))).when(i == 1, F.concat(name, F.lit(","), "provider")).when(i == 2, name).otherwise("")
     return v.stops.select("id", feeds.csv_fields(line, ["stop_name", "note"]).alias("f")).select("id", "f.*")
 
 
-@query("SELECT id, unnest([0, 1, 2]) AS pos, unnest([name, provider, state]) AS field FROM stops")
+@query("SELECT id, unnest(range(len(f)))::INTEGER AS pos, unnest(f) AS field FROM (SELECT id, CASE id % 3 WHEN 0 THEN [name, provider, state] WHEN 1 THEN [name, '', 'a\"b'] ELSE ['say ' || name, ' twice'] END AS f FROM stops)")
 def src_csv_naive(v):
-    line = F.concat(F.lit('"'), "name", F.lit('", '), "provider", F.lit(","), "state")
+    """Lines without quoting rules: outer quotes go, inner ones stay, empty fields count, a quoted comma still cuts."""
+    i, name = F.col("id") % 3, F.col("name")
+    line = F.when(i == 0, F.concat(F.lit('"'), name, F.lit('", '), "provider", F.lit(","), "state")).when(i == 1, F.concat(name, F.lit(',, a"b '))).otherwise(F.concat(F.lit('"say '), name, F.lit('," twice"')))
     return v.stops.select("id", F.posexplode(feeds.naive_fields(line)).alias("pos", "field"))
 
 
-@query()
+_ANY = lambda ws: " OR ".join(f"contains(low, '{w}')" for w in ws)
+_UI = " OR ".join(f"low = '{w}' OR starts_with(low, '{w} ') OR ends_with(low, ' {w}')" for w in text.UI_LABELS)
+
+
+LABELS = "CASE id % 8 WHEN 0 THEN 'Next ' || name WHEN 1 THEN 'Login for ' || name WHEN 2 THEN 'Privacy of ' || provider WHEN 3 THEN name || ' District' WHEN 4 THEN provider || ' to ' || name WHEN 5 THEN name || ' - ' || name WHEN 6 THEN 'Ab → ' || name ELSE name END"
+
+
+@query(f"""WITH c AS (SELECT trim({LABELS}) AS label FROM stops),
+d AS (SELECT label, trim(lower(label)) AS low, list_filter(list_transform(regexp_split_to_array(trim(lower(label)), '\\bto\\b|-|→'), lambda p: trim(p)), lambda p: p <> '') AS parts FROM c)
+SELECT CASE WHEN {_UI} THEN 'Filter/UI Element' WHEN {_ANY(['login', 'register', 'password'])} THEN 'Authentication' WHEN {_ANY(['privacy', 'terms', 'about us', 'contact us'])} THEN 'Static Content' WHEN {_ANY(['district', 'block', 'panchayat'])} THEN 'District Page'
+WHEN length(label) > 5 AND len(parts) >= 2 AND (parts[1] = parts[-1] OR length(parts[1]) < 3 OR length(parts[-1]) < 3) THEN 'Filter/UI Element' WHEN length(label) > 5 AND len(parts) >= 2 THEN 'Route' ELSE 'Unknown' END AS kind, count(*) AS n, min(label) AS example FROM d GROUP BY 1""")
 def src_text_classifier(v):
-    return feeds.candidates(v.table("pages")).groupBy("kind").agg(F.count("*").alias("n"))
+    """List items of each kind, with markup inside."""
+    i, name, to = F.col("id") % 8, F.col("name"), lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    label = F.when(i == 0, to("Next ", name)).when(i == 1, to("Login for ", name)).when(i == 2, to("Privacy of ", F.col("provider"))).when(i == 3, to(name, " District")).when(i == 4, to(F.col("provider"), " to ", name)).when(i == 5, to(name, " - ", name)).when(i == 6, to("Ab → ", name)).otherwise(name)
+    page = v.stops.select(F.col("id").alias("page_id"), to("<ul><LI class='x'> <a href='/'>", label, "</a> </LI></ul>").alias("html"))
+    return feeds.candidates(page).groupBy("kind").agg(F.count("*").alias("n"), F.min("label").alias("example"))
 
 
 @query("SELECT id, unnest(CASE WHEN id % 2 = 0 THEN [390, 450] ELSE range(360, 481, 30) END) AS minute FROM routes WHERE id % 5 <> 0")

@@ -74,14 +74,14 @@ def join_sequence_theta(v):
     return journey.later_calls(v.calls, v.stops, "red", "blue")
 
 
-@query("SELECT o.trip_id, o.stop_id AS origin, d.stop_id AS destination, CAST(greatest(8, 3 * (d.seq - o.seq)) AS INTEGER) AS minutes FROM calls o JOIN calls d ON o.trip_id = d.trip_id AND o.seq < d.seq WHERE o.stop_id <= 100")
+@query("SELECT o.stop_id AS origin, d.stop_id AS destination, CAST(min(greatest(8, 3 * (d.seq - o.seq))) AS INTEGER) AS minutes, count(*) AS rides FROM calls o JOIN calls d ON o.trip_id = d.trip_id AND o.seq < d.seq GROUP BY ALL")
 def join_direct_legs(v):
-    return journey.direct_legs(v.calls, F.col("stop_id") <= 100)
+    return journey.direct_legs(v.calls)
 
 
-@query("SELECT o.trip_id, o.stop_id AS origin, d.stop_id AS destination, CAST(greatest(6, 2 * abs(d.seq - o.seq) + 3) AS INTEGER) AS minutes FROM calls o JOIN calls d ON o.trip_id = d.trip_id AND o.seq <> d.seq WHERE o.stop_id <= 100")
+@query("SELECT o.stop_id AS origin, d.stop_id AS destination, CAST(min(greatest(6, 2 * abs(d.seq - o.seq) + 3)) AS INTEGER) AS minutes, count(*) AS rides FROM calls o JOIN calls d ON o.trip_id = d.trip_id AND o.seq <> d.seq GROUP BY ALL")
 def join_direct_legs_metro(v):
-    return journey.line_legs(v.calls, F.col("stop_id") <= 100)
+    return journey.line_legs(v.calls)
 
 
 @query("SELECT trip_id, min(seq) FILTER (WHERE stop_id % 10 < 3) AS board, max(seq) FILTER (WHERE stop_id % 10 > 6) AS alight FROM calls GROUP BY trip_id HAVING min(seq) FILTER (WHERE stop_id % 10 < 3) < max(seq) FILTER (WHERE stop_id % 10 > 6)")
@@ -98,11 +98,17 @@ def join_transfer_name(v):
     return journey.name_transfers(v.stops.filter("provider = 'Brand#11'"), v.stops.filter("provider = 'Brand#22'"))
 
 
-@query("""WITH leg AS (SELECT trip_id, stop_id, seq FROM calls), x AS (SELECT a.stop_id AS origin, b.stop_id AS via, greatest(8, 3 * (b.seq - a.seq)) AS m FROM leg a JOIN leg b ON a.trip_id = b.trip_id AND a.seq < b.seq WHERE a.stop_id <= 20),
-y AS (SELECT a.stop_id AS via, b.stop_id AS destination, greatest(8, 3 * (b.seq - a.seq)) AS m FROM leg a JOIN leg b ON a.trip_id = b.trip_id AND a.seq < b.seq WHERE b.stop_id <= 20)
-SELECT x.origin, y.destination, CAST(min(x.m + 4 + y.m) AS INTEGER) AS minutes FROM x JOIN y USING (via) WHERE x.origin <> y.destination GROUP BY ALL""")
+LEGS = "legs AS (SELECT o.stop_id AS origin, d.stop_id AS destination, min(greatest(8, 3 * (d.seq - o.seq))) AS m FROM calls o JOIN calls d ON o.trip_id = d.trip_id AND o.seq < d.seq GROUP BY ALL)"
+
+
+@query(f"WITH {LEGS} SELECT x.origin, y.destination, CAST(min(x.m + 4 + y.m) AS INTEGER) AS minutes FROM legs x JOIN legs y ON x.destination = y.origin WHERE x.origin % 20 = 0 AND x.origin <> y.destination GROUP BY ALL")
 def join_transfer_compose(v):
-    return journey.two_legs(v.calls, F.col("stop_id") <= 20, F.col("stop_id") <= 20)
+    """Searches from every stop whose id is divisible by 20, to all stops."""
+    return journey.two_legs(v.calls, _searched(v))
+
+
+def _searched(v):
+    return v.stops.filter("id % 20 = 0").select(F.col("id").alias("origin"))
 
 
 @query("SELECT t.id, max_by(c.stop_id, (c.seq, c.stop_id)) AS headsign_stop FROM trips t LEFT JOIN calls c ON c.trip_id = t.id GROUP BY t.id")
@@ -178,15 +184,27 @@ def join_landable(v):
     return landable(v.routes.filter("state <> 'ASIA'"), v.trips, v.stops.filter("lat is not null"), v.calls)[1]
 
 
-@query("""WITH p AS (SELECT id, name FROM places), q AS (SELECT DISTINCT regexp_replace(name, 'e', 'a') AS wanted FROM stops),
-f AS (SELECT q.wanted, p.id, p.name, (greatest(length(wanted), length(name)) - levenshtein(wanted, name)) / greatest(length(wanted), length(name)) AS s FROM q JOIN p ON left(q.wanted, 2) = left(p.name, 2) AND abs(length(wanted) - length(name)) <= 0.15 * greatest(length(wanted), length(name))),
-g AS (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY s DESC, id) AS n FROM f WHERE s >= 0.85)
-SELECT q.wanted, g.name AS place, CASE WHEN g.name IS NULL THEN 'created' WHEN g.name = q.wanted THEN 'exact' ELSE 'fuzzy' END AS how FROM q LEFT JOIN g ON g.wanted = q.wanted AND g.n = 1""")
+@query("""WITH RECURSIVE p AS (SELECT id, name FROM places WHERE id % 3 <> 0), al AS (SELECT name || ' alias' AS wanted, min(id) AS id FROM places WHERE id % 3 = 1 GROUP BY ALL),
+q AS (SELECT DISTINCT CASE id % 4 WHEN 0 THEN name WHEN 1 THEN 'x' || name WHEN 2 THEN regexp_replace(name, 'e', 'a') ELSE name || ' alias' END AS wanted FROM stops),
+ex AS (SELECT q.wanted, p.name AS place, 'exact' AS how FROM q JOIN p ON p.name = q.wanted),
+ali AS (SELECT q.wanted, (SELECT name FROM p WHERE p.id = al.id) AS place, 'alias' AS how FROM q JOIN al USING (wanted) WHERE q.wanted NOT IN (SELECT wanted FROM ex) AND al.id IN (SELECT id FROM p)),
+r AS (SELECT wanted FROM q WHERE wanted NOT IN (SELECT wanted FROM ex) AND wanted NOT IN (SELECT wanted FROM ali)),
+f AS (SELECT r.wanted, p.id, p.name, (greatest(length(wanted), length(name)) - levenshtein(wanted, name)) / greatest(length(wanted), length(name)) AS s FROM r, p),
+fz AS (SELECT wanted, name AS place, 'fuzzy' AS how FROM (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY s DESC, id) AS n FROM f WHERE s >= 0.85) WHERE n = 1),
+l AS (SELECT wanted, row_number() OVER (ORDER BY wanted) AS n FROM r WHERE wanted NOT IN (SELECT wanted FROM fz)),
+pr AS (SELECT a.wanted AS early, b.wanted AS late, (greatest(length(a.wanted), length(b.wanted)) - levenshtein(a.wanted, b.wanted)) / greatest(length(a.wanted), length(b.wanted)) AS s FROM l a JOIN l b ON a.n < b.n AND (greatest(length(a.wanted), length(b.wanted)) - levenshtein(a.wanted, b.wanted)) / greatest(length(a.wanted), length(b.wanted)) >= 0.85),
+w AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS heads UNION ALL SELECT w.n + 1, CASE WHEN EXISTS (SELECT 1 FROM pr WHERE pr.late = l.wanted AND list_contains(w.heads, pr.early)) THEN w.heads ELSE list_append(w.heads, l.wanted) END FROM w JOIN l ON l.n = w.n + 1),
+hd AS (SELECT unnest(heads) AS wanted FROM (SELECT heads FROM w ORDER BY n DESC LIMIT 1)),
+mg AS (SELECT late AS wanted, early AS place, 'merged' AS how FROM (SELECT late, early, row_number() OVER (PARTITION BY late ORDER BY s DESC, early) AS n FROM pr WHERE early IN (SELECT wanted FROM hd) AND late NOT IN (SELECT wanted FROM hd)) WHERE n = 1)
+FROM ex UNION ALL FROM ali UNION ALL FROM fz UNION ALL FROM mg UNION ALL SELECT wanted, NULL, 'created' FROM hd""")
 def join_fuzzy_cascade(v):
+    """Names as they are, with a letter put in front, with another letter inside, and under an alias, against two thirds of the places."""
     from tramline.operators.resolve import resolve_names
 
-    wanted = v.stops.select(F.regexp_replace("name", "^([^e]*)e", "$1a").alias("wanted")).distinct()
-    return resolve_names(wanted, v.places).select("wanted", "place", "how")
+    kind = F.col("id") % 4
+    name = F.when(kind == 0, F.col("name")).when(kind == 1, F.concat(F.lit("x"), "name")).when(kind == 2, F.regexp_replace("name", "^([^e]*)e", "$1a")).otherwise(F.concat("name", F.lit(" alias")))
+    aliases = v.places.filter("id % 3 = 1").select(F.concat("name", F.lit(" alias")).alias("alias"), F.col("id").alias("place_id"))
+    return resolve_names(v.stops.select(name.alias("wanted")), v.places.filter("id % 3 <> 0"), aliases).select("wanted", "place", "how")
 
 
 @query("""WITH c AS (SELECT a.id, b.id AS candidate, (greatest(length(a.name), length(b.name)) - levenshtein(a.name, b.name)) / greatest(length(a.name), length(b.name)) - CASE WHEN a.state = b.state THEN 0 ELSE 0.3e0 END AS s FROM stops a JOIN (SELECT min(id) AS id, name, state FROM stops WHERE lat IS NOT NULL GROUP BY name, state) b ON left(a.name, 5) = left(b.name, 5) WHERE a.lat IS NULL),
@@ -206,8 +224,8 @@ def join_fanout_bug(v):
     return a.join(b, "provider", "left").select("provider", "routes", F.coalesce("customers", F.lit(0)).alias("customers"))
 
 
-@query("""WITH b AS (SELECT provider, min(lat) AS s, max(lat) AS n, min(lng) AS w, max(lng) AS e FROM (SELECT provider || left(state, 4) AS provider, lat, lng FROM stops WHERE id % 100 < 3) GROUP BY provider HAVING min(lat) IS NOT NULL)
+@query("""WITH b AS (SELECT provider, min(lat) AS s, max(lat) AS n, min(lng) AS w, max(lng) AS e FROM (SELECT provider || left(state, 4) AS provider, lat, lng FROM stops) GROUP BY provider HAVING min(lat) IS NOT NULL)
 SELECT x.provider AS a, y.provider AS b FROM b x JOIN b y ON x.provider < y.provider AND x.s <= y.n AND y.s <= x.n AND x.w <= y.e AND y.w <= x.e""")
 def join_spatial_overlap(v):
-    areas = v.stops.filter("id % 100 < 3").withColumn("provider", F.concat("provider", F.substring("state", 1, 4)))
+    areas = v.stops.withColumn("provider", F.concat("provider", F.substring("state", 1, 4)))
     return spatial.overlapping_boxes(spatial.boxes(areas, "provider"), "provider")

@@ -8,27 +8,43 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramline.functions import geo, text, timeofday
-from tramline.operators import journey, lifecycle, relational, timetable
+from tramline.operators import journey, lifecycle, mapping, relational, timetable
+from tramline.plans.pipelines import CUM, HOPS, ORIGIN, WALKS, _round, _walk
 from tramline.plans.registry import query
 from tramline.session import shared_dir
+from tramline.streaming import landing
 
 
 def _origin(v, stop: int = 1):
     return v.spark.range(stop, stop + 1).select(F.col("id").alias("stop_id"), F.lit(0).cast("bigint").alias("minutes"))
 
 
-@query()
+LEG_TYPE = "STRUCT(trip_id BIGINT, board BIGINT, alight BIGINT, minutes BIGINT)"
+
+
+def _paths(labels: str, n: int) -> str:
+    """One ride from the stops of `labels`, with the legs so far."""
+    return f"""b{n} AS (SELECT c.trip_id, c.stop_id, c.cum, min(CASE WHEN l.minutes IS NOT NULL THEN {{'k': l.minutes - c.cum, 'board': c.stop_id, 'path': l.path}} END) OVER (PARTITION BY c.trip_id, c.segment ORDER BY c.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM cum c LEFT JOIN {labels} l ON l.stop_id = c.stop_id),
+a{n} AS (SELECT stop_id, minutes, path FROM {labels} UNION ALL SELECT stop_id, CAST(cum + 6 + best.k AS BIGINT), list_append(best.path, CAST({{'trip_id': trip_id, 'board': best.board, 'alight': stop_id, 'minutes': cum + 6 + best.k}} AS {LEG_TYPE})) FROM b{n} WHERE best IS NOT NULL),
+m{n} AS (SELECT stop_id, min({{'minutes': minutes, 'n': len(path), 'path': path}}) AS m FROM a{n} GROUP BY stop_id), p{n} AS (SELECT stop_id, m.minutes AS minutes, m.path AS path FROM m{n})"""
+
+
+@query(f"""WITH {HOPS}, {CUM}, p0 AS (SELECT CAST(1 AS BIGINT) AS stop_id, CAST(0 AS BIGINT) AS minutes, CAST([] AS {LEG_TYPE}[]) AS path), {_paths('p0', 1)}, {_paths('p1', 2)},
+x AS (SELECT stop_id, path, unnest(range(1, len(path) + 1)) AS i FROM p2)
+SELECT stop_id, CAST(i AS INTEGER) AS leg, path[i].trip_id AS trip_id, path[i].board AS board, path[i].alight AS alight, path[i].minutes AS minutes FROM x""")
 def graph_reconstruct(v):
-    return journey.legs(journey.reach_paths(_origin(v), v.calls, v.stops))
+    return journey.legs(journey.reach_paths(_origin(v), journey.ride_table(v.calls, v.stops)))
 
 
 @query()
 def graph_alternatives(v):
-    far = journey.reach_paths(_origin(v), v.calls, v.stops).orderBy(F.desc("minutes"), "stop_id").first()  # one row
-    return journey.alternatives(_origin(v), v.calls, v.stops, far["stop_id"] if far else 1)
+    ride = journey.ride_table(v.calls, v.stops)
+    far = journey.reach_paths(_origin(v), ride).orderBy(F.desc("minutes"), "stop_id").first()  # one row
+    return journey.alternatives(_origin(v), ride, far["stop_id"] if far else 1)
 
 
-@query()
+@query(f"""WITH {HOPS}, {CUM}, {WALKS}, {ORIGIN}, r1 AS ({_round('l0')}), w1 AS ({_walk('r1')}), l1 AS (SELECT stop_id, min(minutes) AS minutes FROM (FROM l0 UNION ALL FROM r1 UNION ALL FROM w1) GROUP BY stop_id)
+SELECT name, arg_min(id, (id % 5, minutes, id)) AS stop_id, CAST(arg_min(minutes, (id % 5, minutes, id)) AS BIGINT) AS minutes FROM l1 JOIN stops ON id = stop_id GROUP BY name""")
 def graph_candidate_fallthrough(v):
     candidates = v.stops.select("name", F.col("id").alias("stop_id"), (F.col("id") % 5).alias("rank"))
     return journey.best_candidate(journey.reach(_origin(v), v.calls, v.stops, rounds=1), candidates)
@@ -79,27 +95,33 @@ def er_enrich_routes(v):
     return t.groupBy("route_id").agg(F.min_by("id", F.struct(-F.col("n"), F.col("direction") == "F", "id")).alias("trip_id"), F.max("n").alias("calls"))
 
 
-@query("SELECT count(*) AS before, count(*) AS after, true AS same FROM routes")
+@query("SELECT count(*) AS rows, CAST(sum(fare_inr + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fares_once, CAST(sum(fare_inr + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fares_twice, true AS same FROM routes")
 def dq_idempotency(v):
+    """What an upsert leaves after it has run once and twice."""
     some = v.routes.select("id", "long_name", "fare_inr")
     new = some.filter("id % 2 = 0").withColumn("fare_inr", F.col("fare_inr") + 1)
     once = relational.upsert(some, new, "id", ["fare_inr"])
     twice = relational.upsert(once, new, "id", ["fare_inr"])
-    both = lifecycle.content_hash(once, ["id", "fare_inr"]).select(F.col("rows").alias("before"), F.col("content_hash").alias("h1")).crossJoin(lifecycle.content_hash(twice, ["id", "fare_inr"]).select(F.col("rows").alias("after"), F.col("content_hash").alias("h2")))  # one row each
-    return both.select("before", "after", (F.col("h1") == F.col("h2")).alias("same"))
+    sums = [df.agg(F.count("*").alias(f"n{i}"), F.sum("fare_inr").alias(f"f{i}")).crossJoin(lifecycle.content_hash(df, ["id", "fare_inr"]).select(F.col("content_hash").alias(f"h{i}"))) for i, df in enumerate((once, twice))]
+    return sums[0].crossJoin(sums[1]).select(F.col("n0").alias("rows"), F.col("f0").alias("fares_once"), F.col("f1").alias("fares_twice"), ((F.col("h0") == F.col("h1")) & (F.col("n0") == F.col("n1"))).alias("same"))  # one row each
 
 
-@query("SELECT id, name, provider FROM stops")
+@query("SELECT id, upper(name) AS name, provider FROM stops")
 def lc_promote(v):
+    """A second version takes the place of the first; three that break a rule, repeat keys or have lost most rows don't."""
     snap = lifecycle.Snapshots(v.spark, f"{shared_dir(v.spark)}/promote-{uuid.uuid4().hex}")
-    snap.promote(v.stops.select("id", "name", "provider"), [("NO_NAME", F.col("name") == "")], "id")
+    rows, rules = v.stops.select("id", "name", "provider"), [("NO_NAME", F.col("name") == "")]
+    for version in (rows, rows.withColumn("name", F.upper("name")), rows.withColumn("name", F.lit("")), rows.union(rows), rows.filter("id % 3 = 0")):
+        try:
+            snap.promote(version, rules, "id")
+        except ValueError:
+            pass  # refused: the version before stays active
     return snap.active()
 
 
 @query("SELECT provider, count(*) AS harvested, count(*) FILTER (WHERE parsed > 0) AS timed, count(*) FILTER (WHERE parsed > 0) = 0 OR count(*) < 100 AS refused FROM runs GROUP BY provider")
 def lc_refuse_shrink(v):
-    n = v.runs.groupBy("provider").agg(F.count("*").alias("harvested"), F.count_if(F.col("parsed") > 0).alias("timed"))
-    return n.withColumn("refused", (F.col("timed") == 0) | (F.col("harvested") < 100))
+    return lifecycle.refuse_shrink(v.runs, "provider", F.col("parsed") > 0, 100)
 
 
 @query("SELECT provider, id, n AS done FROM (SELECT provider, id, row_number() OVER (PARTITION BY provider ORDER BY created_at, id) AS n FROM runs) WHERE n % 25 = 0")
@@ -116,10 +138,12 @@ def lc_run_order(v):
 
 @query("SELECT id, provider, content_hash, 'RAW_SAVED' AS status FROM raw_records")
 def sink_append_raw(v):
+    """Rows are appended once, however often they are sent: half of them, then all, then a third again."""
     folder = f"{shared_dir(v.spark)}/raw-{uuid.uuid4().hex}"
-    for half in (0, 1):
-        v.raw_records.filter(F.col("id") % 2 == half).select("id", "provider", "content_hash", F.lit("RAW_SAVED").alias("status")).write.mode("append").partitionBy("provider").parquet(folder)
-    return v.spark.read.parquet(folder).select("id", "provider", "content_hash", "status")
+    rows = v.raw_records.select("id", "provider", "content_hash", F.lit("RAW_SAVED").alias("status"))
+    for sent in (rows.filter("id % 2 = 0"), rows, rows.filter("id % 3 = 0")):
+        landing.land(sent, folder, ["id"])
+    return v.spark.read.parquet(folder)
 
 
 @query("SELECT s.name, o.name IS NULL AS inserted FROM (SELECT DISTINCT name FROM stops) s LEFT JOIN (SELECT name FROM places WHERE id % 2 = 0) o ON o.name = s.name")
@@ -137,7 +161,36 @@ def src_gov_route_table(v):
     return rows.groupBy(text.external_id("GOV", F.col("origin"), F.col("destination")).alias("k")).agg(F.max("id").alias("id"), F.max_by("origin", "id").alias("origin"), F.max_by("destination", "id").alias("destination")).drop("k")
 
 
-@query("SELECT id, CASE WHEN contains(name, 'ring') THEN 'BUS_STATION' WHEN contains(name, 'bolt') THEN 'RAIL_STATION' WHEN contains(name, 'gear') THEN 'FERRY_TERMINAL' ELSE 'BUS_STOP' END AS node_type, round(least(0.85e0, 0.6e0 + 0.15e0 * (id % 100) / 100), 6) AS confidence FROM stops")
+@query("SELECT id, CASE id % 7 WHEN 2 THEN 'RAILWAY_STATION' WHEN 3 THEN 'METRO_STATION' WHEN 4 THEN 'METRO_STATION' WHEN 5 THEN 'FERRY_TERMINAL' WHEN 6 THEN 'TRAM_STOP' ELSE 'BUS_STOP' END AS node_type, CASE id % 3 WHEN 0 THEN 'T ' || name WHEN 1 THEN name ELSE 'OSM Stop ' || id END AS name, CASE id % 3 WHEN 0 THEN 't ' || lower(name) WHEN 1 THEN lower(name) ELSE 'osm stop ' || id END AS normal_name, CASE WHEN id % 2 = 0 THEN 'B' || id ELSE '' END AS aliases, coalesce(lat, 22.5726e0) AS lat, coalesce(lng, 88.3639e0) AS lng, 0.95e0 AS confidence FROM stops")
 def src_osm(v):
-    kind = text.first_match([(F.contains("name", F.lit("ring")), "BUS_STATION"), (F.contains("name", F.lit("bolt")), "RAIL_STATION"), (F.contains("name", F.lit("gear")), "FERRY_TERMINAL")], "BUS_STOP")
-    return v.stops.select("id", kind.alias("node_type"), F.round(F.least(F.lit(0.85), 0.6 + 0.15 * (F.col("id") % 100) / 100), 6).alias("confidence"))
+    """Map elements of each kind, with a name among the tags, beside them or nowhere."""
+    pairs = [("highway", "bus_stop"), ("public_transport", "platform"), ("railway", "station"), ("station", "subway"), ("railway", "subway_entrance"), ("amenity", "ferry_terminal"), ("railway", "tram_stop")]
+    kinds = F.array(*[F.create_map(F.lit(k), F.lit(x)) for k, x in pairs])
+    i, name = F.col("id"), F.col("name")
+    tags = F.map_concat(F.get(kinds, (i % 7).cast("int")), F.create_map(F.lit("name"), F.when(i % 3 == 0, F.concat(F.lit("T "), name)), F.lit("name:bn"), F.when(i % 2 == 0, F.concat(F.lit("B"), i.cast("string"))), F.lit("alt_name"), F.lit("")))
+    out = mapping.osm_nodes(v.stops.select("id", F.when(i % 3 == 1, name).alias("name"), tags.alias("tags"), "lat", F.col("lng").alias("lon")))
+    return out.select("id", "node_type", "name", "normal_name", F.array_join("aliases", "|").alias("aliases"), "lat", "lng", "confidence")
+
+
+@query("SELECT id, CASE WHEN id % 4 = 0 THEN 'Nominatim Place ' || id WHEN id % 4 = 1 THEN name ELSE name || ', ' || state END AS name, CASE WHEN id % 2 = 0 THEN 'V' || id || '|S' || id ELSE 'T' || id END AS aliases, coalesce(lat, 0e0) AS lat, CASE WHEN lng IS NULL THEN 0e0 ELSE lng END AS lng, CASE WHEN id % 3 = 0 THEN 'OD' ELSE 'WB' END AS state, CASE WHEN id % 5 = 0 THEN 'D' || id ELSE 'C' || id END AS district, 'C' || id AS block, CASE WHEN id % 2 = 0 THEN 'V' || id ELSE 'T' || id END AS city FROM stops")
+def src_nominatim(v):
+    i = F.col("id")
+    of = lambda letter, c: F.when(c, F.concat(F.lit(letter), i.cast("string")))
+    address = F.create_map(F.lit("village"), of("V", i % 2 == 0), F.lit("town"), of("T", i % 2 != 0), F.lit("suburb"), of("S", i % 2 == 0), F.lit("county"), of("C", F.lit(True)), F.lit("state_district"), of("D", i % 5 == 0), F.lit("ISO3166-2-lvl4"), F.when(i % 3 == 0, "IN-OD"))
+    shown = F.when(i % 4 >= 2, F.concat("name", F.lit(", "), "state"))
+    rows = v.stops.select("id", shown.alias("display_name"), F.when(i % 4 == 1, F.col("name")).otherwise("").alias("name"), address.alias("address"), F.concat(F.col("lat").cast("string"), F.lit(" N")).alias("lat"), F.coalesce(F.col("lng").cast("string"), F.lit("none")).alias("lon"))
+    return mapping.nominatim_nodes(rows).select("id", "name", F.array_join("aliases", "|").alias("aliases"), "lat", "lng", "state", "district", "block", "city")
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'Village ' || id ELSE name END || CASE WHEN id % 2 = 0 THEN ' (' || provider || ' GP)' ELSE '' END AS name, CASE WHEN id % 3 = 0 THEN 'village ' || id ELSE lower(name) END AS normal_name, CASE WHEN id % 3 = 0 THEN 'Village ' || id ELSE name END || '|' || CASE WHEN id % 3 = 0 THEN 'Village ' || id ELSE name END || ' Village' AS aliases, coalesce(lat, 0e0) AS lat, state AS district, CASE WHEN id % 2 = 0 THEN provider END AS locality FROM stops")
+def src_census(v):
+    i = F.col("id")
+    rows = v.stops.select("id", F.when(i % 3 != 0, F.col("name")).alias("village_name"), F.when(i % 2 == 0, F.col("provider")).otherwise("").alias("gp"), F.col("state").alias("district"), F.col("lat").cast("string").alias("lat"), F.col("lng").cast("string").alias("lon"))
+    return mapping.census_nodes(rows).select("id", "name", "normal_name", F.array_join("aliases", "|").alias("aliases"), "lat", "district", "locality")
+
+
+@query("SELECT id, 'datagov_' || id AS external_id, CASE id % 3 WHEN 0 THEN name WHEN 1 THEN provider ELSE 'OGD Infrastructure ' || id END AS name, coalesce(lat, 22.57e0) AS lat, coalesce(lng, 88.36e0) AS lng, 0.9e0 AS confidence FROM stops")
+def src_datagov(v):
+    i = F.col("id")
+    rows = v.stops.select("id", F.when(i % 3 == 0, F.col("name")).otherwise("").alias("title"), F.when(i % 3 == 1, F.col("provider")).alias("facility_name"), F.col("lat").alias("latitude"), F.col("lng").alias("longitude"))
+    return mapping.portal_nodes(rows).select("id", "external_id", "name", "lat", "lng", "confidence")

@@ -8,6 +8,7 @@ from tramline.functions import geo, text
 from tramline.operators import journey, lifecycle, mapping, quality, relational, resolve
 from tramline.plans.registry import query
 from tramline.plans.windows import POS
+from tramline.session import cut
 
 HOPS = f"""p AS ({POS}), h0 AS (SELECT p.*, s.lat, s.lng FROM p LEFT JOIN stops s ON s.id = p.stop_id),
 h1 AS (SELECT *, {geo.distance_sql('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} AS metres, CASE WHEN departs IS NOT NULL AND lag(departs) OVER w IS NOT NULL THEN minute - lag(minute) OVER w END AS tt FROM h0 WINDOW w AS (PARTITION BY trip_id ORDER BY pos)),
@@ -102,16 +103,15 @@ def graph_all_paths_dfs(v):
     return out.select("origin", F.array_join("path", ">").alias("path"))
 
 
-@query("""WITH d AS (SELECT o.stop_id AS origin, d.stop_id AS destination, min(greatest(8, 3 * (d.seq - o.seq))) AS m FROM calls o JOIN calls d ON o.trip_id = d.trip_id AND o.seq < d.seq WHERE o.stop_id <= 20 AND d.stop_id <= 20 AND o.stop_id <> d.stop_id GROUP BY ALL),
-x AS (SELECT a.stop_id AS origin, b.stop_id AS via, min(greatest(8, 3 * (b.seq - a.seq))) AS m FROM calls a JOIN calls b ON a.trip_id = b.trip_id AND a.seq < b.seq WHERE a.stop_id <= 20 GROUP BY ALL),
-y AS (SELECT a.stop_id AS via, b.stop_id AS destination, min(greatest(8, 3 * (b.seq - a.seq))) AS m FROM calls a JOIN calls b ON a.trip_id = b.trip_id AND a.seq < b.seq WHERE b.stop_id <= 20 GROUP BY ALL),
-t AS (SELECT x.origin, y.destination, min(x.m + 4 + y.m) AS m FROM x JOIN y USING (via) WHERE x.origin <> y.destination GROUP BY ALL)
-SELECT origin, destination, CAST(m AS INTEGER) AS minutes, 'direct' AS how FROM d UNION ALL SELECT origin, destination, CAST(m AS INTEGER), 'transfer' FROM t WHERE (origin, destination) NOT IN (SELECT (origin, destination) FROM d)""")
+@query("""WITH legs AS (SELECT o.stop_id AS origin, d.stop_id AS destination, min(greatest(8, 3 * (d.seq - o.seq))) AS m FROM calls o JOIN calls d ON o.trip_id = d.trip_id AND o.seq < d.seq GROUP BY ALL),
+d AS (SELECT origin, destination, m FROM legs WHERE origin % 20 = 0 AND origin <> destination),
+t AS (SELECT x.origin, y.destination, min(x.m + 4 + y.m) AS m FROM legs x JOIN legs y ON x.destination = y.origin WHERE x.origin % 20 = 0 AND x.origin <> y.destination GROUP BY ALL)
+SELECT origin, destination, CAST(m AS INTEGER) AS minutes, 'direct' AS how FROM d UNION ALL SELECT t.origin, t.destination, CAST(t.m AS INTEGER), 'transfer' FROM t ANTI JOIN d ON d.origin = t.origin AND d.destination = t.destination""")
 def graph_regional_plan(v):
-    """Direct rides, and rides with a transfer for the pairs that have none."""
-    some = F.col("stop_id") <= 20
-    direct = journey.direct_legs(v.calls, some).filter("destination <= 20 and origin <> destination").groupBy("origin", "destination").agg(F.min("minutes").alias("minutes"))
-    change = journey.two_legs(v.calls, some, some).join(direct, ["origin", "destination"], "left_anti")
+    """From every stop whose id is divisible by 20 to all stops: direct rides, and rides with a transfer where there is none."""
+    some, legs = v.stops.filter("id % 20 = 0").select(F.col("id").alias("origin")), cut(journey.direct_legs(v.calls))
+    direct = legs.filter("origin <> destination").join(some, "origin", "left_semi").select("origin", "destination", "minutes")
+    change = journey.two_legs(v.calls, some, legs=legs).join(direct, ["origin", "destination"], "left_anti")
     return direct.withColumn("how", F.lit("direct")).unionByName(change.withColumn("how", F.lit("transfer")))
 
 
@@ -153,12 +153,7 @@ def dq_gap_categories(v):
 
 @query("SELECT 'stops' AS metric, count(*) AS n FROM stops UNION ALL SELECT 'located', count(lat) FROM stops UNION ALL SELECT 'routes', count(*) FROM routes UNION ALL SELECT 'trips', count(*) FROM trips UNION ALL SELECT 'calls', count(*) FROM calls UNION ALL SELECT 'timed', count(departs) FROM calls UNION ALL SELECT 'raw', count(*) FROM raw_records")
 def dq_baseline_audit(v):
-    one = lambda df, c, name: df.agg(F.count(c).alias("n")).select(F.lit(name).alias("metric"), "n")
-    parts = [one(v.stops, "*", "stops"), one(v.stops, "lat", "located"), one(v.routes, "*", "routes"), one(v.trips, "*", "trips"), one(v.calls, "*", "calls"), one(v.calls, "departs", "timed"), one(v.raw_records, "*", "raw")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return quality.counts({"s": (v.stops, {"stops": "*", "located": "lat"}), "r": (v.routes, {"routes": "*"}), "t": (v.trips, {"trips": "*"}), "c": (v.calls, {"calls": "*", "timed": "departs"}), "d": (v.raw_records, {"raw": "*"})})
 
 
 @query("SELECT id, min(id) OVER (PARTITION BY name, state, CAST(floor(lat * 1000 + 0.5) AS BIGINT), CAST(floor(lng * 1000 + 0.5) AS BIGINT)) AS survivor FROM dense_stops")
@@ -166,7 +161,14 @@ def er_grid_canonical(v):
     return resolve.grid_survivors(v.dense_stops)
 
 
-@query()
+FIT = f"list_filter(w.heads, lambda h: (h.state = o.state OR h.state = '' OR o.state = '') AND {geo.distance_sql('o.lat', 'o.lng', 'h.lat', 'h.lng')} <= 150)"
+
+
+@query(f"""WITH RECURSIVE busy AS (SELECT stop_id, count(*) AS n FROM calls GROUP BY stop_id), s AS (SELECT d.id, regexp_replace(lower(d.name), '[^a-z0-9]', '', 'g') AS k, coalesce(d.state, '') AS state, d.lat, d.lng, coalesce(busy.n, 0) AS services FROM dense_stops d LEFT JOIN busy ON busy.stop_id = d.id),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY services DESC, state = '', id) AS n FROM s),
+w AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS survivor, CAST([] AS STRUCT(id BIGINT, state VARCHAR, lat DOUBLE, lng DOUBLE)[]) AS heads FROM o
+UNION ALL SELECT o.k, o.n, o.id, CASE WHEN len({FIT}) = 0 THEN o.id ELSE {FIT}[1].id END, CASE WHEN len({FIT}) = 0 THEN list_append(w.heads, {{'id': o.id, 'state': o.state, 'lat': o.lat, 'lng': o.lng}}) ELSE w.heads END FROM w JOIN o ON o.k = w.k AND o.n = w.n + 1)
+SELECT id, survivor FROM w WHERE id IS NOT NULL""")
 def er_cluster_greedy(v):
     busy = v.calls.groupBy("stop_id").agg(F.count("*").alias("services"))
     return resolve.cluster_greedy(v.dense_stops, busy)
@@ -255,10 +257,10 @@ def sink_find_or_create(v):
     return relational.find_or_create(v.places.filter("id % 2 = 0").select("name", "id"), v.stops.select("name"), "name")
 
 
-@query("SELECT r.id, r.content_hash FROM raw_records r WHERE NOT EXISTS (SELECT 1 FROM raw_records k WHERE k.id % 2 = 0 AND k.provider = r.provider AND k.content_hash = r.content_hash)")
+@query("WITH k AS (SELECT provider, arg_max(content_hash, id) AS h FROM raw_records WHERE id % 2 = 0 GROUP BY provider) SELECT r.id, r.content_hash FROM raw_records r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.provider = r.provider AND k.h = r.content_hash)")
 def lc_skip_unchanged(v):
     known = v.raw_records.filter("id % 2 = 0")
-    return lifecycle.skip_unchanged(v.raw_records, known, ["provider"]).select("id", "content_hash")
+    return lifecycle.skip_unchanged(v.raw_records, known, ["provider"], "id").select("id", "content_hash")
 
 
 @query("SELECT provider, count(*) FILTER (WHERE status = 'FAILED') AS failed, count(*) AS total, count(*) FILTER (WHERE status = 'FAILED') > greatest(5, count(*) * 0.1) AS abort FROM runs GROUP BY provider")
@@ -267,6 +269,13 @@ def lc_failure_threshold(v):
     return n.withColumn("abort", lifecycle.over_threshold(F.col("failed"), F.col("total")))
 
 
+@query("SELECT trip_id, seq, stop_id, platform FROM calls WHERE trip_id IN (SELECT id FROM trips WHERE route_id IN (SELECT id FROM routes WHERE NOT (right(long_name, 1) IN ('1', '2') AND long_name <> 'Customer#000000021' AND id NOT IN (SELECT route_id FROM trips WHERE direction = 'P'))))")
+def er_prune_experimental(v):
+    """Routes of an experimental mark (here a last digit) without a trip in service go with what hangs on them, but for those on the list to keep."""
+    gone = relational.experimental(v.routes, v.trips.filter("direction = 'P'"), F.right("long_name", F.lit(1)).isin("1", "2"), F.col("long_name").isin("Customer#000000021"))
+    return relational.prune(gone, F.col("doomed"), [(v.trips, "route_id"), (v.calls, "trip_id")])[2].select("trip_id", "seq", "stop_id", "platform")
+
+
 @query("SELECT trip_id, CASE WHEN n < 2 THEN 'TOO_SHORT' WHEN located < n THEN 'UNLOCATED' END AS reason FROM (SELECT c.trip_id, count(*) AS n, count(s.lat) AS located FROM calls c LEFT JOIN stops s ON s.id = c.stop_id GROUP BY c.trip_id) WHERE n < 2 OR located < n")
 def lc_quarantine(v):
     s = v.stops.select(F.col("id").alias("stop_id"), "lat")

@@ -15,42 +15,53 @@ from tramline.sources import feeds, pages
 from tramline.session import shared_dir
 
 
-def _page(*parts):
-    """A page for each stop, from texts and columns."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("html")
+def _listed(v, one):
+    """One text for each route, of what `one` makes of each of its rows, in order."""
+    rows = v.patterns.groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("seq", "name"))).alias("rows"))
+    return rows.select(F.col("route_id").alias("page_id"), F.array_join(F.transform("rows", one), "\n").alias("inner"))
 
 
-@query("SELECT id AS page_id, 'field' AS kind, CAST(0 AS BIGINT) AS n, 'Bus Name' AS a, name AS b, CAST(NULL AS VARCHAR) AS c, CAST(NULL AS VARCHAR) AS d FROM stops UNION ALL SELECT id, 'call', 1, '1', '06:10', provider, '_ _ : _ _' FROM stops")
+BUS_CALLS = "SELECT route_id AS page_id, 'call' AS kind, row_number() OVER (PARTITION BY route_id ORDER BY seq) + 1 AS n, CAST(seq AS VARCHAR) AS a, CASE WHEN seq % 3 = 0 THEN '_ _ : _ _' ELSE '06:1' || seq % 10 END AS b, name || ' & ' || seq AS c, CASE WHEN seq % 2 = 0 THEN '' ELSE '18:05' END AS d FROM patterns"
+
+
+@query(f"SELECT DISTINCT route_id AS page_id, 'field' AS kind, CAST(0 AS BIGINT) AS n, 'Bus Name' AS a, 'No ' || route_id AS b, CAST(NULL AS VARCHAR) AS c, CAST(NULL AS VARCHAR) AS d FROM patterns UNION ALL SELECT DISTINCT route_id, 'field', 1, 'Depot', 'A <B>', '', NULL FROM patterns UNION ALL {BUS_CALLS}")
 def src_bus_detail(v):
-    html = _page("<table class='table-striped'><tr><td>Bus Name</td><td> ", F.col("name"), "</td></tr></table><div class='row sud'><div>1</div><div>06:10</div><div>", F.col("provider"), "</div><div>_ _ : _ _</div></div>")
-    return pages.bus_detail(v.stops.select(F.col("id").alias("page_id"), html))
+    """A page for each route: a table with cells that aren't closed, then a block of four cells for each stop."""
+    seq = lambda r: r["seq"].cast("string")
+    at = lambda r: F.when(r["seq"] % 3 == 0, F.lit("_ _ : _ _")).otherwise(F.concat(F.lit("06:1"), (r["seq"] % 10).cast("string")))
+    one = lambda r: F.concat(F.lit("<div class='x row sud'><div> "), seq(r), F.lit("</div><div><b>"), at(r), F.lit("</b></div>\n<div>"), r["name"], F.lit("\n &amp;  "), seq(r), F.lit("</div><div>"), F.when(r["seq"] % 2 == 0, "").otherwise("18:05"), F.lit("</div></div><div class='row'><div>other</div></div>"))
+    table = F.concat(F.lit("<p>x</p><table class='table-striped'><tr><th>Bus Name<td> No "), F.col("page_id").cast("string"), F.lit("</tr><tr><td>Depot</td><td>A &lt;B&gt;<td> </tr></table>"))
+    return pages.bus_detail(_listed(v, one).select("page_id", F.concat(table, "inner").alias("html")))
 
 
-@query("SELECT id AS page_id, provider AS line, name, CASE WHEN id % 5 <> 0 THEN id END AS seq, id % 2 = 0 AS interchange FROM stops")
+@query("SELECT route_id AS page_id, 'Line ' || route_id AS line, name || ' & ' || seq AS name, CASE WHEN seq % 5 <> 0 THEN seq END AS seq, seq % 2 = 0 AS interchange FROM patterns")
 def src_metro_structured(v):
-    seq = F.when(F.col("id") % 5 != 0, F.col("id").cast("string")).otherwise("?")
-    html = _page("<section data-metro-line='", F.col("provider"), "'><ul><li data-station-name='", F.col("name"), "' data-sequence='", seq, "' data-interchange='", (F.col("id") % 2 == 0).cast("string"), "'>x</li></ul></section>")
-    return pages.metro_lines(v.stops.select(F.col("id").alias("page_id"), html))
+    """A page for each route: stations inside its section count, the one after it doesn't; an odd number is none."""
+    seq = lambda r: r["seq"].cast("string")
+    one = lambda r: F.concat(F.lit("<li data-station-name='"), r["name"], F.lit(" &amp; "), seq(r), F.lit("' data-sequence=' "), F.when(r["seq"] % 5 != 0, seq(r)).otherwise("?"), F.lit(" ' data-interchange="), F.when(r["seq"] % 2 == 0, "Yes").otherwise("no"), F.lit(">x"))
+    html = F.concat(F.lit("<h1>Lines</h1><section data-metro-line='Line "), F.col("page_id").cast("string"), F.lit("'><ul>"), "inner", F.lit("</ul></section><li data-station-name='outside' data-sequence='1'>"))
+    return pages.metro_lines(_listed(v, one).select("page_id", html.alias("html")))
 
 
-@query("SELECT 'f' || id AS feed, CAST(0 AS BIGINT) AS row, CAST(id AS VARCHAR) AS stop_id, name || ', \"x\"' AS stop_name, '' AS stop_lat FROM stops")
+@query("SELECT 'f' || route_id AS feed, 2 * (row_number() OVER (PARTITION BY route_id ORDER BY seq) - 1) AS row, CAST(seq AS VARCHAR) AS stop_id, name || ', \"x\"' || chr(10) || 'y' AS stop_name, '' AS stop_lat FROM patterns")
 def src_gtfs_zip(v):
-    """An archive for each stop, with a byte order mark, quotes and a blank line."""
+    """An archive for each route: a byte order mark, a row for each stop with quotes and a line break, blank rows between."""
 
     @F.pandas_udf("binary")
-    def archive(ids: pd.Series, names: pd.Series) -> pd.Series:
+    def archive(seqs: pd.Series, names: pd.Series) -> pd.Series:
         out = []
-        for i, name in zip(ids, names, strict=True):
+        for own, named in zip(seqs, names, strict=True):
             body = io.BytesIO()
             with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("stops.txt", f'﻿stop_id,stop_name\r\n{i},"{name}, ""x"""\r\n,\r\n')
+                rows = "".join(f'{i},"{name}, ""x""\ny"\r\n,\r\n' for i, name in zip(own, named, strict=True))
+                z.writestr("stops.txt", f"\ufeffstop_id, stop_name\r\n{rows}\r\n")
                 z.writestr("notes.md", "not a table")
             out.append(body.getvalue())
         return pd.Series(out)
 
-    files = v.stops.select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), archive("id", "name").alias("content"))
-    rows = feeds.archive_rows(files)
-    return feeds.gtfs_table(rows, "stops.txt", ["stop_id", "stop_name", "stop_lat"], keep=["row"])
+    routes = v.patterns.groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("seq", "name"))).alias("r"))
+    files = routes.select(F.concat(F.lit("f"), F.col("route_id").cast("string")).alias("path"), archive("r.seq", "r.name").alias("content"))
+    return feeds.gtfs_table(feeds.archive_rows(files), "stops.txt", ["stop_id", "stop_name", "stop_lat"], keep=["row"])
 
 
 @query("SELECT id, id % 3 AS nodes, id % 2 AS routes, id % 4 AS timed, CASE WHEN id % 3 = 0 THEN 'NO_NODES' WHEN id % 2 = 0 THEN 'NO_ROUTES' WHEN id % 4 = 0 THEN 'NO_TIMED_TRIPS' END AS refused FROM stops")
@@ -69,6 +80,25 @@ def src_json_fetch(v):
     return v.spark.read.schema("event_id bigint, event_type string, k string").json(folder)
 
 
+@query("SELECT id, name, CASE WHEN id % 3 = 0 THEN 'x' ELSE provider || ' & <' || state || '>' END AS note, lat FROM stops")
+def src_xml_fetch(v):
+    """XML files with a stated schema and row tag, as landed."""
+    folder = f"{shared_dir(v.spark)}/xml-{uuid.uuid4().hex}"
+    note = F.when(F.col("id") % 3 == 0, "x").otherwise(F.concat("provider", F.lit(" & <"), "state", F.lit(">")))
+    v.stops.select("id", "name", note.alias("note"), "lat").write.format("xml").option("rootTag", "stops").option("rowTag", "stop").save(folder)
+    return feeds.xml_table(v.spark, folder, "stop", "id bigint, name string, note string, lat double")
+
+
+@query("SELECT CAST(id AS VARCHAR) AS id, name || chr(10) || '\"' || provider || '\", ' || state AS note, CASE WHEN id % 3 = 0 THEN '' ELSE state END AS state FROM stops")
+def src_csv_fetch(v):
+    """CSV files as landed: quotes, commas and line breaks inside fields, and missing values."""
+    folder = f"{shared_dir(v.spark)}/csv-{uuid.uuid4().hex}"
+    note = F.concat("name", F.lit('\n"'), "provider", F.lit('", '), "state")
+    rows = v.stops.select("id", note.alias("note"), F.when(F.col("id") % 3 != 0, F.col("state")).alias("state"))
+    rows.write.options(header=True, quote='"', escape='"', quoteAll=False).csv(folder)
+    return feeds.csv_table(v.spark, folder)
+
+
 CALLS = "SELECT trip_id, stop_id, CAST(seq AS BIGINT) AS seq, platform, departs FROM calls WHERE stop_id % 9 <> 0"
 
 
@@ -86,10 +116,13 @@ def sink_update_case(v):
     return relational.update_values(v.stops.select("id", "name"), new, "id", "name")
 
 
-@query("SELECT id, name, provider FROM stops")
+@query("SELECT id, CASE WHEN provider = 'Brand#11' THEN upper(name) ELSE name END AS name, provider FROM stops")
 def sink_bulk_insert(v):
+    """A table by provider; a second insert for one provider replaces that provider's rows and no others."""
     folder = f"{shared_dir(v.spark)}/stops-{uuid.uuid4().hex}"
-    v.stops.select("id", "name", "provider").write.parquet(folder)
+    rows = v.stops.select("id", "name", "provider")
+    rows.write.partitionBy("provider").parquet(folder)
+    rows.filter("provider = 'Brand#11'").withColumn("name", F.upper("name")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("provider").parquet(folder)
     return v.spark.read.parquet(folder)
 
 

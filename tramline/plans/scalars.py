@@ -134,6 +134,17 @@ def time_minutes_of_day(v):
     return v.calls.select("trip_id", "seq", "stop_id", timeofday.minutes(F.col("departs")).alias("m"))
 
 
+@query("SELECT trip_id, seq, stop_id, platform, lpad(CAST(((minute * 3 - 1440) % 1440 + 1440) % 1440 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(((minute * 3 - 1440) % 1440 + 1440) % 1440 % 60 AS VARCHAR), 2, '0') AS at FROM calls")
+def time_clock(v):
+    """Minutes before and beyond the day wrap at midnight."""
+    return v.calls.select("trip_id", "seq", "stop_id", "platform", timeofday.from_minutes(F.col("minute") * 3 - 1440).alias("at"))
+
+
+@query("SELECT id, upper('gov_ROUTE_' || regexp_replace(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g'), ' +', '_', 'g') || '->' || regexp_replace(regexp_replace(lower(trim(' ' || provider || ' / ' || state || ' ')), '[^a-z0-9 ]', '', 'g'), ' +', '_', 'g')) AS external_id FROM stops")
+def external_id(v):
+    return v.stops.select("id", text.external_id("gov", F.col("name"), F.concat(F.lit(" "), "provider", F.lit(" / "), "state", F.lit(" "))).alias("external_id"))
+
+
 @query("SELECT id, lpad(CAST((CAST(floor(fare_inr * 10.25e0 + 0.5) AS BIGINT) % 1440) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((CAST(floor(fare_inr * 10.25e0 + 0.5) AS BIGINT) % 1440) % 60 AS VARCHAR), 2, '0') AS at FROM routes")
 def time_hhmm_round(v):
     return v.routes.select("id", timeofday.from_minutes(F.col("fare_inr") * 10.25).alias("at"))

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tramline.operators.relational import numbered
 from tramline.session import table
 
 VIEW_SQL = {
@@ -63,10 +64,7 @@ class Views:
 
     @cached_property
     def places(self) -> DataFrame:
-        from pyspark.sql import Window as W
-
-        names = self.table("part").select(F.col("p_name").alias("name")).distinct()  # names are few: a fixed vocabulary
-        return names.select(F.row_number().over(W.orderBy("name")).cast("bigint").alias("id"), "name")
+        return numbered(self.table("part").select(F.col("p_name").alias("name")).distinct(), "name")
 
     @cached_property
     def runs(self) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tramline.functions import text
+from tramline.operators.relational import numbered
 
 TAGS = "<[^>]*>"
 
@@ -25,6 +26,11 @@ def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return df.na.fill("")
 
 
+def xml_table(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
+    """XML files as rows of one tag; the schema is stated, so that no pass over the files guesses it."""
+    return spark.read.format("xml").option("rowTag", row).schema(schema).load(path)
+
+
 def csv_fields(line: Column, names: list[str]) -> Column:
     """A struct of the fields of one CSV line, quotes and doubled quotes included."""
     return F.from_csv(line, ", ".join(f"{n} string" for n in names), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
@@ -43,6 +49,17 @@ def json_rows(body: Column) -> Column:
     return F.when(start == "[", rows(body)).when(F.substring(inner, 1, 1) == "[", rows(inner)).when(F.try_parse_json(body).isNotNull(), F.array(body)).otherwise(F.array(F.to_json(F.struct(body.alias("rawJsonString")))))
 
 
+def raw_pages(pages: DataFrame) -> DataFrame:
+    """Landed pages: page_id, host, size in characters, content_hash and content_type."""
+    kind = F.when(F.col("html").rlike("(?i)<html"), "text/html").otherwise("text/plain")
+    return pages.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.length("html").cast("bigint").alias("size"), F.sha2(F.col("html").cast("binary"), 256).alias("content_hash"), kind.alias("content_type"))
+
+
+def paged(rows: DataFrame, by: str, size: int) -> DataFrame:
+    """`rows` with page: 1 for the first `size` in the order of `by`, and so on."""
+    return numbered(rows, by, "_n").withColumn("page", (F.floor((F.col("_n") - 1) / size) + 1).cast("bigint")).drop("_n")
+
+
 def links(pages: DataFrame, part: str) -> DataFrame:
     """Distinct hrefs that hold `part`, made absolute by their page's host."""
     href = F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))
