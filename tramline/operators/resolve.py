@@ -180,10 +180,11 @@ def cluster_greedy(stops: DataFrame, services: DataFrame, limit_m: float = 150.0
     Stops come in the order of services (most first), with a state before without, then id; a stop that joins none
     becomes a survivor; states are compatible if equal or one is missing. The rounds below give what one pass in that
     order would: stops that share name, state and place have one fate and are taken together; in each round the first
-    undecided stop of a cell becomes a survivor if no cell around has an earlier one, and then takes the undecided stops
-    near it. All of it is joins by name key and cell: a cell is little wider than limit_m, so only a few survivors of
-    each state stand in it, and no pairs of a crowded name are made. Rounds grow with the longest chain of cells in falling order, in practice a few. Stops
-    without place stay alone; null names are one name.
+    undecided stop of each state of a cell becomes a survivor if no undecided stop near it is earlier, and then takes
+    the undecided stops near it. All of it is joins by name key and cell: a stop meets one stop of each state of the
+    cells around, and a cell is little wider than limit_m, so only a few survivors stand in it; no pairs of a crowded
+    name are made. Rounds grow with the longest chain of stops in falling order, in practice a few. Stops without place
+    stay alone; null names are one name.
     """
     busy = services.select(F.col("stop_id").alias("id"), "services")
     s = stops.join(busy, "id", "left").select("id", F.coalesce(text.name_key(F.col("name")), F.lit("")).alias("k"), F.coalesce("state", F.lit("")).alias("state"), "lat", "lng", F.coalesce("services", F.lit(0)).alias("services"))
@@ -192,24 +193,28 @@ def cluster_greedy(stops: DataFrame, services: DataFrame, limit_m: float = 150.0
     place = ["k", "state", "lat", "lng"]
     bands = Bands(limit_m)
     first = s.filter("lat is not null and lng is not null").groupBy(*place).agg(F.min("o").alias("o"))
-    y = bands.band(F.col("lat"))
-    first = cut(first.withColumn("y", y).withColumn("x", bands.cell(F.col("lng"), F.col("y"))).withColumn("near", bands.near(F.col("lat"), F.col("lng"))))
+    first = first.withColumn("y", bands.band(F.col("lat")))
+    first = cut(first.withColumn("x", bands.cell(F.col("lng"), F.col("y"))))
     cell = ["k", "y", "x"]
     fits = (F.col("state") == F.col("h_state")) | (F.col("state") == "") | (F.col("h_state") == "")
     close = distance_m(F.col("lat"), F.col("lng"), F.col("h_lat"), F.col("h_lng")) <= limit_m
-    spread = lambda df: df.select("k", "state", "lat", "lng", "o", F.explode("near").alias("c")).select("k", "state", "lat", "lng", "o", "c.y", "c.x")
-    head = lambda df: df.select(*cell, F.col("o").alias("h_o"), F.col("state").alias("h_state"), F.col("lat").alias("h_lat"), F.col("lng").alias("h_lng"))
+
+    def meet(heads: DataFrame, others: DataFrame) -> DataFrame:
+        """Each of `heads` (h_...) beside the others that are near it and compatible."""
+        named = heads.select("k", *[F.col(c).alias(f"h_{c}") for c in ("state", "lat", "lng", "o")], F.explode(bands.near(F.col("lat"), F.col("lng"))).alias("c"))
+        return named.select("*", "c.y", "c.x").drop("c").join(others, cell).filter(fits & close)
+
     left, heads = first, None
     while not left.isEmpty():
-        lead = cut(left.groupBy(*cell).agg(F.min_by(F.struct("state", "lat", "lng", "o", "near"), "o").alias("f")).select(*cell, "f.*"))
-        before = spread(lead).join(lead.select(*cell, F.col("o").alias("h_o")), cell).filter(F.col("h_o") < F.col("o")).select("o").distinct()
-        now = cut(lead.join(before, "o", "left_anti"))
-        gone = spread(left).join(head(now), cell).filter(fits & close).select("o").distinct()
-        left = cut(left.join(gone, "o", "left_anti"))
+        lead = left.groupBy(*cell, "state").agg(F.min_by(F.struct("lat", "lng", "o"), "o").alias("f"))
+        lead = cut(lead.select("k", "state", "f.*"))
+        blocked = meet(lead, left).filter(F.col("o") < F.col("h_o")).select(F.col("h_o").alias("o")).distinct()
+        now = cut(lead.join(blocked, "o", "left_anti").select("k", "state", "lat", "lng", "o"))
+        left = cut(left.join(meet(now, left).select("o").distinct(), "o", "left_anti"))
         heads = now if heads is None else heads.unionByName(now)
     if heads is None:
         return s.select("id", F.col("id").alias("survivor"))
-    taken = spread(first).join(head(cut(heads)), cell).filter(fits & close & (F.col("h_o") <= F.col("o"))).groupBy(*place).agg(F.min("h_o").alias("h_o"))
+    taken = meet(cut(heads), first).filter(F.col("h_o") <= F.col("o")).groupBy(*place).agg(F.min("h_o").alias("h_o"))
     taken = cut(taken.select(*place, F.col("h_o.id").alias("survivor")))
     return s.join(taken, place, "left").select("id", F.coalesce("survivor", "id").alias("survivor"))
 
