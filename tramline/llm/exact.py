@@ -69,8 +69,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     h, n = f"{TEMP}h", f"{TEMP}n"
     slim = cut(docs.select(F.col(id_col).alias("i"), text_hash(F.col(text_col)).alias("h")))
     some = cut(maybe_repeated(slim, "h", "maybe").filter("maybe").select("i", "h"))
-    keep = some.groupBy("h").agg(F.max("i").alias("k"), F.count("*").alias("n")).filter("n > 1").select(F.col("h").alias("kh"), "k")
-    gone = cut(some.join(keep, F.col("h") == F.col("kh")).filter(~F.col("i").eqNullSafe(F.col("k"))).select(F.col("i").alias(f"{TEMP}i"), F.col("h").alias(f"{TEMP}gh")).distinct())
+    keep = cut(some.groupBy("h").agg(F.max("i").alias("k"), F.count("*").alias("n")).filter("n > 1").select(F.col("h").alias("kh"), "k"))
+    # Both sides are written and nothing else goes by h, so that adaptive execution can split a hot group.
+    gone = cut(some.join(keep, F.col("h") == F.col("kh")).filter(~F.col("i").eqNullSafe(F.col("k"))).select(F.col("i").alias(f"{TEMP}i"), F.col("h").alias(f"{TEMP}gh")))
     again = some.groupBy("h", "i").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("i").alias(f"{TEMP}i"))
     touched, rest = split_by(docs, id_col, cut(gone.select(f"{TEMP}i").unionByName(again).distinct()))
     left = touched.withColumn(h, text_hash(F.col(text_col))).join(gone, (F.col(h) == F.col(f"{TEMP}gh")) & F.col(id_col).eqNullSafe(F.col(f"{TEMP}i")), "left_anti")
