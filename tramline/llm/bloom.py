@@ -49,3 +49,18 @@ def split_by(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, Dat
     hashed = keys.select(F.xxhash64(keys.columns[0]).alias("d"))
     marked = flag_held(rows, F.xxhash64(key), bloom_pages(hashed, "d", cells), cells, f"{TEMP}held")
     return marked.filter(F.col(f"{TEMP}held")).select(rows.columns), marked.filter(~F.col(f"{TEMP}held")).select(rows.columns)
+
+
+def rows_of(rows: DataFrame, by: list[str], keys: DataFrame) -> DataFrame:
+    """`rows` joined with `keys` (a written table) on the columns `by`, nulls being equal.
+
+    Up to MAX_BROADCAST pages a plane, only rows that a filter of the keys may hold are shuffled; with more keys the
+    rows are, once.
+    """
+    cells = cells_for(keys.count())
+    if cells <= MAX_BROADCAST * PAGE:
+        pages = bloom_pages(keys.select(F.xxhash64(*by).alias("d")), "d", cells)
+        rows = flag_held(rows, F.xxhash64(*by), pages, cells, f"{TEMP}held").filter(F.col(f"{TEMP}held")).drop(f"{TEMP}held")
+    own = keys.select(*[F.col(c).alias(f"{TEMP}{c}") if c in by else F.col(c) for c in keys.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"{TEMP}{c}")) for c in by]
+    return rows.join(own, same).drop(*[f"{TEMP}{c}" for c in by])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramline.llm import decontaminate, exact, html, licenses, packing, pii, quality, shards, simhash, toxicity
+from tramline.llm import decontaminate, exact, html, licenses, minhash, packing, pii, quality, shards, simhash, spelling, toxicity, trie
 from tramline.session import table
 
 
@@ -48,6 +48,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_toxicity, op3_exact_dedup, op4_simhash, op5_shards, op6_quality, op7_pii, op8_decontaminate, op9_packing, op10_html)}
-SQL = {"op1_licenses": licenses.licenses_sql(), "op3_exact_dedup": exact.EXACT_SQL}
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+_ALL = (op1_licenses, op2_toxicity, op3_exact_dedup, op4_simhash, op5_shards, op6_quality, op7_pii, op8_decontaminate, op9_packing, op10_html, op11_minhash, op12_spelling, op13_trie)
+QUERIES = {f.__name__: f for f in _ALL}
+SQL = {"op1_licenses": licenses.licenses_sql(), "op3_exact_dedup": exact.EXACT_SQL}
