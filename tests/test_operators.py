@@ -63,14 +63,41 @@ def test_dbscan_equals_its_definition(spark, spread):
     df = spark.createDataFrame([*data, (999, "a", None, None)], "id bigint, key string, lat double, lng double")
     out = spatial.dbscan(df, "key")
     assert {r["id"]: (r["core"], r["cluster"]) for r in out.collect()} == slow_dbscan(data, 0.5, 5)
-    hulls = {(r["key"], r["cluster"]): (r["corners"], round(r["south"], 9), round(r["east"], 9)) for r in spatial.hulls(out.filter("cluster is not null"), ["key", "cluster"]).collect()}
-    for (key, cluster), got in hulls.items():
-        own = {(p[2], p[3]) for p in data if slow_cluster(data)[p[0]] == cluster and p[1] == key}
-        corners = [p for p in own if len(own) < 3 or any(all((a[0] - p[0]) * math.cos(t) + (a[1] - p[1]) * math.sin(t) < 0 for a in own if a != p) for t in [k * math.pi / 3600 for k in range(7200)])]
-        assert abs(len(corners) - got[0]) <= 1 and got[1:] == (round(min(p[0] for p in own) - 0.1, 9), round(max(p[1] for p in own) + 0.1, 9))
+    own = {}
+    for i, key, lat, lng in data:
+        own.setdefault((key, slow_cluster(data)[i]), set()).add((math.floor(lat * 1e6 + 0.5), math.floor(lng * 1e6 + 0.5)))
+    hulls = {(r["key"], r["cluster"]): r for r in spatial.hulls(out.filter("cluster is not null"), ["key", "cluster"]).collect()}
+    assert set(hulls) == {k for k in own if k[1] is not None}
+    for k, got in hulls.items():
+        assert {(p["y"], p["x"]) for p in got["ring"]} == slow_corners(own[k]) and got["corners"] == len(slow_corners(own[k]))
+        assert round(got["south"], 9) == round(min(y for y, _ in own[k]) / 1e6 - 0.1, 9) and round(got["east"], 9) == round(max(x for _, x in own[k]) / 1e6 + 0.1, 9)
     assert spatial.dbscan(df.limit(0), "key").count() == 0
 
 
+def slow_corners(pts):
+    """Points that are in no segment between and in no triangle of others: those with a line that has all others strictly on one side."""
+    out = set()
+    for p in pts:
+        others = [(a[0] - p[0], a[1] - p[1]) for a in pts if a != p]
+        angles = sorted(math.atan2(*a) for a in others)
+        gaps = [b - a for a, b in zip(angles, angles[1:], strict=False)] + [angles[0] + 2 * math.pi - angles[-1]] if angles else [7]
+        if max(gaps) > math.pi + 1e-9:
+            out.add(p)
+    return out
+
+
+def test_hull_keeps_every_corner(spark):
+    """Sixteen points on a circle inside one cell, an edge with points on it, a line, a point; over many tasks."""
+    ring = [(22.25 + 0.2 * math.sin(k * math.pi / 8), 88.25 + 0.2 * math.cos(k * math.pi / 8)) for k in range(16)]
+    pts = [("circle", *p) for p in ring] + [("circle", 22.25 + k / 1000, 88.25) for k in range(50)]
+    pts += [("box", float(y), float(x)) for y in range(4) for x in range(4)] + [("line", 1.0 + k, 2.0 + k) for k in range(5)] + [("dot", 1.0, 1.0)] * 3 + [(None, 0.0, float(k % 2)) for k in range(4)] + [("dot", None, 1.0)]
+    df = spark.createDataFrame(pts, "k string, lat double, lng double").repartition(6)
+    got = {r["k"]: (r["corners"], round(r["area"], 6)) for r in spatial.hulls(df, ["k"]).collect()}
+    assert got.pop("circle")[0] == 16
+    assert got == {"box": (4, 9.0), "line": (2, 0.0), "dot": (1, 0.0), None: (2, 0.0)}
+    assert spatial.hulls(df.limit(0), ["k"]).count() == 0
+
+
 def slow_cluster(data, known={}):  # noqa: B006
     if id(data) not in known:
         known[id(data)] = {i: c for i, (_, c) in slow_dbscan(data, 0.5, 5).items()}
@@ -268,15 +295,6 @@ def test_gates_of_empty_tables(spark):
     assert got["COORDINATE_COVERAGE_MIN_90"] == (0, False) and all(v == (0, True) for k, v in got.items() if k != "COORDINATE_COVERAGE_MIN_90")
 
 
-def test_alternatives_equal_a_search_by_hand(spark):
-    """Two trips reach stop 3 directly, one by a change; each pass bans the trip boarded first."""
-    calls = [(1, 0, 1, 1, None), (1, 0, 2, 3, 10), (2, 0, 1, 1, None), (2, 0, 2, 3, 12), (3, 0, 1, 1, None), (3, 0, 2, 2, 3), (4, 0, 1, 2, None), (4, 0, 2, 3, 4)]
-    ride = spark.createDataFrame(calls, "trip_id bigint, segment bigint, pos int, stop_id bigint, hop_min bigint")
-    origin = spark.createDataFrame([(1, 0)], "stop_id bigint, minutes bigint")
-    got = journey.alternatives(origin, ride, 3, passes=4)
-    assert [tuple(r) for r in got.collect()] == [(1, 16, 1, "1"), (2, 18, 1, "2"), (3, 19, 2, "3>4")]
-
-
 FILES = {
     "bus": ("<table class='table-striped'><tr><td>Bus Name</td><td>Sri &amp; Co<td>  </tr><tr><th>Depot</th><td>A<br>B</td></tr></table><div class='x row sud y'><div> 1 </div><div>06:10</div><div>Old  Stand</div><div>_ _ : _ _</div></div><div class='row sud'><div>2</div><div>bad</div><div>Town</div><div>18:05</div></div><div class='row'><div>no</div></div>", [("field", "Bus Name", "Sri & Co", "", None), ("field", "Depot", "AB", None, None), ("call", "1", "06:10", "Old Stand", "_ _ : _ _"), ("call", "2", "bad", "Town", "18:05")]),
     "cut": ("<table><tr><td>Bus Name</td><td>X</td></tr><div class='row sud'><div>1</div><div>06:10", [("field", "Bus Name", "X", None, None)]),
@@ -355,35 +373,6 @@ def test_land_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "raw")).count() == 2
 
 
-def test_polygon_and_hull(spark):
-    pts = spark.createDataFrame([(1, "a", 1.0, 1.0), (2, "a", 3.0, 1.0), (3, "a", 1.0, 3.0), (4, "a", 3.0, 3.0), (5, "a", 2.0, 2.0), (6, "a", None, None)], "id bigint, k string, lat double, lng double")
-    ring = [(0.0, 0.0), (0.0, 2.5), (2.5, 2.5), (2.5, 0.0)]
-    assert rows(pts.filter(spatial.in_polygon(F.col("lat"), F.col("lng"), ring)).select("id")) == [(1,), (5,)]
-    hull = spatial.hulls(pts, "k").first()
-    assert (hull["corners"], round(hull["south"], 3), round(hull["east"], 3)) == (4, 0.9, 3.1)
-
-
-def test_paths_add_up_and_match_costs(spark):
-    stops = spark.createDataFrame([(i, 22.0 + i / 100, 88.0) for i in range(12)], "id bigint, lat double, lng double")
-    rng = random.Random(4)
-    calls = [(t, s, n, 0, 0, None, "A") for t in range(8) for n, s in enumerate(rng.sample(range(12), 4))]
-    df = spark.createDataFrame(calls, "trip_id bigint, stop_id bigint, seq bigint, platform bigint, minute bigint, departs string, time_source string")
-    origin = spark.createDataFrame([(0, 0)], "stop_id bigint, minutes bigint")
-    paths = {r["stop_id"]: r for r in journey.reach_paths(origin, journey.ride_table(df, stops)).collect()}
-    costs = {r["stop_id"]: r["minutes"] for r in journey.reach(origin, df, stops.withColumn("lat", F.col("lat") + F.col("id")), rounds=0).collect()}
-    assert costs == {0: 0} and paths[0]["minutes"] == 0
-    for r in paths.values():
-        at = 0
-        for leg in r["path"]:
-            order = [c[1] for c in calls if c[0] == leg["trip_id"]]
-            assert leg["board"] == at and order.index(leg["board"]) < order.index(leg["alight"])
-            at = leg["alight"]
-        assert at == r["stop_id"] and len(r["path"]) <= 2
-    some = next(s for s, r in paths.items() if r["path"])
-    options = journey.alternatives(origin, journey.ride_table(df, stops), some).collect()
-    assert options[0]["minutes"] == paths[some]["minutes"] and len({o["trips"] for o in options}) == len(options)
-
-
 def test_structured_pages(spark):
     from tramline.operators import mapping
     from tramline.sources import pages

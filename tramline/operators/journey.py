@@ -123,67 +123,6 @@ def reach(origins: DataFrame, calls: DataFrame, stops: DataFrame, rounds: int =
     return labels
 
 
-def access(stops: DataFrame, lat: float, lng: float, most_m: float = ACCESS_M) -> DataFrame:
-    """Stops within a walk of a point, with its minutes; if there is none, the nearest one."""
-    d = distance_m(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"))
-    near = stops.filter("lat is not null").select(F.col("id").alias("stop_id"), d.alias("metres"))
-    first = near.orderBy("metres", "stop_id").limit(1)
-    chosen = near.filter(F.col("metres") <= most_m).unionByName(first).groupBy("stop_id").agg(F.min("metres").alias("metres"))
-    return chosen.select("stop_id", F.greatest(F.lit(1), F.floor(F.col("metres") / (WALK_KMH * 1000 / 60) + 0.5)).cast("bigint").alias("minutes"))
-
-
-LEG = "struct<trip_id:bigint,board:bigint,alight:bigint,minutes:bigint>"
-
-
-def ride_table(calls: DataFrame, stops: DataFrame) -> DataFrame:
-    """hops() as the rounds read it, written once for all of them."""
-    return cut(hops(calls, stops).select("trip_id", "segment", "pos", "stop_id", "hop_min"))
-
-
-def reach_paths(origins: DataFrame, ride: DataFrame, rounds: int = 2, banned: list[int] | None = None) -> DataFrame:
-    """reach() without walks over a ride_table(), with the legs of the best way: stop_id, minutes and path (an array of LEG).
-
-    The running minimum is over structs, so the way there travels with its cost; ties go to the smaller boarding
-    stop. The few trips of `banned` are not used.
-    """
-    ride = ride.filter(~F.col("trip_id").isin(banned)) if banned else ride
-    along = W.partitionBy("trip_id", "segment").orderBy("pos")
-    cum = F.sum(F.coalesce("hop_min", F.lit(0))).over(along.rowsBetween(W.unboundedPreceding, 0))
-    labels = origins.select("stop_id", F.col("minutes").cast("bigint").alias("minutes"), F.array().cast(f"array<{LEG}>").alias("path"))
-    for _ in range(rounds):
-        on = ride.join(labels, "stop_id", "left").withColumn("cum", cum)
-        start = F.when(F.col("minutes").isNotNull(), F.struct((F.col("minutes") - F.col("cum")).alias("k"), F.col("stop_id").alias("board"), "path"))
-        best = F.min(start).over(along.rowsBetween(W.unboundedPreceding, -1))
-        at = on.withColumn("best", best).filter("best is not null").withColumn("total", F.col("cum") + BOARD_MIN + F.col("best.k"))
-        leg = F.struct("trip_id", F.col("best.board").alias("board"), F.col("stop_id").alias("alight"), F.col("total").alias("minutes"))
-        ridden = at.select("stop_id", F.col("total").alias("minutes"), F.array_append("best.path", leg).alias("path"))
-        both = labels.unionByName(ridden)
-        labels = cut(both.groupBy("stop_id").agg(F.min(F.struct("minutes", F.size("path").alias("n"), "path")).alias("m")).select("stop_id", "m.minutes", "m.path"))
-    return labels
-
-
-def legs(labels: DataFrame) -> DataFrame:
-    """One row for each leg of a way, in order, with the minute it ends."""
-    return labels.select("stop_id", F.posexplode("path").alias("leg", "l")).select("stop_id", (F.col("leg") + 1).alias("leg"), "l.*")
-
-
-def alternatives(origins: DataFrame, ride: DataFrame, target: int, passes: int = 3) -> DataFrame:
-    """Up to `passes` ways to one stop, each without the trips that the earlier ones board first; stops when a way repeats or is missing.
-
-    Each pass depends on the way that the one before found, so one row a pass comes to the driver.
-    """
-    spark, banned, seen, out = ride.sparkSession, [], set(), []
-    for number in range(passes):
-        way = reach_paths(origins, ride, banned=banned).filter(F.col("stop_id") == target).first()
-        sign = tuple(leg["trip_id"] for leg in way["path"]) if way else ()
-        if not sign or sign in seen:
-            break
-        seen.add(sign)
-        banned.append(sign[0])
-        out.append((number + 1, way["minutes"], len(sign), ">".join(map(str, sign))))
-    return spark.createDataFrame(out, "option int, minutes bigint, legs int, trips string")
-
-
 def best_candidate(labels: DataFrame, candidates: DataFrame) -> DataFrame:
     """The first reading of a destination (lowest rank) that is reached: name, stop_id, minutes."""
     reached = candidates.join(labels.select("stop_id", "minutes"), "stop_id")

@@ -49,10 +49,25 @@ def interchanges(stations: DataFrame) -> DataFrame:
 
 
 def vehicle_runs(calls: DataFrame) -> DataFrame:
-    """Calls by stop (vehicle, started, stop_id, at) as runs of a vehicle: ordered, without calls that go back, two at least."""
-    w = W.partitionBy("vehicle", "started").orderBy("at", "stop_id")
-    runs = calls.withColumn("seq", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy("vehicle", "started")))
-    return runs.filter("n >= 2").drop("n")
+    """Calls by stop (vehicle, started, place, stop_id, arrives, departs) as runs of a vehicle: numbered, two calls at least.
+
+    In the order of places, a call stays if it arrives no earlier than the last call that stayed departs; so one call
+    that goes back is dropped, and those after it are held against the call before it. A call with one of the two times
+    has it for both, one without any is left out. Times are any type in the order of time; after midnight they go on
+    beyond 24 hours. A run's calls are folded in one row, as many as a vehicle makes on one run.
+    """
+    timed = calls.filter("arrives is not null or departs is not null")
+    call = F.struct("place", "stop_id", F.coalesce("arrives", "departs").alias("at"), F.coalesce("departs", "arrives").alias("leaves"))
+    runs = timed.groupBy("vehicle", "started").agg(F.sort_array(F.collect_list(call)).alias("calls"))
+    kinds = runs.schema["calls"].dataType.elementType
+    start = F.struct(F.lit(None).cast(kinds["leaves"].dataType).alias("last"), F.filter("calls", lambda c: F.lit(False)).alias("kept"))
+
+    def step(run: Column, c: Column) -> Column:
+        stays = run["last"].isNull() | (c["at"] >= run["last"])
+        return F.struct(F.when(stays, c["leaves"]).otherwise(run["last"]).alias("last"), F.when(stays, F.array_append(run["kept"], c)).otherwise(run["kept"]).alias("kept"))
+
+    kept = runs.select("vehicle", "started", F.aggregate("calls", start, step)["kept"].alias("kept")).filter(F.size("kept") > 1)
+    return kept.select("vehicle", "started", F.posexplode("kept").alias("i", "c")).select("vehicle", "started", (F.col("i") + 1).alias("seq"), "c.stop_id", F.col("c.at").alias("arrives"), F.col("c.leaves").alias("departs"))
 
 
 def stage_fares(fares: DataFrame) -> DataFrame:

@@ -142,21 +142,31 @@ def agg_progress_pct(v):
     return v.runs.select("id", F.least(F.lit(100), F.floor(done * 100 / F.greatest(done + 10, F.lit(1)) + 0.5)).cast("bigint").alias("pct"))
 
 
-@query()
-def agg_spatial_hull(v):
-    """An outline for each cluster of stops, by the first digit of their providers."""
-    stops = v.stops.withColumn("provider", F.substring("provider", 1, 7))
-    return spatial.hulls(spatial.dbscan(stops, "provider").filter("cluster is not null"), ["provider", "cluster"])
-
-
-@query("""WITH RECURSIVE p AS (SELECT id, provider, lat, lng FROM stops WHERE lat IS NOT NULL),
+DBSCAN = """WITH RECURSIVE p AS (SELECT id, {provider} AS provider, lat, lng FROM stops WHERE lat IS NOT NULL),
 near AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.provider = b.provider AND (a.lat - b.lat) * (a.lat - b.lat) + (a.lng - b.lng) * (a.lng - b.lng) <= 0.25e0),
 full_ AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 5),
 link AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM full_) AND b IN (SELECT id FROM full_)),
 reached AS (SELECT id, id AS r FROM full_ UNION SELECT reached.id, link.b FROM reached JOIN link ON link.a = reached.r),
 own AS (SELECT id, min(r) AS cluster FROM reached GROUP BY id),
 edge AS (SELECT a AS id, min(cluster) AS cluster FROM near JOIN own ON own.id = near.b WHERE a NOT IN (SELECT id FROM full_) GROUP BY a)
-SELECT p.id, p.provider, own.id IS NOT NULL AS core, coalesce(own.cluster, edge.cluster) AS cluster FROM p LEFT JOIN own ON own.id = p.id LEFT JOIN edge ON edge.id = p.id""")
+SELECT p.id, p.provider, own.id IS NOT NULL AS core, coalesce(own.cluster, edge.cluster) AS cluster FROM p LEFT JOIN own ON own.id = p.id LEFT JOIN edge ON edge.id = p.id"""
+
+
+@query(f"""{DBSCAN.format(provider="left(provider, 7)").replace("SELECT p.id, p.provider, own.id", ", found AS (SELECT p.lat, p.lng, p.provider, own.id")}),
+pts AS (SELECT DISTINCT provider, cluster, CAST(floor(lat * 1000000 + 0.5) AS BIGINT) AS y, CAST(floor(lng * 1000000 + 0.5) AS BIGINT) AS x FROM found WHERE cluster IS NOT NULL),
+tops AS (SELECT provider, cluster, 1 AS s, x, max(y) AS y FROM pts GROUP BY ALL UNION ALL SELECT provider, cluster, -1, x, min(y) FROM pts GROUP BY ALL),
+slopes AS (SELECT p.provider, p.cluster, p.x, p.y, p.s, min(CASE WHEN o.x < p.x THEN p.s * (p.y - o.y) / (p.x - o.x) END) AS before, max(CASE WHEN o.x > p.x THEN p.s * (o.y - p.y) / (o.x - p.x) END) AS after FROM tops p JOIN tops o ON o.provider = p.provider AND o.cluster = p.cluster AND o.s = p.s GROUP BY ALL),
+corners AS (SELECT provider, cluster, CAST(count(DISTINCT (x, y)) AS INTEGER) AS corners FROM slopes WHERE before IS NULL OR after IS NULL OR before > after GROUP BY ALL),
+box AS (SELECT provider, cluster, min(y) / 1000000 - 0.1e0 AS south, max(y) / 1000000 + 0.1e0 AS north, min(x) / 1000000 - 0.1e0 AS west, max(x) / 1000000 + 0.1e0 AS east FROM pts GROUP BY ALL)
+SELECT box.*, corners FROM box JOIN corners ON corners.provider = box.provider AND corners.cluster = box.cluster""")
+def agg_spatial_hull(v):
+    """An outline for each cluster of stops, by the first digit of their providers."""
+    stops = v.stops.withColumn("provider", F.substring("provider", 1, 7))
+    found = spatial.hulls(spatial.dbscan(stops, "provider").filter("cluster is not null"), ["provider", "cluster"])
+    return found.select("provider", "cluster", "corners", "south", "north", "west", "east")
+
+
+@query(DBSCAN.format(provider="provider"))
 def win_dbscan(v):
     return spatial.dbscan(v.stops, "provider").select("id", "provider", "core", "cluster")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tramline.functions import geo
-from tramline.operators import journey, relational, spatial
+from tramline.operators import journey, polygons, relational
+from tramline.operators.spatial import radius_pairs
 from tramline.plans.registry import query
 
 
@@ -146,7 +147,7 @@ def stops_nearby(v):
 
 @query(f"SELECT a.id AS a, b.id AS b, CAST(floor({geo.distance_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} + 0.5) AS BIGINT) AS metres FROM stops a JOIN stops b ON a.id < b.id AND abs(a.lat - b.lat) < 0.2 AND {geo.distance_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 20000")
 def join_spatial_radius(v):
-    return spatial.radius_pairs(v.stops, 20000)
+    return radius_pairs(v.stops, 20000)
 
 
 @query("""WITH s AS (SELECT id, name, provider FROM stops), x AS (SELECT a.id, b.id AS twin, b.provider AS twin_provider, row_number() OVER (PARTITION BY a.id ORDER BY length(b.provider), b.provider, b.id) AS n FROM s a JOIN s b ON a.name = b.name AND a.provider <> b.provider WHERE a.provider = 'Brand#11')
@@ -224,8 +225,33 @@ def join_fanout_bug(v):
     return a.join(b, "provider", "left").select("provider", "routes", F.coalesce("customers", F.lit(0)).alias("customers"))
 
 
-@query("""WITH b AS (SELECT provider, min(lat) AS s, max(lat) AS n, min(lng) AS w, max(lng) AS e FROM (SELECT provider || left(state, 4) AS provider, lat, lng FROM stops) GROUP BY provider HAVING min(lat) IS NOT NULL)
-SELECT x.provider AS a, y.provider AS b FROM b x JOIN b y ON x.provider < y.provider AND x.s <= y.n AND y.s <= x.n AND x.w <= y.e AND y.w <= x.e""")
+ZONE_EDGES = "SELECT a.poly, a.y AS y1, a.x AS x1, b.y AS y2, b.x AS x2 FROM zone_corners a JOIN zone_corners b ON b.poly = a.poly AND b.i = (a.i + 1) % 8"
+EAST_OF = "(e.y1 > p.y) <> (e.y2 > p.y) AND CASE WHEN e.y2 > e.y1 THEN (p.x - e.x1) * (e.y2 - e.y1) < (p.y - e.y1) * (e.x2 - e.x1) ELSE (p.x - e.x1) * (e.y2 - e.y1) > (p.y - e.y1) * (e.x2 - e.x1) END"
+
+
+def _zone_side(a: str, y: str, x: str) -> str:
+    return f"sign(({a}.x2 - {a}.x1) * ({y} - {a}.y1) - ({a}.y2 - {a}.y1) * ({x} - {a}.x1))"
+
+
+def _zone_on(a: str, y: str, x: str) -> str:
+    return f"({_zone_side(a, y, x)} = 0 AND {y} BETWEEN least({a}.y1, {a}.y2) AND greatest({a}.y1, {a}.y2) AND {x} BETWEEN least({a}.x1, {a}.x2) AND greatest({a}.x1, {a}.x2))"
+
+
+MEET = f"({_zone_side('a', 'b.y1', 'b.x1')} * {_zone_side('a', 'b.y2', 'b.x2')} < 0 AND {_zone_side('b', 'a.y1', 'a.x1')} * {_zone_side('b', 'a.y2', 'a.x2')} < 0 OR {_zone_on('a', 'b.y1', 'b.x1')} OR {_zone_on('a', 'b.y2', 'b.x2')} OR {_zone_on('b', 'a.y1', 'a.x1')} OR {_zone_on('b', 'a.y2', 'a.x2')})"
+
+
+@query(f"""WITH e AS MATERIALIZED ({ZONE_EDGES}),
+inside AS (SELECT p.poly AS id, e.poly FROM zone_corners p JOIN e ON e.poly <> p.poly AND {EAST_OF} WHERE p.i = 0 GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT DISTINCT a.poly AS a, b.poly AS b FROM e a JOIN e b ON a.poly < b.poly AND {MEET} UNION SELECT least(id, poly), greatest(id, poly) FROM inside""")
 def join_spatial_overlap(v):
-    areas = v.stops.withColumn("provider", F.concat("provider", F.substring("state", 1, 4)))
-    return spatial.overlapping_boxes(spatial.boxes(areas, "provider"), "provider")
+    return polygons.overlaps(v.zones)
+
+
+@query(f"""WITH e AS MATERIALIZED ({ZONE_EDGES}), p AS (SELECT id, CAST(floor(lat * 1000000 + 0.5) AS BIGINT) AS y, CAST(floor(lng * 1000000 + 0.5) AS BIGINT) AS x FROM stops),
+held AS (SELECT p.id, e.poly FROM p JOIN e ON {EAST_OF} GROUP BY ALL HAVING count(*) % 2 = 1),
+area AS (SELECT poly, abs(sum(x1 * y2 - x2 * y1)) AS area FROM e GROUP BY poly),
+best AS (SELECT id, arg_min(held.poly, (area, held.poly)) AS poly FROM held JOIN area ON area.poly = held.poly GROUP BY id)
+SELECT p.id, best.poly FROM p LEFT JOIN best ON best.id = p.id""")
+def flt_point_in_polygon(v):
+    """The smallest zone around each stop."""
+    return polygons.smallest_around(v.stops.select("id", polygons.micro(F.col("lat")).alias("y"), polygons.micro(F.col("lng")).alias("x")), v.zones)

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramline.functions import geo, text, timeofday
-from tramline.operators import journey, lifecycle, mapping, relational, timetable
+from tramline.operators import journey, lifecycle, mapping, relational, search, timetable
 from tramline.plans.pipelines import CUM, HOPS, ORIGIN, WALKS, _round, _walk
 from tramline.plans.registry import query
 from tramline.session import shared_dir
@@ -19,28 +19,79 @@ def _origin(v, stop: int = 1):
     return v.spark.range(stop, stop + 1).select(F.col("id").alias("stop_id"), F.lit(0).cast("bigint").alias("minutes"))
 
 
-LEG_TYPE = "STRUCT(trip_id BIGINT, board BIGINT, alight BIGINT, minutes BIGINT)"
+def _endpoints(v, keys, times: int, plus: int):
+    """A point beside a stop for each of `keys` (query), with the stop's name: what a rider would ask for."""
+    at = v.stops.select(((F.col("id") - plus) / times).alias("query"), "name", "lat", "lng")
+    return keys.join(at, "query").select("query", (F.col("lat") + 0.002).alias("lat"), (F.col("lng") + 0.001).alias("lng"), F.lit(None).cast("bigint").alias("place_id"), F.array("name").alias("names"))
 
 
-def _paths(labels: str, n: int) -> str:
-    """One ride from the stops of `labels`, with the legs so far."""
-    return f"""b{n} AS (SELECT c.trip_id, c.stop_id, c.cum, min(CASE WHEN l.minutes IS NOT NULL THEN {{'k': l.minutes - c.cum, 'board': c.stop_id, 'path': l.path}} END) OVER (PARTITION BY c.trip_id, c.segment ORDER BY c.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM cum c LEFT JOIN {labels} l ON l.stop_id = c.stop_id),
-a{n} AS (SELECT stop_id, minutes, path FROM {labels} UNION ALL SELECT stop_id, CAST(cum + 6 + best.k AS BIGINT), list_append(best.path, CAST({{'trip_id': trip_id, 'board': best.board, 'alight': stop_id, 'minutes': cum + 6 + best.k}} AS {LEG_TYPE})) FROM b{n} WHERE best IS NOT NULL),
-m{n} AS (SELECT stop_id, min({{'minutes': minutes, 'n': len(path), 'path': path}}) AS m FROM a{n} GROUP BY stop_id), p{n} AS (SELECT stop_id, m.minutes AS minutes, m.path AS path FROM m{n})"""
+def _asked(v, table: str, key: str):
+    keys = v.table(table).select(F.col(key).cast("bigint").alias("query"))
+    return _endpoints(v, keys, 7, 1), _endpoints(v, keys, 11, 60)
 
 
-@query(f"""WITH {HOPS}, {CUM}, p0 AS (SELECT CAST(1 AS BIGINT) AS stop_id, CAST(0 AS BIGINT) AS minutes, CAST([] AS {LEG_TYPE}[]) AS path), {_paths('p0', 1)}, {_paths('p1', 2)},
-x AS (SELECT stop_id, path, unnest(range(1, len(path) + 1)) AS i FROM p2)
-SELECT stop_id, CAST(i AS INTEGER) AS leg, path[i].trip_id AS trip_id, path[i].board AS board, path[i].alight AS alight, path[i].minutes AS minutes FROM x""")
+def _network(v):
+    return search.Network(v.calls, v.trips, v.stops)
+
+
+def _fares(v):
+    return v.routes.select("id", F.expr("nullif(fare_inr, 0)").alias("fare"))
+
+
+AWAY = geo.distance_sql("e.lat", "e.lng", "s.lat", "s.lng")
+HOP_D = geo.distance_sql("a.lat", "a.lng", "b.lat", "b.lng")
+ASKED = f"""q AS (SELECT CAST(n_nationkey AS BIGINT) AS query FROM nation),
+ep AS (SELECT query, 'o' AS side, name, lat + 0.002e0 AS lat, lng + 0.001e0 AS lng FROM q JOIN stops ON id = query * 7 + 1 UNION ALL SELECT query, 'd', name, lat + 0.002e0, lng + 0.001e0 FROM q JOIN stops ON id = query * 11 + 60),
+nm AS (SELECT query, side, s.id, coalesce({AWAY}, 0) AS m, row_number() OVER (PARTITION BY query, side ORDER BY lower(s.name) <> lower(trim(e.name)), s.id) AS n FROM ep e JOIN stops s ON contains(lower(s.name), lower(trim(e.name)))),
+cand AS (SELECT query, side, s.id, {AWAY} AS m FROM ep e JOIN stops s ON {AWAY} <= 1500 UNION SELECT query, side, id, m FROM nm WHERE n <= 12),
+acc AS MATERIALIZED (SELECT query, side, id, m, CAST(CASE WHEN m > 0 THEN greatest(1, floor(m / 75 + 0.5)) ELSE 0 END AS BIGINT) AS minutes FROM cand QUALIFY m <= 1500 OR (min(m) OVER (PARTITION BY query, side) > 1500 AND row_number() OVER (PARTITION BY query, side ORDER BY m, id) = 1))"""
+
+
+@query(f"WITH {ASKED} SELECT query, side, id AS stop_id, minutes FROM acc")
+def graph_access_stops(v):
+    """The stops at either end of each nation's pair: those near, and those of the name."""
+    starts, ends = (search.access_stops(p, v.stops) for p in _asked(v, "nation", "n_nationkey"))
+    return starts.withColumn("side", F.lit("o")).unionByName(ends.withColumn("side", F.lit("d")))
+
+
+HOP_TYPE = 'STRUCT(frm BIGINT, "to" BIGINT, trip BIGINT, departs VARCHAR, arrives VARCHAR)'
+RIDES = "on_ride AS MATERIALIZED (SELECT trip_id, segment, pos, stop_id, coalesce(departs, '') AS departs, sum(coalesce(hop_min, 0)) OVER (PARTITION BY trip_id, segment ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum FROM hops)"
+
+
+def _search_round(n: int) -> str:
+    """One ride and one walk from the labels l{n - 1}, with the hops so far in a list; gives l{n}."""
+    old = f"l{n - 1}"
+    return f"""s{n} AS (SELECT q.query, c.trip_id, c.stop_id, c.pos, c.departs, c.cum, min(CASE WHEN l.minutes IS NOT NULL THEN {{'k': l.minutes - c.cum, 'pos': c.pos, 'frm': c.stop_id, 'dep': c.departs}} END) OVER (PARTITION BY q.query, c.trip_id, c.segment ORDER BY c.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM on_ride c CROSS JOIN q LEFT JOIN {old} l ON l.query = q.query AND l.stop_id = c.stop_id),
+c{n} AS (SELECT query, stop_id, min({{'m': cum + 6 + b.k, 'frm': b.frm, 'trip': trip_id, 'fp': b.pos, 'tp': pos, 'dep': b.dep, 'arr': departs}}) AS b FROM s{n} WHERE b IS NOT NULL GROUP BY query, stop_id),
+r{n} AS MATERIALIZED (SELECT c.query, c.stop_id, CAST(c.b.m AS BIGINT) AS minutes, list_append(p.path, CAST({{'frm': c.b.frm, 'to': c.stop_id, 'trip': c.b.trip, 'departs': nullif(c.b.dep, ''), 'arrives': nullif(c.b.arr, '')}} AS {HOP_TYPE})) AS path FROM c{n} c LEFT JOIN {old} l ON l.query = c.query AND l.stop_id = c.stop_id JOIN {old} p ON p.query = c.query AND p.stop_id = c.b.frm WHERE l.minutes IS NULL OR c.b.m < l.minutes),
+k{n} AS MATERIALIZED (SELECT * FROM r{n} UNION ALL SELECT l.* FROM {old} l ANTI JOIN r{n} r ON r.query = l.query AND r.stop_id = l.stop_id),
+w{n} AS (SELECT r.query, w.b AS stop_id, min({{'m': r.minutes + CAST(greatest(1, floor(w.metres / 75 + 0.5)) AS BIGINT), 'frm': w.a}}) AS b FROM r{n} r JOIN walks w ON w.a = r.stop_id GROUP BY ALL),
+v{n} AS MATERIALIZED (SELECT w.query, w.stop_id, w.b.m AS minutes, list_append(p.path, CAST({{'frm': w.b.frm, 'to': w.stop_id, 'trip': NULL, 'departs': NULL, 'arrives': NULL}} AS {HOP_TYPE})) AS path FROM w{n} w LEFT JOIN k{n} k ON k.query = w.query AND k.stop_id = w.stop_id JOIN r{n} p ON p.query = w.query AND p.stop_id = w.b.frm WHERE k.minutes IS NULL OR w.b.m < k.minutes),
+l{n} AS MATERIALIZED (SELECT * FROM v{n} UNION ALL SELECT k.* FROM k{n} k ANTI JOIN v{n} v ON v.query = k.query AND v.stop_id = k.stop_id)"""
+
+
+@query(f"""WITH {HOPS}, {RIDES}, {WALKS}, {ASKED}, l0 AS MATERIALIZED (SELECT query, id AS stop_id, minutes, CAST([] AS {HOP_TYPE}[]) AS path FROM acc WHERE side = 'o'), {_search_round(1)}, {_search_round(2)}, {_search_round(3)},
+g AS (SELECT query, arg_min(stop_id, (minutes, stop_id)) AS last_stop, arg_min(path, (minutes, stop_id)) AS path FROM l3 WHERE (query, stop_id) IN (SELECT (query, id) FROM acc WHERE side = 'd') GROUP BY query),
+whole AS (SELECT trip_id, sum(coalesce(metres, 0)) AS whole FROM hops GROUP BY trip_id),
+x AS (SELECT query, i, path[i] AS h FROM (SELECT query, path, unnest(range(1, len(path) + 1)) AS i FROM g)),
+y AS (SELECT query, i, h.frm AS frm, h."to" AS to_stop, h.trip AS trip, h.departs AS departs, h.arrives AS arrives, coalesce({HOP_D}, 0) AS m, t.route_id, nullif(r.fare_inr, 0) AS fare, w.whole, coalesce(t.route_id = lag(t.route_id) OVER (PARTITION BY query ORDER BY i), false) AS again
+  FROM x LEFT JOIN stops a ON a.id = h.frm LEFT JOIN stops b ON b.id = h."to" LEFT JOIN trips t ON t.id = h.trip LEFT JOIN routes r ON r.id = t.route_id LEFT JOIN whole w ON w.trip_id = h.trip),
+z AS (SELECT *, sum((NOT again)::INT) OVER (PARTITION BY query ORDER BY i ROWS UNBOUNDED PRECEDING) AS part, greatest(1, floor(m / CASE WHEN trip IS NULL THEN 75 ELSE 22e0 * 1000 / 60 END + 0.5)) + CASE WHEN trip IS NOT NULL AND NOT again THEN 6 ELSE 0 END AS mins, CASE WHEN fare IS NULL THEN NULL WHEN coalesce(whole, 0) = 0 OR m >= whole THEN fare ELSE greatest(1, ceil(fare * (m / whole))) END AS part_fare FROM y),
+legs AS (SELECT query, part, CASE WHEN min(trip) IS NULL THEN 'WALK' ELSE 'RIDE' END AS mode, arg_min(frm, i) AS from_stop, arg_max(to_stop, i) AS to_stop, min(route_id) AS route_id, CAST(floor(sum(m) + 0.5) AS BIGINT) AS metres, CAST(sum(mins) AS BIGINT) AS minutes, arg_min_null(departs, i) AS departs, arg_max(arrives, i) AS arrives, CAST(arg_min_null(part_fare, i) AS BIGINT) AS fare FROM z GROUP BY query, part),
+ends AS (SELECT g.query, 0 AS part, NULL AS from_stop, coalesce(g.path[1].frm, g.last_stop) AS to_stop, 'o' AS side FROM g UNION ALL SELECT query, 1000000, last_stop, last_stop, 'd' FROM g),
+far AS (SELECT ends.*, {AWAY} AS m FROM ends JOIN ep e ON e.query = ends.query AND e.side = ends.side JOIN stops s ON s.id = ends.to_stop),
+every AS (SELECT * FROM legs UNION ALL SELECT query, part, 'WALK', from_stop, to_stop, NULL, CAST(floor(m + 0.5) AS BIGINT), CAST(greatest(1, floor(m / 75 + 0.5)) AS BIGINT), NULL, NULL, NULL FROM far WHERE m > 50)
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY part) AS INTEGER) AS leg, mode, from_stop, to_stop, route_id, metres, minutes, departs, arrives, fare FROM every""")
 def graph_reconstruct(v):
-    return journey.legs(journey.reach_paths(_origin(v), journey.ride_table(v.calls, v.stops)))
+    """The legs of the best way for each nation's pair of endpoints, all found by one search."""
+    return search.plan(*_asked(v, "nation", "n_nationkey"), _network(v), _fares(v))
 
 
 @query()
 def graph_alternatives(v):
-    ride = journey.ride_table(v.calls, v.stops)
-    far = journey.reach_paths(_origin(v), ride).orderBy(F.desc("minutes"), "stop_id").first()  # one row
-    return journey.alternatives(_origin(v), ride, far["stop_id"] if far else 1)
+    """Up to four ways for each region's pair of endpoints, ranked."""
+    legs = search.alternatives(*_asked(v, "region", "r_regionkey"), _network(v), _fares(v))
+    return search.ranked(search.totals(legs, ["query", "option"]))
 
 
 @query(f"""WITH {HOPS}, {CUM}, {WALKS}, {ORIGIN}, r1 AS ({_round('l0')}), w1 AS ({_walk('r1')}), l1 AS (SELECT stop_id, min(minutes) AS minutes FROM (FROM l0 UNION ALL FROM r1 UNION ALL FROM w1) GROUP BY stop_id)

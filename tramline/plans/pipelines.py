@@ -36,14 +36,6 @@ def graph_build(v):
     return v.stops.select(F.col("id").alias("stop_id"), inside.alias("in_grid")).join(n, "stop_id", "left").fillna(0, ["calls"])
 
 
-AT = geo.distance_sql("24.0", "88.0", "lat", "lng")
-
-
-@query(f"WITH d AS (SELECT id, {AT} AS d FROM stops WHERE lat IS NOT NULL) SELECT id AS stop_id, CAST(greatest(1, floor(d / 75 + 0.5)) AS BIGINT) AS minutes FROM d WHERE d <= 5000 OR (d, id) IN (SELECT (d, id) FROM d ORDER BY d, id LIMIT 1)")
-def graph_access_stops(v):
-    return journey.access(v.stops, 24.0, 88.0, 5000)
-
-
 def _round(labels: str) -> str:
     return f"SELECT stop_id, min(minutes) AS minutes FROM (SELECT c.stop_id, c.cum + 6 + min(l.minutes - c.cum) OVER (PARTITION BY c.trip_id, c.segment ORDER BY c.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS minutes FROM cum c LEFT JOIN {labels} l ON l.stop_id = c.stop_id) WHERE minutes IS NOT NULL GROUP BY stop_id"
 
@@ -360,10 +352,14 @@ def map_api_route(v):
     return v.patterns.select("route_id", F.row_number().over(W.partitionBy("route_id").orderBy("seq")).cast("bigint").alias("seq"), "name")
 
 
-@query("SELECT user_id AS vehicle, strftime(ts, '%Y-%m-%d') AS started, event_id AS stop_id, CAST(row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS BIGINT) AS seq FROM events QUALIFY count(*) OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d')) >= 2")
+@query("""WITH RECURSIVE c AS (SELECT trip_id, platform, seq, stop_id, CASE WHEN stop_id % 4 <> 0 THEN minute END AS arrives, CASE WHEN stop_id % 3 <> 0 THEN minute + stop_id % 7 END AS departs FROM calls),
+n AS (SELECT trip_id, seq, stop_id, coalesce(arrives, departs) AS came, coalesce(departs, arrives) AS leaves, row_number() OVER (PARTITION BY trip_id ORDER BY seq, stop_id, coalesce(arrives, departs), coalesce(departs, arrives)) AS i FROM c WHERE arrives IS NOT NULL OR departs IS NOT NULL),
+f AS (SELECT n.*, true AS kept, leaves AS last FROM n WHERE i = 1 UNION ALL SELECT n.*, n.came >= f.last, CASE WHEN n.came >= f.last THEN n.leaves ELSE f.last END FROM f JOIN n ON n.trip_id = f.trip_id AND n.i = f.i + 1)
+SELECT trip_id AS vehicle, CAST(row_number() OVER (PARTITION BY trip_id ORDER BY i) AS BIGINT) AS seq, stop_id, came AS arrives, leaves AS departs FROM f WHERE kept QUALIFY count(*) OVER (PARTITION BY trip_id) > 1""")
 def map_vehicle_transpose(v):
-    calls = v.table("events").select(F.col("user_id").alias("vehicle"), F.date_format("ts", "yyyy-MM-dd").alias("started"), F.col("event_id").alias("stop_id"), F.col("ts").alias("at"))
-    return mapping.vehicle_runs(calls).select("vehicle", "started", "stop_id", F.col("seq").cast("bigint").alias("seq"))
+    i = F.col("stop_id")
+    calls = v.calls.select(F.col("trip_id").alias("vehicle"), F.lit(0).alias("started"), F.col("seq").alias("place"), "stop_id", F.when(i % 4 != 0, F.col("minute")).alias("arrives"), F.when(i % 3 != 0, F.col("minute") + i % 7).alias("departs"))
+    return mapping.vehicle_runs(calls).select("vehicle", F.col("seq").cast("bigint").alias("seq"), "stop_id", "arrives", "departs")
 
 
 @query("SELECT id, 'FLAT' AS kind, CAST(NULL AS INTEGER) AS to_seq, fare_inr AS amount FROM routes UNION ALL SELECT id, 'STAGE', 2, fare_inr // 2 FROM routes UNION ALL SELECT id, 'STAGE', 3, fare_inr + 1 FROM routes")

@@ -176,19 +176,6 @@ def geo_cell(v):
     return v.stops.withColumn("c", geo.cell(F.col("lat"), F.col("lng"))).select("id", F.col("c.y").cast("bigint").alias("cell_y"), F.col("c.x").cast("bigint").alias("cell_x"))
 
 
-RING = [(22.0, 86.0), (26.5, 86.5), (25.0, 89.5), (22.5, 89.0), (23.5, 87.5)]
-
-
-def _ring_sql() -> str:
-    edges = " + ".join(f"(CASE WHEN ({y1}e0 > lat) <> ({y2}e0 > lat) AND lng < {x1}e0 + (lat - {y1}e0) * {(x2 - x1) / (y2 - y1)!r}e0 THEN 1 ELSE 0 END)" for (y1, x1), (y2, x2) in zip(RING, [*RING[1:], RING[0]], strict=True) if y1 != y2)
-    return f"SELECT id, ({edges}) % 2 = 1 AS inside FROM stops WHERE lat IS NOT NULL"
-
-
-@query(_ring_sql())
-def flt_point_in_polygon(v):
-    from tramline.operators.spatial import in_polygon
-
-    return v.stops.filter("lat is not null").select("id", in_polygon(F.col("lat"), F.col("lng"), RING).alias("inside"))
 
 
 @query("""WITH s AS (SELECT name AS place, CASE id % 4 WHEN 0 THEN 'GOVERNMENT' WHEN 1 THEN 'OPERATOR' WHEN 2 THEN 'COMMUNITY' ELSE 'OTHER' END AS kind, id % 7 = 0 AS verified FROM stops),

@@ -19,6 +19,7 @@ VIEW_SQL = {
     "places": "SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT p_name AS name FROM part)",
     "runs": "SELECT event_id AS id, event_type AS provider, CASE WHEN value < 20 THEN 'FAILED' WHEN value < 40 THEN 'RUNNING' ELSE 'COMPLETED' END AS status, ts AS created_at, CAST(floor(value) AS BIGINT) AS parsed, CAST(user_id % 7 AS BIGINT) AS failed FROM events",
     "patterns": "SELECT conv_id AS route_id, turn + 1 AS seq, role AS name FROM conversations",
+    "zone_corners": "SELECT s_suppkey AS poly, i, 21500000 + (s_suppkey * 102947) % 6000 * 1000 + (100000 + (s_suppkey * 31 + i * 17) % 9 * 60000) // 10 * dy AS y, 85800000 + (s_suppkey * 733103) % 4100 * 1000 + (100000 + (s_suppkey * 31 + i * 17) % 9 * 60000) // 10 * dx AS x FROM supplier, (VALUES (0, 0, 10), (1, 7, 7), (2, 10, 0), (3, 7, -7), (4, 0, -10), (5, -7, -7), (6, -10, 0), (7, -7, 7)) AS ways(i, dy, dx)",
     "raw_records": "SELECT doc_id AS id, source AS provider, sha256(coalesce(text, '')) AS content_hash, n_chars AS size FROM documents",
 }
 
@@ -75,6 +76,16 @@ class Views:
     def patterns(self) -> DataFrame:
         return self.table("conversations").select(F.col("conv_id").alias("route_id"), (F.col("turn") + 1).alias("seq"), F.col("role").alias("name"))
 
+    @cached_property
+    def zones(self) -> DataFrame:
+        """A star around a place for each supplier: eight corners, some of them notches."""
+        k = F.col("s_suppkey")
+        y, x = 21500000 + k * 102947 % 6000 * 1000, 85800000 + k * 733103 % 4100 * 1000
+        reach = [((100000 + (k * 31 + i * 17) % 9 * 60000) / 10).cast("bigint") for i in range(8)]
+        ways = [(0, 10), (7, 7), (10, 0), (7, -7), (0, -10), (-7, -7), (-10, 0), (-7, 7)]
+        ring = F.array(*[F.struct((y + r * dy).alias("y"), (x + r * dx).alias("x")) for r, (dy, dx) in zip(reach, ways, strict=True)])
+        return self.table("supplier").select(k.alias("poly"), ring.alias("ring"))
+
     @cached_property
     def raw_records(self) -> DataFrame:
         return self.table("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("provider"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("content_hash"), F.col("n_chars").alias("size"))
