@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -128,3 +130,38 @@ def best_candidate(labels: DataFrame, candidates: DataFrame) -> DataFrame:
     reached = candidates.join(labels.select("stop_id", "minutes"), "stop_id")
     first = F.min_by(F.struct("stop_id", "minutes"), F.struct("rank", "minutes", "stop_id")).alias("b")
     return reached.groupBy("name").agg(first).select("name", "b.stop_id", "b.minutes")
+
+
+def hop_edges(calls: DataFrame, stops: DataFrame) -> DataFrame:
+    """The stop graph: a, b and the fewest minutes of a hop between them that can be costed."""
+    along = W.partitionBy("trip_id").orderBy("pos")
+    each = hops(calls, stops).withColumn("a", F.lag("stop_id").over(along)).filter("a is not null and hop_min is not null and a <> stop_id")
+    return each.groupBy("a", F.col("stop_id").alias("b")).agg(F.min("hop_min").alias("weight"))
+
+
+def paths_within(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """Every simple path of each pair (query, origin, target) over `edges` (a, b, weight > 0) of at most `most`: query, path, weight, rank.
+
+    First the fewest minutes to each target are found backwards, up to `most`; then paths grow edge by edge from the
+    origins, and one goes as soon as its weight and the fewest minutes left pass `most`. So every path that is kept at
+    any length is the start of a way there that isn't too long; what is enumerated is the result and its prefixes.
+    """
+    goal = cut(pairs.select(F.col("target").alias("goal"), F.col("target").alias("stop"), F.lit(0).cast("bigint").alias("left")).distinct())
+    front = goal
+    while not front.isEmpty():
+        more = front.join(edges, F.col("stop") == F.col("b")).select("goal", F.col("a").alias("stop"), (F.col("left") + F.col("weight")).alias("left")).filter(F.col("left") <= most)
+        best = more.groupBy("goal", "stop").agg(F.min("left").alias("left"))
+        front = cut(best.join(goal.withColumnRenamed("left", "old"), ["goal", "stop"], "left").filter("old is null or left < old").drop("old"))
+        goal = cut(goal.unionByName(front).groupBy("goal", "stop").agg(F.min("left").alias("left")))
+    left = goal.select(F.col("goal").alias("target"), F.col("stop").alias("at"), "left")
+    start = pairs.select("query", "target", F.col("origin").alias("at"), F.array("origin").alias("path"), F.lit(0).cast("bigint").alias("weight"))
+    grown, done = cut(start.join(left, ["target", "at"], "left_semi")), []
+    while True:
+        done.append(grown.filter("at = target"))
+        step = grown.filter("at <> target").join(edges.withColumnRenamed("weight", "w"), F.col("at") == F.col("a")).filter(~F.array_contains("path", F.col("b")))
+        step = step.select("query", "target", F.col("b").alias("at"), F.array_append("path", F.col("b")).alias("path"), (F.col("weight") + F.col("w")).alias("weight"))
+        grown = cut(step.join(left, ["target", "at"]).filter(F.col("weight") + F.col("left") <= most).drop("left"))
+        if grown.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, done)
+    return every.select("query", "path", "weight", F.row_number().over(W.partitionBy("query").orderBy("weight", "path")).alias("rank"))

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramline.operators.relational import distinct_on
@@ -65,6 +66,19 @@ def over_threshold(failed: Column, total: Column) -> Column:
     return failed > F.greatest(F.lit(5.0), total * 0.1)
 
 
+def progress(items: DataFrame, run: str, order: Sequence[str], every: int = 25) -> DataFrame:
+    """The checkpoints of each run: at every `every`-th of its items in order, and at the last: run, done, at (that item's order)."""
+    w = W.partitionBy(run).orderBy(*order)
+    rows = items.withColumn("done", F.row_number().over(w).cast("bigint")).withColumn("all", F.count("*").over(W.partitionBy(run)))
+    return rows.filter((F.col("done") % every == 0) | (F.col("done") == F.col("all"))).select(run, "done", F.struct(*order).alias("at"))
+
+
+def rest(items: DataFrame, run: str, order: Sequence[str], saved: DataFrame) -> DataFrame:
+    """What a run has to do again after it broke off: the items past its last checkpoint in `saved` (run, at), or all if it has none."""
+    last = saved.groupBy(run).agg(F.max("at").alias("_at"))
+    return items.join(last, run, "left").filter(F.col("_at").isNull() | (F.struct(*order) > F.col("_at"))).drop("_at")
+
+
 class Snapshots:
     """Versions of one dataset as Parquet folders, and numbered pointers, all in a folder that Spark reaches.
 
@@ -105,13 +119,17 @@ class Snapshots:
         old = self.active()
         if old is not None and found["rows"] < old.count() / 2:
             raise ValueError(f"{version} is refused: it has fewer than half of the active rows")
-        beside, place = self.path(f"{self.root}/.{version}"), self.path(f"{self.root}/ACTIVE-{number + 1}")
+        self._point(number, {"version": version})
+        return version
+
+    def _point(self, number: int, manifest: dict) -> None:
+        """Adds the pointer after `number`, unless another has been added meanwhile."""
+        beside, place = self.path(f"{self.root}/.{manifest['version']}"), self.path(f"{self.root}/ACTIVE-{number + 1}")
         text = self.fs.create(beside, True)
-        text.write(bytearray(json.dumps({"version": version}).encode()))
+        text.write(bytearray(json.dumps(manifest).encode()))
         text.close()
         if self.fs.exists(place) or not self.fs.rename(beside, place):
-            raise ValueError(f"{version} is refused: another version was promoted meanwhile")
-        return version
+            raise ValueError(f"{manifest['version']} is refused: another version was promoted meanwhile")
 
 
 def refuse_shrink(harvests: DataFrame, key: str, timed: Column, least: int) -> DataFrame:

@@ -21,10 +21,24 @@ def src_link_discovery(v):
     return feeds.links(v.table("pages"), "/th")
 
 
-@query("SELECT h AS url, CAST((row_number() OVER (ORDER BY h) - 1) // 25 + 1 AS BIGINT) AS page FROM (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) || h AS h FROM (SELECT url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM pages) WHERE contains(h, '/an'))")
+DIRECTORY = """d AS (SELECT page_id, 'https://d.example/p/' || page_id AS url, CASE WHEN page_id % 13 <> 5 THEN 'https://d.example/p/' || (page_id * 5 + 3) % 97 END AS nxt, html FROM pages),
+way AS (SELECT page_id AS seed, 0 AS step, url, nxt FROM d WHERE page_id % 20 = 0 UNION ALL SELECT way.seed, way.step + 1, d.url, d.nxt FROM way JOIN d ON d.url = way.nxt WHERE way.step < 11)"""
+
+
+@query(f"""WITH RECURSIVE {DIRECTORY},
+own AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY step, seed) AS n FROM way),
+seen AS (SELECT seed, step, url FROM own o WHERE NOT EXISTS (FROM own x WHERE x.seed = o.seed AND x.step <= o.step AND x.n > 1)),
+href AS (SELECT seed, step, generate_subscripts(h, 1) AS place, unnest(h) AS item FROM (SELECT seed, step, list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: regexp_matches(x, '^/an')) AS h FROM seen JOIN d ON d.url = seen.url)),
+new AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY step, place) AS n FROM (SELECT seed, item, min({{'s': step, 'p': place}}).s AS step, min({{'s': step, 'p': place}}).p AS place FROM href GROUP BY ALL)),
+kept AS (SELECT seed, step, string_agg('https://d.example' || item, ' ' ORDER BY n) AS items FROM new WHERE n <= 15 GROUP BY ALL)
+SELECT s.seed, s.step, s.url, coalesce(k.items, '') AS items FROM seen s LEFT JOIN kept k ON k.seed = s.seed AND k.step = s.step WHERE NOT EXISTS (FROM new x WHERE x.seed = s.seed AND x.n = 15 AND x.step < s.step)""")
 def src_paged_crawl(v):
-    """All found links in pages of 25."""
-    return feeds.paged(feeds.links(v.table("pages"), "/an"), "url", 25)
+    """Crawls of a directory whose pages name their next one, with dead ends, cycles and crawls that meet."""
+    i, page = F.col("page_id"), lambda c: F.concat(F.lit("https://d.example/p/"), c.cast("string"))
+    following = F.when(i % 13 != 5, F.concat(F.lit('<a href="/p/'), ((i * 5 + 3) % 97).cast("string"), F.lit('">Next</a>'))).otherwise("")
+    landed = v.table("pages").select(page(i).alias("url"), F.concat("html", following).alias("html"))
+    seeds = v.table("pages").filter("page_id % 20 = 0").select(i.alias("seed"), page(i).alias("url"))
+    return feeds.crawl(landed, seeds, "^/an", "^/p/", 12, 15).withColumn("items", F.array_join("items", " "))
 
 
 @query("SELECT page_id, array_to_string(regexp_extract_all(html, 'href=\"/[a-z]+\"'), ' | ') AS found, len(regexp_extract_all(html, 'href=\"/[a-z]+\"')) AS n FROM pages")

@@ -157,28 +157,22 @@ def dq_idempotency(v):
     return sums[0].crossJoin(sums[1]).select(F.col("n0").alias("rows"), F.col("f0").alias("fares_once"), F.col("f1").alias("fares_twice"), ((F.col("h0") == F.col("h1")) & (F.col("n0") == F.col("n1"))).alias("same"))  # one row each
 
 
-@query("SELECT id, upper(name) AS name, provider FROM stops")
-def lc_promote(v):
-    """A second version takes the place of the first; three that break a rule, repeat keys or have lost most rows don't."""
-    snap = lifecycle.Snapshots(v.spark, f"{shared_dir(v.spark)}/promote-{uuid.uuid4().hex}")
-    rows, rules = v.stops.select("id", "name", "provider"), [("NO_NAME", F.col("name") == "")]
-    for version in (rows, rows.withColumn("name", F.upper("name")), rows.withColumn("name", F.lit("")), rows.union(rows), rows.filter("id % 3 = 0")):
-        try:
-            snap.promote(version, rules, "id")
-        except ValueError:
-            pass  # refused: the version before stays active
-    return snap.active()
-
-
 @query("SELECT provider, count(*) AS harvested, count(*) FILTER (WHERE parsed > 0) AS timed, count(*) FILTER (WHERE parsed > 0) = 0 OR count(*) < 100 AS refused FROM runs GROUP BY provider")
 def lc_refuse_shrink(v):
     return lifecycle.refuse_shrink(v.runs, "provider", F.col("parsed") > 0, 100)
 
 
-@query("SELECT provider, id, n AS done FROM (SELECT provider, id, row_number() OVER (PARTITION BY provider ORDER BY created_at, id) AS n FROM runs) WHERE n % 25 = 0")
+@query("""WITH n AS (SELECT provider, id, created_at, row_number() OVER (PARTITION BY provider ORDER BY created_at, id) AS done, count(*) OVER (PARTITION BY provider) AS n, min(CASE WHEN status = 'FAILED' THEN (created_at, id) END) OVER (PARTITION BY provider) AS broke FROM runs),
+saved AS (SELECT * FROM n WHERE (done % 25 = 0 OR done = n) AND (broke IS NULL OR (created_at, id) < broke))
+SELECT 'saved' AS what, provider, id, done FROM saved UNION ALL SELECT 'rest', n.provider, n.id, n.done FROM n WHERE n.done > coalesce((SELECT max(done) FROM saved s WHERE s.provider = n.provider), 0)""")
 def lc_checkpoint(v):
-    n = F.row_number().over(W.partitionBy("provider").orderBy("created_at", "id")).cast("bigint")
-    return v.runs.select("provider", "id", n.alias("done")).filter("done % 25 = 0")
+    """Each provider's runs break off at the first failure: the checkpoints they leave, and what the next start takes up."""
+    order = ["created_at", "id"]
+    n = v.runs.withColumn("done", F.row_number().over(W.partitionBy("provider").orderBy(*order)).cast("bigint"))
+    broke = v.runs.filter("status = 'FAILED'").groupBy("provider").agg(F.min(F.struct(*order)).alias("broke"))
+    saved = lifecycle.progress(v.runs, "provider", order).join(broke, "provider", "left").filter("broke is null or at < broke")
+    again = lifecycle.rest(n, "provider", order, saved)
+    return saved.select(F.lit("saved").alias("what"), "provider", "at.id", "done").unionByName(again.select(F.lit("rest").alias("what"), "provider", "id", "done"))
 
 
 @query("SELECT provider, min(CASE WHEN status = 'FAILED' THEN id END) AS first_failure, count(*) FILTER (WHERE status = 'COMPLETED') AS completed, arg_max(status, (created_at, id)) <> 'RUNNING' AS settled FROM runs GROUP BY provider")

@@ -81,18 +81,16 @@ def graph_transfer_edge(v):
     return p.select("a", "b", F.greatest(F.lit(1), F.floor(F.col("d") / F.when(F.col("d") <= 2000, 84.0).otherwise(499.8) + 0.5)).cast("int").alias("minutes"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS a, (n_nationkey * 3 + 1) % 5 AS b FROM nation), walk AS (SELECT a AS origin, a AS at, [a] AS path FROM e UNION SELECT w.origin, e.b, list_append(w.path, e.b) FROM walk w JOIN e ON e.a = w.at WHERE NOT list_contains(w.path, e.b) AND len(w.path) < 4)
-SELECT DISTINCT CAST(origin AS BIGINT) AS origin, array_to_string(path, '>') AS path FROM walk""")
+@query(f"""WITH RECURSIVE {HOPS}, g AS MATERIALIZED (SELECT a, b, min(hop_min) AS weight FROM (SELECT lag(stop_id) OVER (PARTITION BY trip_id ORDER BY pos) AS a, stop_id AS b, hop_min FROM hops) WHERE a IS NOT NULL AND hop_min IS NOT NULL AND a <> b GROUP BY ALL),
+q AS (SELECT CAST(n_nationkey AS BIGINT) AS query, CAST(n_nationkey * 7 + 1 AS BIGINT) AS origin, CAST(n_nationkey * 11 + 60 AS BIGINT) AS target FROM nation),
+w AS (SELECT query, target, origin AS here, [origin] AS path, CAST(0 AS BIGINT) AS weight FROM q UNION ALL SELECT w.query, w.target, g.b, list_append(w.path, g.b), w.weight + g.weight FROM w JOIN g ON g.a = w.here WHERE w.here <> w.target AND NOT list_contains(w.path, g.b) AND w.weight + g.weight <= 720)
+SELECT query, array_to_string(path, '>') AS path, weight, CAST(row_number() OVER (PARTITION BY query ORDER BY weight, path) AS INTEGER) AS rank FROM w WHERE here = target""")
 def graph_all_paths_dfs(v):
-    """Simple paths of up to four places, one join for each step."""
-    n = v.table("nation")
-    edges = n.select(F.col("n_regionkey").cast("bigint").alias("a"), ((F.col("n_nationkey") * 3 + 1) % 5).cast("bigint").alias("b")).distinct()
-    step = edges.select(F.col("a").alias("origin"), F.col("a").alias("at"), F.array("a").alias("path")).distinct()
-    out = step
-    for _ in range(3):
-        step = step.join(edges, F.col("at") == F.col("a")).filter(~F.array_contains("path", F.col("b"))).select("origin", F.col("b").alias("at"), F.array_append("path", F.col("b")).alias("path"))
-        out = out.unionByName(step)
-    return out.select("origin", F.array_join("path", ">").alias("path"))
+    """All ways of at most twelve hours between each nation's pair of stops, lightest first."""
+    k = F.col("n_nationkey").cast("bigint")
+    pairs = v.table("nation").select(k.alias("query"), (k * 7 + 1).alias("origin"), (k * 11 + 60).alias("target"))
+    found = journey.paths_within(cut(journey.hop_edges(v.calls, v.stops)), pairs, 720)
+    return found.withColumn("path", F.array_join("path", ">"))
 
 
 @query("""WITH legs AS (SELECT o.stop_id AS origin, d.stop_id AS destination, min(greatest(8, 3 * (d.seq - o.seq))) AS m FROM calls o JOIN calls d ON o.trip_id = d.trip_id AND o.seq < d.seq GROUP BY ALL),
@@ -286,11 +284,6 @@ def lc_time_source(v):
     return v.calls.select("trip_id", "seq", "stop_id", "platform", s.alias("source"))
 
 
-@query("SELECT 'p:' || provider || ':' || id AS external_id, name, state FROM stops")
-def lc_stage(v):
-    return v.stops.select(F.concat_ws(":", F.lit("p"), "provider", F.col("id").cast("string")).alias("external_id"), "name", "state")
-
-
 SERVE = "SELECT c.trip_id, CAST(row_number() OVER (PARTITION BY c.trip_id ORDER BY c.seq, c.stop_id, c.platform) AS BIGINT) AS stop_sequence, coalesce(m.survivor, c.stop_id) AS stop_id, r.agency FROM calls c JOIN trips t ON t.id = c.trip_id JOIN routes r ON r.id = t.route_id LEFT JOIN m ON m.id = c.stop_id"
 
 

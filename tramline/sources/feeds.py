@@ -10,10 +10,11 @@ from collections.abc import Iterable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from tramline.functions import text
-from tramline.operators.relational import numbered
+from tramline.session import cut
 
 TAGS = "<[^>]*>"
 
@@ -55,11 +56,6 @@ def raw_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.length("html").cast("bigint").alias("size"), F.sha2(F.col("html").cast("binary"), 256).alias("content_hash"), kind.alias("content_type"))
 
 
-def paged(rows: DataFrame, by: str, size: int) -> DataFrame:
-    """`rows` with page: 1 for the first `size` in the order of `by`, and so on."""
-    return numbered(rows, by, "_n").withColumn("page", (F.floor((F.col("_n") - 1) / size) + 1).cast("bigint")).drop("_n")
-
-
 def links(pages: DataFrame, part: str) -> DataFrame:
     """Distinct hrefs that hold `part`, made absolute by their page's host."""
     href = F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))
@@ -68,6 +64,41 @@ def links(pages: DataFrame, part: str) -> DataFrame:
     return found.select(F.when(F.col("href").rlike("^https?://"), F.col("href")).otherwise(F.concat("host", "href")).alias("url")).distinct()
 
 
+def crawl(pages: DataFrame, seeds: DataFrame, item: str, following: str, most_pages: int, most_items: int) -> DataFrame:
+    """Directory pages as a crawl from each of `seeds` (seed, url) would visit them, over what has landed (url, html).
+
+    A page's first href that matches `following` is its next page; its hrefs that match `item` are what it lists. A
+    crawl ends at a page that has not landed, that it or another crawl has visited (of two that come to a page in the
+    same step, the smaller seed goes on), after `most_pages`, or once it has `most_items` different items. Per visited
+    page: seed, step (from 0), url, and items: its hrefs that are new to the crawl, as long as there is room, in order.
+
+    Each page has one next page, so ways double: after k rounds all ways of 2^k steps are known, whatever the limit.
+    """
+    first = cut(pages.groupBy("url").agg(F.min("html").alias("html")))  # a page that landed twice is one page
+    absolute = lambda href: F.when(href.rlike("^https?://"), href).otherwise(F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), href))
+    hrefs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
+    to = F.get(F.filter(hrefs, lambda h: h.rlike(following)), F.lit(0))
+    jumps = first.select("url", absolute(to).alias("to")).filter("to is not null")
+    jumps = cut(jumps.join(first.select(F.col("url").alias("to")), "to", "left_semi"))
+    ways, length = cut(seeds.join(first.select("url"), "url", "left_semi").select("seed", F.lit(0).alias("step"), "url")), 1
+    while length < most_pages:
+        ways = cut(ways.unionByName(ways.join(jumps, "url").select("seed", (F.col("step") + length).alias("step"), F.col("to").alias("url"))).filter(F.col("step") < most_pages))
+        jumps = cut(jumps.select("url", F.col("to").alias("mid")).join(jumps.select(F.col("url").alias("mid"), "to"), "mid").select("url", "to"))
+        length *= 2
+    owner = ways.groupBy("url").agg(F.min(F.struct("step", "seed")).alias("o"))  # whoever comes first goes on from there, so later ones never matter
+    ways = ways.join(owner, "url").withColumn("mine", (F.col("o.step") == F.col("step")) & (F.col("o.seed") == F.col("seed")))
+    stop = ways.groupBy("seed").agg(F.min(F.when(~F.col("mine"), F.col("step"))).alias("stop"))
+    visited = ways.join(stop, "seed").filter("stop is null or step < stop").select("seed", "step", "url")
+    listed = visited.join(first, "url").select("seed", "step", "url", F.posexplode(F.filter(hrefs, lambda h: h.rlike(item))).alias("at", "href")).select("seed", "step", "at", absolute(F.col("href")).alias("item"))
+    new = listed.groupBy("seed", "item").agg(F.min(F.struct("step", "at")).alias("f")).select("seed", "item", F.col("f.step").alias("step"), F.col("f.at").alias("at"))
+    rank = F.row_number().over(W.partitionBy("seed").orderBy("step", "at"))
+    new = new.withColumn("n", rank).filter(F.col("n") <= most_items)
+    each = new.groupBy("seed", "step").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]).alias("items"))
+    full = new.filter(F.col("n") == most_items).select("seed", F.col("step").alias("full"))
+    rows = visited.join(each, ["seed", "step"], "left").join(full, "seed", "left").filter("full is null or step <= full")
+    return rows.select("seed", F.col("step").cast("int").alias("step"), "url", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def cells(html: Column, row_tag: str, cell_tag: str | None = None) -> Column:
     """Array of rows, each an array of its cells' text without tags; rows of one cell if no cell tag is given."""
     rows = F.regexp_extract_all(html, F.lit(f"(?is)<{row_tag}[^>]*>(.*?)</{row_tag}>"), 1)
