@@ -28,14 +28,15 @@ from tramline.llm.text import whole
 
 SIMILARITY = 0.8  # 1 - edits / words of the item, at least
 #: Classes by words of the item: least words, window, stride of windows in the item, steps of a walk, sampled steps, walks, tables of a walk.
-CLASSES = ((40, 12, 6, 20, 5, 2, 8), (24, 10, 4, 16, 4, 2, 8), (15, 7, 2, 11, 3, 3, 6), (10, 5, 1, 8, 3, 3, 6), (4, 4, 1, 6, 3, 2, 8), (1, 1, 1, 1, 1, 1, 1))
+CLASSES = ((40, 12, 6, 20, 5, 2, 5), (24, 10, 4, 16, 4, 2, 5), (15, 7, 2, 11, 3, 2, 6), (10, 5, 1, 8, 3, 2, 5), (4, 4, 1, 6, 3, 3, 5), (1, 1, 1, 1, 1, 1, 1))
 TARGET = 0.95  # recall of the tables alone, at the most edits that an item may have
 SEED = 5
 UNKNOWN = 4096  # symbols for words of no item
 NONE = -1  # for a word of marks only, which counts neither in items nor in texts
 KNOWN_SHARE = 0.7  # of the words of a window that may be hashed
 BLOCK_WORDS = 1_000_000  # words of the items that are matched in one pass
-TOKENS, CACHE, SLICE, BITS = 1 << 17, 300_000, 1024, 22
+TOKENS, CACHE, SLICE, BITS = 1 << 16, 200_000, 1024, 22
+HITS = 1 << 20  # of hashes that are gathered before they are looked at
 FEW = 16  # places of an item in a text from which its words around them are counted for all at once
 STRIP = ".,;:!?()[]{}\"'*$%&#|<>-_"
 
@@ -182,14 +183,18 @@ class Matcher:
         text = np.concatenate([x for _, words, _ in part for x in (words, gap)])
         begin = np.cumsum([0, *[len(words) + len(gap) for _, words, _ in part]])
         known = np.concatenate(([0], np.cumsum(text < self.size)))
-        keys, places = [], []
+        keys: list[np.ndarray] = []
+        places: list[np.ndarray] = []
 
         def meet(column: np.ndarray, starts: np.ndarray) -> None:
             hit = np.flatnonzero(self.seen[column >> np.uint64(64 - BITS)])
             at = np.searchsorted(self.keys, column[hit])
             same = self.keys[np.minimum(at, len(self.keys) - 1)] == column[hit]
-            keys.append(at[same])
-            places.append(starts[hit[same]])
+            keys.append(at[same].astype(np.int32))
+            places.append(starts[hit[same]].astype(np.int32))
+            if sum(map(len, keys)) > HITS:
+                self._gathered(part, begin, np.concatenate(keys), np.concatenate(places), found)
+                keys.clear(), places.clear()
 
         for window, _, *walk in self.classes:
             end = np.minimum(np.arange(len(text)) + window, len(text))
@@ -203,9 +208,10 @@ class Matcher:
             for k in range(0, len(starts), 1 << 18):
                 some = starts[k : k + (1 << 18)]
                 meet(self._hash_part(text, some, length), some)
-        if not keys:
-            return
-        key, place = np.concatenate(keys), np.concatenate(places)
+        if keys:
+            self._gathered(part, begin, np.concatenate(keys), np.concatenate(places), found)
+
+    def _gathered(self, part: list[tuple[int, np.ndarray, np.ndarray]], begin: np.ndarray, key: np.ndarray, place: np.ndarray, found: list[dict[int, tuple[int, int]]]) -> None:
         owner = np.searchsorted(begin, place, side="right") - 1
         order = np.lexsort((place, key, owner))
         key, place, owner = key[order], place[order], owner[order]
