@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tramline.functions import geo, text
-from tramline.operators import journey, lifecycle, mapping, quality, relational, resolve
+from tramline.operators import journey, lifecycle, mapping, quality, relational, repair, resolve
 from tramline.plans.registry import query
 from tramline.plans.windows import POS
 from tramline.session import cut
@@ -180,10 +180,15 @@ def er_seed_aliases(v):
     return resolve.seed_aliases(shouted, v.places)
 
 
-@query("SELECT p.id AS place_id, arg_min(s.lat, s.id) AS lat, arg_min(s.lng, s.id) AS lng FROM places p JOIN stops s ON s.name = p.name WHERE s.lat IS NOT NULL GROUP BY p.id")
+@query("""WITH m AS (SELECT p.id AS place_id, s.id, s.lat, s.lng, s.id % 100 / 100e0 AS confidence, s.provider FROM places p JOIN stops s ON s.name = p.name WHERE s.lat IS NOT NULL),
+b AS (SELECT place_id, arg_min({'lat': lat, 'lng': lng, 'c': confidence, 'p': provider}, (-confidence, id)) AS b FROM m GROUP BY place_id), o AS (SELECT id, 20e0 + id % 7 AS lat, 80e0 AS lng, CASE WHEN id % 3 <> 0 THEN id % 60 / 100e0 END AS confidence, 'OLD' AS source FROM places)
+SELECT o.id, CASE WHEN up THEN b.lat ELSE o.lat END AS lat, CASE WHEN up THEN b.lng ELSE o.lng END AS lng, CASE WHEN up THEN b.c ELSE confidence END AS confidence, CASE WHEN up THEN b.p ELSE source END AS source, up AS upgraded FROM (SELECT o.*, b.b, coalesce(b.b.c > coalesce(o.confidence, 0), false) AS up FROM o LEFT JOIN b ON b.place_id = o.id) o""")
 def er_resolve_places(v):
-    s = v.stops.filter("lat is not null").groupBy("name").agg(F.min_by("lat", "id").alias("lat"), F.min_by("lng", "id").alias("lng"))
-    return v.places.join(s, "name").select(F.col("id").alias("place_id"), "lat", "lng")
+    """Places take the coordinates of the surest stop of their name, if it is surer than what they have."""
+    i = F.col("id")
+    old = v.places.select("id", (F.lit(20.0) + i % 7).alias("lat"), F.lit(80.0).alias("lng"), F.when(i % 3 != 0, i % 60 / 100.0).alias("confidence"), F.lit("OLD").alias("source"))
+    matched = v.stops.join(v.places.select("name", F.col("id").alias("place_id")), "name").select("place_id", "id", "lat", "lng", (i % 100 / 100.0).alias("confidence"), "provider")
+    return repair.upgrade_places(old, matched)
 
 
 @query("""WITH a AS (SELECT *, CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END AS rank FROM stops), m AS (SELECT name, state, arg_min(lat, ((lat IS NULL)::INT, rank, id)) FILTER (WHERE lat IS NOT NULL) AS lat, arg_min(lng, ((lng IS NULL)::INT, rank, id)) FILTER (WHERE lng IS NOT NULL) AS lng, array_to_string(list_sort(array_agg(DISTINCT provider)), ',') AS providers, count(*) AS records FROM a GROUP BY ALL)
@@ -200,18 +205,24 @@ def er_backfill_by_name(v):
     return named.filter("departs is null").dropDuplicates(["trip_id", "seq", "stop_id", "platform", "time_source"]).join(times, ["trip_id", "k"], "left").select("trip_id", "seq", "stop_id", F.col("t").alias("departs"))
 
 
-@query("SELECT r.id, r.agency || ' Stand' AS origin, r.provider AS destination FROM routes r WHERE r.id NOT IN (SELECT route_id FROM trips WHERE direction = 'P')")
+@query("""WITH r AS (SELECT id, CASE id % 4 WHEN 0 THEN agency || ' (Old) to ' || provider WHEN 1 THEN agency || ' - ' || provider || ' Suburban Railway' WHEN 2 THEN provider || ' to x to ' || lower(agency) ELSE long_name END AS name FROM routes WHERE id NOT IN (SELECT route_id FROM trips WHERE direction = 'P')),
+e AS (SELECT id AS route_id, 1 AS sequence, CASE WHEN id % 4 = 2 THEN split_part(name, ' to ', 1) ELSE regexp_extract(name, '^(.*?)( \\(Old\\))?( to | - )', 1) END AS stop FROM r WHERE id % 4 <> 3 UNION ALL SELECT id, 2, replace(regexp_extract(name, '^.*( to | - )(.*)$', 2), ' Suburban Railway', '') FROM r WHERE id % 4 <> 3)
+SELECT route_id, sequence, CAST(min(n_nationkey) AS INTEGER) AS stop_id, CASE WHEN min(n_nationkey) IS NULL THEN 'stop_' || replace(lower(stop), ' ', '_') END AS external_id FROM e LEFT JOIN nation ON lower(n_name) = lower(stop) GROUP BY route_id, sequence, stop""")
 def er_fix_disconnected(v):
-    lost = v.routes.join(v.trips.filter("direction = 'P'"), v.routes.id == v.trips.route_id, "left_anti")
-    origin, destination = text.route_ends(F.concat("agency", F.lit(" Stand to "), "provider"))
-    return lost.select("id", origin.alias("origin"), destination.alias("destination"))
+    """Routes without trips get the stops that their names tell: a nation's, or a new one."""
+    i = F.col("id")
+    name = F.when(i % 4 == 0, F.concat("agency", F.lit(" (Old) to "), "provider")).when(i % 4 == 1, F.concat("agency", F.lit(" - "), "provider", F.lit(" Suburban Railway"))).when(i % 4 == 2, F.concat("provider", F.lit(" to x to "), F.lower("agency"))).otherwise(F.col("long_name"))
+    stops = v.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return repair.connect_routes(v.routes.select("id", name.alias("name")), v.trips.filter("direction = 'P'"), stops)[1]
 
 
-@query("WITH shared AS (SELECT lat, lng FROM dense_stops GROUP BY ALL HAVING count(*) > 1) SELECT d.id, CASE WHEN d.id % 10 = 0 THEN 'missing' ELSE 'shared' END AS reason FROM dense_stops d WHERE d.id % 10 = 0 OR (lat, lng) IN (SELECT (lat, lng) FROM shared)")
+@query("""WITH d AS (SELECT id, name, provider, CASE WHEN id % 10 <> 0 THEN lat + CASE WHEN id % 17 = 0 THEN 9 ELSE 0 END END AS lat, lng FROM dense_stops), shared AS (SELECT lat, lng FROM d WHERE lat IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+c AS (SELECT id, name, CASE WHEN lat IS NULL THEN 'missing' WHEN lat NOT BETWEEN 21.4e0 AND 27.3e0 OR lng NOT BETWEEN 85.7e0 AND 89.95e0 THEN 'outside' WHEN (lat, lng) IN (SELECT (lat, lng) FROM shared) THEN 'shared' END AS reason FROM d WHERE provider <> 'Brand#11')
+SELECT id, name, reason, CAST(row_number() OVER (PARTITION BY reason ORDER BY name, id) AS INTEGER) AS rank FROM c WHERE reason IS NOT NULL""")
 def er_coord_candidates(v):
-    shared = v.dense_stops.groupBy("lat", "lng").agg(F.count("*").alias("n")).filter("n > 1").select("lat", "lng", F.lit(True).alias("shared"))
-    reason = F.when(F.col("id") % 10 == 0, "missing").when(F.col("shared"), "shared")
-    return v.dense_stops.join(shared, ["lat", "lng"], "left").select("id", reason.alias("reason")).filter("reason is not null")
+    i = F.col("id")
+    stops = v.dense_stops.withColumn("lat", F.when(i % 10 != 0, F.col("lat") + F.when(i % 17 == 0, 9).otherwise(0)))
+    return repair.coordinate_candidates(stops, (21.4, 27.3, 85.7, 89.95), F.col("provider") == "Brand#11")
 
 
 @query("SELECT trip_id, seq, stop_id, platform FROM calls WHERE trip_id NOT IN (SELECT id FROM trips WHERE route_id IN (SELECT id FROM routes WHERE agency = 'FRANCE' OR fare_inr < 5))")
@@ -327,10 +338,14 @@ def map_gtfs(v):
     return mapping.gtfs_patterns(v.trips, v.calls).withColumn("seq", F.col("seq").cast("bigint"))
 
 
-@query("SELECT id, name, lat, lng FROM stops WHERE lat IS NOT NULL AND id % 4 IN (0, 1)")
+@query("SELECT CAST(id AS VARCHAR) AS stop_id, name, lat, lng FROM stops WHERE lat IS NOT NULL AND id % 4 IN (0, 1) AND id % 6 <> 5 AND id % 15 <> 14")
 def map_gtfs_nodes(v):
-    kind = F.when(F.col("id") % 4 == 0, "").otherwise((F.col("id") % 4 - 1).cast("string"))
-    return v.stops.withColumn("location_type", kind).filter("location_type in ('', '0') and lat is not null").select("id", "name", "lat", "lng")
+    """Stops of an open feed with every kind of location, blanks around numbers, places that are none, and names of blanks."""
+    i = F.col("id")
+    kind = F.when(i % 8 == 0, "").when(i % 4 == 0, F.lit(None)).otherwise(F.concat(F.lit(" "), (i % 4 - 1).cast("string")))
+    lat = F.when(i % 6 == 5, "n/a").otherwise(F.concat(F.lit(" "), F.coalesce(F.col("lat").cast("string"), F.lit("")), F.lit(" ")))
+    feed = v.stops.select(i.cast("string").alias("stop_id"), F.when(i % 15 == 14, "  ").otherwise(F.concat("name", F.lit(" "))).alias("stop_name"), lat.alias("stop_lat"), F.col("lng").cast("string").alias("stop_lon"), kind.alias("location_type"))
+    return repair.feed_nodes(feed)
 
 
 @query("WITH l AS (SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS k, provider AS line, min(id) AS seq FROM stops GROUP BY ALL) SELECT k, count(*) > 1 AS interchange, string_agg(line || ':' || seq, ',' ORDER BY line, seq) AS lines FROM l GROUP BY k")
@@ -338,11 +353,13 @@ def map_metro_interchange(v):
     return mapping.interchanges(v.stops.select("name", F.col("provider").alias("line"), F.col("id").alias("seq")))
 
 
-@query("SELECT route_id, row_number() OVER (PARTITION BY route_id ORDER BY seq) AS seq, name FROM patterns")
+@query("SELECT c.trip_id AS route_id, CAST(row_number() OVER (PARTITION BY c.trip_id ORDER BY CASE WHEN c.stop_id % 9 = 0 THEN 0 ELSE c.seq * 3 END, c.stop_id * 100 + c.platform) AS INTEGER) AS sequence, c.stop_id * 100 + c.platform AS station_id, s.name, s.lat, CASE WHEN s.lat IS NOT NULL THEN s.lng END AS lng FROM calls c JOIN stops s ON s.id = c.stop_id")
 def map_api_route(v):
-    from pyspark.sql import Window as W
-
-    return v.patterns.select("route_id", F.row_number().over(W.partitionBy("route_id").orderBy("seq")).cast("bigint").alias("seq"), "name")
+    """Stops of routes as an API tells them: orders with gaps or missing, blanks around names, 0,0 for no place."""
+    at = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    told = v.calls.join(v.stops.select(F.col("id").alias("stop_id"), "name", "lat", "lng"), "stop_id")
+    told = told.select(F.col("trip_id").alias("route_id"), (F.col("stop_id") * 100 + F.col("platform")).alias("station_id"), F.concat(F.lit(" "), "name").alias("name"), F.when(F.col("stop_id") % 9 != 0, F.col("seq") * 3).alias("route_order"), at("lat"), at("lng"))
+    return repair.api_pattern(told)
 
 
 @query("""WITH RECURSIVE c AS (SELECT trip_id, platform, seq, stop_id, CASE WHEN stop_id % 4 <> 0 THEN minute END AS arrives, CASE WHEN stop_id % 3 <> 0 THEN minute + stop_id % 7 END AS departs FROM calls),
@@ -366,6 +383,13 @@ def map_route_from_text(v):
     return mapping.routes_from_links(v.routes.select("id", F.concat("agency", F.lit(" to "), "provider").alias("label")))
 
 
-@query("SELECT id, long_name, agency, fare_inr FROM routes WHERE fare_inr > 80 AND state IN ('ASIA', 'EUROPE')")
+@query("""WITH t AS (SELECT route_id, min(id) AS trip_id FROM trips GROUP BY route_id), st AS (SELECT t.route_id, string_agg(c.seq || ' ' || s.name || ' ' || coalesce(c.departs, '-'), '|' ORDER BY c.seq, s.name, c.departs NULLS FIRST) AS stops FROM t JOIN calls c ON c.trip_id = t.trip_id JOIN stops s ON s.id = c.stop_id GROUP BY t.route_id)
+SELECT r.id, r.long_name AS name, r.agency AS operator, r.fare_inr AS fare, coalesce(st.stops, '') AS stops FROM routes r JOIN nation ON n_name = r.agency AND n_nationkey % 3 <> 1 LEFT JOIN st ON st.route_id = r.id WHERE r.fare_inr > 40""")
 def src_operator_submitted(v):
-    return v.routes.filter("fare_inr > 80 and state in ('ASIA', 'EUROPE')").select("id", "long_name", "agency", "fare_inr")
+    """Published routes of verified operators, with their stops in order: nations are the operators, a route's first trip has its stops."""
+    operators = v.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 3 == 1, "PENDING").otherwise("VERIFIED").alias("status"))
+    routes = v.routes.join(operators.select(F.col("id").alias("operator_id"), F.col("name").alias("agency")), "agency").select("id", F.col("long_name").alias("name"), "operator_id", F.when(F.col("fare_inr") > 40, "PUBLISHED").otherwise("DRAFT").alias("state"), F.col("fare_inr").alias("fare"))
+    first = v.trips.groupBy("route_id").agg(F.min("id").alias("trip_id"))
+    stops = v.calls.join(first, "trip_id").join(v.stops.select(F.col("id").alias("stop_id"), F.col("name").alias("stop_name")), "stop_id").select("route_id", F.col("seq").alias("sequence"), "stop_name", "departs")
+    shown = F.array_join(F.transform("stops", lambda x: F.concat_ws(" ", x["sequence"].cast("string"), x["stop_name"], F.coalesce(x["departs"], F.lit("-")))), "|")
+    return repair.submitted_routes(routes, operators, stops).select("id", "name", "operator", "fare", shown.alias("stops"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tramline.functions import geo, text
-from tramline.operators import relational as R
+from tramline.operators import relational as R, repair
 from tramline.plans.registry import query
 
 
@@ -194,9 +194,14 @@ def set_distinct(v):
     return v.stops.select("provider", "state").distinct()
 
 
-@query("SELECT DISTINCT id FROM routes WHERE id NOT IN (SELECT route_id FROM trips WHERE route_id IS NOT NULL AND direction = 'P')")
+@query("""WITH s AS (SELECT id, CASE WHEN id % 5 = 0 THEN upper(provider) || ' old' ELSE long_name END AS seed_name FROM routes WHERE id % 3 <> 0), n AS (SELECT r.id, long_name AS live_name, count(t.id) AS uses FROM routes r LEFT JOIN trips t ON t.route_id = r.id AND t.direction = 'P' WHERE r.id % 4 <> 1 GROUP BY ALL)
+SELECT coalesce(s.id, n.id) AS id, CASE WHEN n.id IS NULL THEN 'STALE' WHEN s.id IS NULL THEN 'MISSING' WHEN seed_name <> live_name THEN 'RENAMED' ELSE 'SAME' END AS status, seed_name, live_name, coalesce(uses = 0, false) AS idle FROM s FULL JOIN n ON n.id = s.id""")
 def set_difference(v):
-    return v.routes.select("id").distinct().join(v.trips.filter("direction = 'P'").select(F.col("route_id").alias("id")), "id", "left_anti")
+    """A seed list against the live routes, in both directions."""
+    seed = v.routes.filter("id % 3 <> 0").select("id", F.when(F.col("id") % 5 == 0, F.concat(F.upper("provider"), F.lit(" old"))).otherwise(F.col("long_name")).alias("name"))
+    uses = v.trips.filter("direction = 'P'").groupBy(F.col("route_id").alias("id")).agg(F.count("*").alias("uses"))
+    live = v.routes.filter("id % 4 <> 1").join(uses, "id", "left").select("id", F.col("long_name").alias("name"), F.coalesce("uses", F.lit(0)).alias("uses"))
+    return repair.reconcile(seed, live, "id", "name", "uses")
 
 
 @query("SELECT DISTINCT id FROM routes WHERE id IN (SELECT route_id FROM trips)")
