@@ -58,3 +58,22 @@ def test_normalisers_are_idempotent(spark):
 def test_clock_never_prints_sixty(spark):
     got = spark.range(0, 1440).select(timeofday.from_minutes(F.col("id") + 0.6).alias("t")).collect()
     assert all(r["t"][3:] < "60" for r in got) and got[-1]["t"] == "00:00"
+
+
+def test_geodesics(spark):
+    """Published lengths on the ellipsoid, to a millimetre; the shorter way over the 180th meridian; the sphere where it doesn't settle; the sphere's slack."""
+    from pyspark.sql import functions as F
+
+    from tramline.functions import geo
+
+    dms = lambda d, m, s: (abs(d) + m / 60 + s / 3600) * (-1 if d < 0 else 1)
+    pairs = [(dms(-37, 57, 3.7203), dms(144, 25, 29.5244), dms(-37, 39, 10.1561), dms(143, 55, 35.3839)), (0.0, 0.0, 0.0, 1.0), (0.0, 0.0, 90.0, 0.0), (10.0, 20.0, 10.0, 20.0), (10.0, 179.9, 10.0, -179.9), (10.0, 0.1, 10.0, 0.3), (0.0, 0.0, 0.5, 179.7), (None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(pairs, "a double, b double, c double, d double")
+    got = [tuple(r) for r in df.select(geo.geodesic_m(*map(F.col, "abcd")), geo.distance_m(*map(F.col, "abcd"))).collect()]
+    for (metres, _), want in zip(got, [54972.271, 111319.491, 10001965.729, 0.0], strict=False):
+        assert abs(metres - want) < 0.001
+    assert abs(got[4][0] - got[5][0]) < 1e-6 and got[6][0] == got[6][1] and got[7] == (None, None)
+    near = spark.range(3000).select(((F.rand(1) - 0.5) * 170).alias("a"), (F.rand(2) * 300).alias("b"), F.rand(3).alias("y"), F.rand(4).alias("x")).select("a", "b", (F.col("a") + F.col("y") - 0.5).alias("c"), (F.col("b") + F.col("x")).alias("d"))
+    ratio = geo.geodesic_m(*map(F.col, "abcd")) / geo.distance_m(*map(F.col, "abcd"))
+    low, high = near.agg(F.min(ratio), F.max(ratio)).first()
+    assert 1 / geo.SPHERE_SLACK < low and high < geo.SPHERE_SLACK

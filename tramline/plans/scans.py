@@ -67,12 +67,15 @@ def flt_bbox(v):
     return v.stops.filter(F.col("lat").between(23, 24) & F.col("lng").between(87, 88)).select("id", "lat", "lng")
 
 
-@query(f"SELECT id, CAST(floor({geo.distance_sql('22.57', '88.36', 'lat', 'lng')} + 0.5) AS BIGINT) AS metres FROM stops WHERE {geo.distance_sql('22.57', '88.36', 'lat', 'lng')} <= 50000")
+@query(f"""WITH RECURSIVE near AS (SELECT id, lat, lng FROM stops WHERE {geo.distance_sql('22.57', '88.36', 'lat', 'lng')} <= 51000), {geo.geodesic_sql('near', '22.57e0', '88.36e0')}
+SELECT id, CAST(floor(metres + 0.5) AS BIGINT) AS metres FROM geodesic WHERE metres <= 50000""")
 def flt_radius(v):
-    south, north, west, east = geo.bearing_box(22.57, 88.36, 50000)
-    near = v.stops.filter(F.col("lat").between(south, north) & F.col("lng").between(west, east))
-    d = geo.distance_m(F.lit(22.57), F.lit(88.36), F.col("lat"), F.col("lng"))
-    return near.filter(d <= 50000).select("id", F.floor(d + 0.5).cast("bigint").alias("metres"))
+    """Stops within 50 km on the ellipsoid: a box that reaches the scan, then the sphere with room for the difference, then the geodesic."""
+    most = 50000 * geo.SPHERE_SLACK
+    south, north, west, east = geo.bearing_box(22.57, 88.36, most)
+    here = F.lit(22.57), F.lit(88.36), F.col("lat"), F.col("lng")
+    near = v.stops.filter(F.col("lat").between(south, north) & F.col("lng").between(west, east)).filter(geo.distance_m(*here) <= most)
+    return near.withColumn("m", geo.geodesic_m(*here)).filter("m <= 50000").select("id", F.floor(F.col("m") + 0.5).cast("bigint").alias("metres"))
 
 
 @query("SELECT id FROM stops WHERE lat IS NOT NULL AND lng IS NOT NULL AND NOT (lat = 0 AND lng = 0)")
