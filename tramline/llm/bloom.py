@@ -44,8 +44,16 @@ def flag_held(rows: DataFrame, digest: Column, pages: DataFrame, cells: int, fla
 
 
 def split_by(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`rows` whose `key` may be among the one column of `keys` (a written table), and the rows whose `key` is not."""
+    """`rows` whose `key` may be among the one column of `keys` (a written table), and the rows whose `key` is not.
+
+    Up to MAX_BROADCAST pages a plane, a filter tells them apart and nothing is shuffled. With more keys they are joined,
+    which moves the rows once for each of the two.
+    """
     cells = cells_for(keys.count())
+    if cells > MAX_BROADCAST * PAGE:
+        own = keys.select(F.col(keys.columns[0]).alias(f"{TEMP}key")).distinct()
+        same = F.col(key).eqNullSafe(F.col(f"{TEMP}key"))
+        return rows.join(own, same, "left_semi"), rows.join(own, same, "left_anti")
     hashed = keys.select(F.xxhash64(keys.columns[0]).alias("d"))
     marked = flag_held(rows, F.xxhash64(key), bloom_pages(hashed, "d", cells), cells, f"{TEMP}held")
     return marked.filter(F.col(f"{TEMP}held")).select(rows.columns), marked.filter(~F.col(f"{TEMP}held")).select(rows.columns)
