@@ -165,3 +165,17 @@ def paths_within(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
             break
     every = reduce(DataFrame.unionByName, done)
     return every.select("query", "path", "weight", F.row_number().over(W.partitionBy("query").orderBy("weight", "path")).alias("rank"))
+
+
+def stop_graph(calls: DataFrame, stops: DataFrame, box: tuple[float, float, float, float], size: float = 0.01) -> DataFrame:
+    """The nodes of the stop graph: stop_id, its grid cell (cy, cx), calls, and edges: stops that a hop leads to.
+
+    A stop without a place or outside the box (south, north, west, east) is in no cell, so it is never found by its place, but it
+    keeps its calls and edges: it can be ridden.
+    """
+    inside = F.col("lat").between(box[0], box[1]) & F.col("lng").between(box[2], box[3])
+    cell = lambda c: F.when(inside, F.floor(F.col(c) / size)).cast("bigint")
+    n = calls.groupBy("stop_id").agg(F.count("*").alias("calls"))
+    out = hop_edges(calls, stops).groupBy(F.col("a").alias("stop_id")).agg(F.count("*").alias("edges"))
+    nodes = stops.select(F.col("id").alias("stop_id"), cell("lat").alias("cy"), cell("lng").alias("cx"))
+    return nodes.join(n, "stop_id", "left").join(out, "stop_id", "left").fillna(0, ["calls", "edges"])

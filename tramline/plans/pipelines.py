@@ -29,11 +29,11 @@ def graph_route_length(v):
     return hop_metres(v.calls, v.stops).groupBy("trip_id").agg(F.sum(F.coalesce(F.floor(F.col("metres") + 0.5), F.lit(0))).cast("bigint").alias("metres"))
 
 
-@query("SELECT s.id AS stop_id, s.lat IS NOT NULL AND s.lat BETWEEN 6 AND 38 AND s.lng BETWEEN 68 AND 98 AS in_grid, count(c.trip_id) AS calls FROM stops s LEFT JOIN calls c ON c.stop_id = s.id GROUP BY ALL")
+@query(f"""WITH {HOPS}, e AS (SELECT a, count(DISTINCT b) AS edges FROM (SELECT lag(stop_id) OVER (PARTITION BY trip_id ORDER BY pos) AS a, stop_id AS b, hop_min FROM hops) WHERE hop_min IS NOT NULL AND a <> b GROUP BY a), n AS (SELECT stop_id, count(*) AS calls FROM calls GROUP BY stop_id)
+SELECT s.id AS stop_id, CASE WHEN lat <= 26 AND lng >= 86 THEN CAST(floor(lat / 0.01e0) AS BIGINT) END AS cy, CASE WHEN lat <= 26 AND lng >= 86 THEN CAST(floor(lng / 0.01e0) AS BIGINT) END AS cx, coalesce(n.calls, 0) AS calls, coalesce(e.edges, 0) AS edges FROM stops s LEFT JOIN n ON n.stop_id = s.id LEFT JOIN e ON e.a = s.id""")
 def graph_build(v):
-    n = v.calls.groupBy("stop_id").agg(F.count("*").alias("calls"))
-    inside = F.coalesce(F.col("lat").between(6, 38) & F.col("lng").between(68, 98), F.lit(False))
-    return v.stops.select(F.col("id").alias("stop_id"), inside.alias("in_grid")).join(n, "stop_id", "left").fillna(0, ["calls"])
+    """The stop graph, its grid held to a box that leaves some stops out."""
+    return journey.stop_graph(v.calls, v.stops, (6.0, 26.0, 86.0, 98.0))
 
 
 def _round(labels: str) -> str:
