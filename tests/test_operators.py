@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tramline.operators import journey, lifecycle, mapping, relational, resolve, spatial, timetable
-from tramline.sources import feeds, pages
+from tramline.sources import archives, feeds, pages
 from tramline.streaming import landing
 
 
@@ -361,6 +361,55 @@ def test_gtfs_and_csv(spark, tmp_path):
     assert rows(feeds.csv_table(spark, str(tmp_path / "t.csv"))) == [("1", "x\ny"), ("2", "")]
 
 
+def test_archives_by_members(spark, tmp_path):
+    """Two members of one name, one that is broken, a page instead of an archive, an empty archive; then a missing path."""
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("stops.txt", "id,name\r\n1,\"A\r\nB\"\r\n,\r\n2\r\n")
+        z.writestr("routes.txt", "id\n7\n")
+        with pytest.warns(UserWarning, match="Duplicate name"):
+            z.writestr("stops.txt", "id,name\n3,C,more\n")
+    broken = (tmp_path / "a.zip").read_bytes().replace(b"id\n7\n", b"id\n8\n", 1)
+    (tmp_path / "b.zip").write_bytes(broken)
+    (tmp_path / "c.zip").write_bytes(b"<html>503</html>")
+    zipfile.ZipFile(tmp_path / "d.zip", "w").close()
+    (tmp_path / "note.txt").write_text("no archive")
+    whole = [("stops.txt", 0, (("id", "1"), ("name", "A\r\nB"))), ("stops.txt", 2, (("id", "2"), ("name", ""))), ("stops.txt", 0, (("id", "3"), ("name", "C")))]
+    got = [(r["feed"], r["file"], r["row"], tuple(sorted(r["fields"].items()))) for r in feeds.gtfs_rows(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted([("a.zip", "routes.txt", 0, (("id", "7"),)), *[(z, *w) for z in ("a.zip", "b.zip") for w in whole]])
+    assert sorted((r["feed"], r["file"] or "", r["error"].split(":")[0]) for r in feeds.gtfs_refused(spark, str(tmp_path)).collect()) == [("b.zip", "routes.txt", "BadZipFile"), ("c.zip", "", "BadZipFile")]
+    assert feeds.gtfs_rows(spark, f"file:{tmp_path}/a.zip", member="routes.txt").count() == 1
+    (tmp_path / "none").mkdir()
+    assert feeds.gtfs_rows(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        feeds.gtfs_rows(spark, str(tmp_path / "missing")).count()
+
+
+def test_archives_written_and_read(spark, tmp_path):
+    """Lines of 3 feeds over several tasks come back in order; a large member is read without being held."""
+    import tracemalloc
+
+    lines = spark.range(60_000).selectExpr("concat('f', id % 3) AS feed", "if(id % 5 = 0, 'a.txt', 'b.txt') AS file", "concat(id, ',\"é\n', id, '\"') AS line", "id").repartition(7)
+    head = spark.createDataFrame([(f"f{k}", n, "id,t", -1) for k in range(3) for n in ("a.txt", "b.txt")], lines.schema)
+    written = archives.write_archives(lines.unionByName(head), str(tmp_path), ["id"])
+    assert sorted(map(tuple, written.collect())) == [(f"f{k}", 20_002) for k in range(3)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["f0.zip", "f1.zip", "f2.zip"]
+    got = feeds.gtfs_rows(spark, str(tmp_path))
+    assert got.count() == 60_000 and got.filter("fields['t'] <> concat('é\n', fields['id'])").isEmpty()
+    order = got.selectExpr("*", "lag(cast(fields['id'] AS bigint)) OVER (PARTITION BY feed, file ORDER BY row) AS before")
+    assert order.filter("before >= cast(fields['id'] AS bigint)").isEmpty()
+    assert archives.write_archives(lines.limit(0), str(tmp_path / "no"), ["id"]).count() == 0
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as z, z.open("stop_times.txt", "w") as member:
+        member.write(b"trip,at\n")
+        for k in range(100):
+            member.write(b"".join(b"%d,06:%02d:00\n" % (k * 1000 + i, i % 60) for i in range(1000)))
+    reader = archives.ArchiveReader(str(tmp_path / "big.zip"), None, 2000)
+    tracemalloc.start()
+    assert sum(b.num_rows for part in reader.partitions() for b in reader.read(part)) == 100_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 << 20  # a batch, not the member
+
+
 def test_json_rows(spark):
     df = spark.createDataFrame([('[{"a":1},{"a":2}]',), ('{"data":[{"a":3}]}',), ('{"elements":[4]}',), ('{"a":5}',), ("junk",)], "b string")
     assert [r[0] for r in df.select(feeds.json_rows(F.col("b"))).collect()] == [['{"a":1}', '{"a":2}'], ['{"a":3}'], ["4"], ['{"a":5}'], ['{"rawJsonString":"junk"}']]

@@ -7,12 +7,14 @@ import uuid
 import zipfile
 
 import pandas as pd
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.operators import mapping, relational
 from tramline.plans.registry import query
-from tramline.sources import feeds, pages
-from tramline.session import shared_dir
+from tramline.session import cut, shared_dir
+from tramline.sources import archives, feeds, pages
 
 
 def _listed(v, one):
@@ -64,6 +66,41 @@ def src_gtfs_zip(v):
     return feeds.gtfs_table(feeds.archive_rows(files), "stops.txt", ["stop_id", "stop_name", "stop_lat"], keep=["row"])
 
 
+ARCHIVES = "SELECT 'f' || CAST(floor(route_id / 50) AS BIGINT) || '.zip' AS feed, CAST(floor(route_id / 50) AS BIGINT) % 4 = 1 AS broken, row_number() OVER (PARTITION BY floor(route_id / 50) ORDER BY route_id, seq NULLS FIRST, name NULLS FIRST) AS k, CAST(route_id AS VARCHAR) AS route_id, coalesce(CAST(seq AS VARCHAR), '') AS seq, coalesce(name, '') AS name FROM patterns WHERE route_id IS NOT NULL"
+
+
+def _error_pages(feeds: DataFrame, folder: str) -> DataFrame:
+    """Puts a page where the archive of each of `feeds` was, as a provider that is down answers; returns them."""
+
+    def put(batches):
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for feed in batch.column(0).to_pylist():
+                with system.open_output_stream(f"{root}/{feed}.zip") as out:
+                    out.write(b"<html><h1>503</h1></html>")
+            yield batch
+
+    return feeds.select("feed").mapInArrow(put, "feed string")
+
+
+@query(f"WITH a AS ({ARCHIVES}) SELECT feed, 2 * (k - 1) AS row, route_id, name || ', \"x\"' || chr(10) || 'y' AS stop_name, seq, CAST(NULL AS VARCHAR) AS refused FROM a WHERE NOT broken UNION ALL SELECT DISTINCT feed, NULL, NULL, NULL, NULL, 'BadZipFile' FROM a WHERE broken")
+def src_gtfs_archives(v):
+    """Archives of fifty routes each, written to the shared folder as files and read by members; of every fourth an error page has come instead."""
+    folder = f"{shared_dir(v.spark)}/gtfs-{uuid.uuid4().hex}"
+    p = v.patterns.withColumn("n", F.floor(F.col("route_id") / 50).cast("bigint"))
+    feed = F.concat(F.lit("f"), F.col("n").cast("string"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    body = F.concat(text("route_id"), F.lit(',"'), text("name"), F.lit(', ""x""\ny",'), text("seq"))
+    own = p.select(feed.alias("feed"), F.lit("stop_times.txt").alias("file"), F.lit(1).alias("part"), "route_id", "seq", "name", F.concat(body, F.lit("\r\n,")).alias("line"))
+    head = own.select("feed").distinct().select("feed", F.lit("stop_times.txt").alias("file"), F.lit(0).alias("part"), *[F.lit(None).cast(t).alias(c) for c, t in (("route_id", "bigint"), ("seq", "bigint"), ("name", "string"))], F.lit("\ufeffroute_id, stop_name,seq").alias("line"))
+    notes = head.withColumns({"file": F.lit("notes.md"), "line": F.lit("not a table")})
+    written = archives.write_archives(own.unionByName(head).unionByName(notes), folder, ["part", "route_id", "seq", "name"])
+    cut(_error_pages(cut(written).filter(F.substring("feed", 2, 20).cast("bigint") % 4 == 1), folder))
+    rows = archives.read_archives(v.spark, folder, "stop_times.txt")
+    field = lambda n: F.col("fields")[n].alias(n)
+    return rows.select("feed", "row", field("route_id"), field("stop_name"), field("seq"), F.regexp_extract("error", "^[A-Za-z]+", 0).alias("refused"))
+
+
 @query("SELECT id, id % 3 AS nodes, id % 2 AS routes, id % 4 AS timed, CASE WHEN id % 3 = 0 THEN 'NO_NODES' WHEN id % 2 = 0 THEN 'NO_ROUTES' WHEN id % 4 = 0 THEN 'NO_TIMED_TRIPS' END AS refused FROM stops")
 def src_harvest_file(v):
     some = lambda n, one: F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit(one), n.cast("int")), ","), F.lit("]"))

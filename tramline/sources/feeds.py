@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import io
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
@@ -14,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from tramline.functions import text
+from tramline.sources import archives
 from tramline.session import cut
 
 TAGS = "<[^>]*>"
@@ -122,13 +122,21 @@ def matches(pages: DataFrame, pattern: str) -> DataFrame:
 GTFS_ROW = T.StructType([T.StructField("feed", T.StringType()), T.StructField("file", T.StringType()), T.StructField("row", T.LongType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType()))])
 
 
-def gtfs_rows(spark: SparkSession, path: str, batch: int = 5000) -> DataFrame:
-    """archive_rows() of the archives at `path`."""
-    return archive_rows(spark.read.format("binaryFile").load(path), batch)
+def gtfs_rows(spark: SparkSession, path: str, member: str | None = None, batch: int = 5000) -> DataFrame:
+    """Rows of the archives at `path`, or of one member of each: feed, file, row and fields. Broken ones are in gtfs_refused()."""
+    return archives.read_archives(spark, path, member, batch).filter("error is null").drop("error")
+
+
+def gtfs_refused(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
+    """The archives (file is null) and members at `path` that are broken: feed, file and error."""
+    return archives.read_archives(spark, path, member).filter("error is not null").select("feed", "file", "error")
 
 
 def archive_rows(files: DataFrame, batch: int = 5000) -> DataFrame:
-    """Rows of every .txt member of GTFS archives (path, content): feed, file, row and fields by name. Members are read as streams, rows leave in batches."""
+    """Rows of every .txt member of GTFS archives that lie in cells (path, content), each of at most 2 GB: feed, file, row and fields by name.
+
+    For archives in files see gtfs_rows(), which needs no cell. A broken archive ends the job here.
+    """
 
     def read(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -136,9 +144,8 @@ def archive_rows(files: DataFrame, batch: int = 5000) -> DataFrame:
                 archive = zipfile.ZipFile(io.BytesIO(content))
                 for name in sorted(n for n in archive.namelist() if n.endswith(".txt")):
                     rows = []
-                    for i, row in enumerate(csv.DictReader(io.TextIOWrapper(archive.open(name), "utf-8-sig", newline=""))):
-                        if any((v or "").strip() for k, v in row.items() if k):
-                            rows.append((feed, name, i, {k.strip(): v or "" for k, v in row.items() if k}))
+                    for i, fields in archives.member_rows(archive.open(name)):
+                        rows.append((feed, name, i, fields))
                         if len(rows) == batch:
                             yield pd.DataFrame(rows, columns=GTFS_ROW.names)
                             rows = []
