@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tramline.operators import lifecycle, relational, spatial
+from tramline.operators import lifecycle, outlines, relational, spatial
+from tramline.operators.polygons import MICRO
 from tramline.plans.registry import query
 
 
@@ -166,6 +167,17 @@ def agg_spatial_hull(v):
     return found.select("provider", "cluster", "corners", "south", "north", "west", "east")
 
 
+@query()
+def agg_concave_outline(v):
+    """A concave outline for each cluster of stops, by the first digit of their providers."""
+    stops = v.stops.withColumn("provider", F.substring("provider", 1, 7))
+    found = outlines.concave_outlines(spatial.dbscan(stops, "provider").filter("cluster is not null"), ["provider", "cluster"])
+    ring = F.array_join(F.transform("ring", lambda p: F.concat((p["x"] / MICRO).cast("string"), F.lit(" "), (p["y"] / MICRO).cast("string"))), ", ")
+    first = F.get("ring", F.lit(0))
+    closed = F.concat(F.lit("POLYGON (("), ring, F.lit(", "), (first["x"] / MICRO).cast("string"), F.lit(" "), (first["y"] / MICRO).cast("string"), F.lit("))"))
+    return found.select("provider", "cluster", "points", "corners", F.round("area", 9).alias("area"), F.when(F.col("corners") > 2, closed).alias("wkt"))
+
+
 @query(DBSCAN.format(provider="provider"))
 def win_dbscan(v):
     return spatial.dbscan(v.stops, "provider").select("id", "provider", "core", "cluster")

@@ -247,6 +247,19 @@ def join_spatial_overlap(v):
     return polygons.overlaps(v.zones)
 
 
+EDGE = "CAST(p.y - e.y1 AS DOUBLE) AS py, CAST(p.x - e.x1 AS DOUBLE) AS px, CAST(e.y2 - e.y1 AS DOUBLE) AS dy, CAST(e.x2 - e.x1 AS DOUBLE) AS dx, CAST(p.y - e.y2 AS DOUBLE) AS qy, CAST(p.x - e.x2 AS DOUBLE) AS qx"
+
+
+@query(f"""WITH e AS MATERIALIZED ({ZONE_EDGES}), p AS (SELECT id, CAST(floor(lat * 1000000 + 0.5) AS BIGINT) AS y, CAST(floor(lng * 1000000 + 0.5) AS BIGINT) AS x FROM stops),
+held AS (SELECT p.id, e.poly FROM p JOIN e ON {EAST_OF} GROUP BY ALL HAVING count(*) % 2 = 1),
+d AS (SELECT p.id, e.poly, {EDGE} FROM p JOIN e ON true)
+SELECT id, poly FROM held UNION SELECT id, poly FROM d WHERE CASE WHEN py * dy + px * dx <= 0 THEN py * py + px * px <= 1e10 WHEN py * dy + px * dx >= dy * dy + dx * dx THEN qy * qy + qx * qx <= 1e10 ELSE (dx * py - dy * px) * (dx * py - dy * px) <= 1e10 * (dy * dy + dx * dx) END""")
+def join_region_reach(v):
+    """Each stop with the zones that it is inside of or at most a tenth of a degree away from."""
+    p = v.stops.select("id", polygons.micro(F.col("lat")).alias("y"), polygons.micro(F.col("lng")).alias("x"))
+    return polygons.within(p, v.zones.select("poly", "ring"), 100_000)
+
+
 @query(f"""WITH e AS MATERIALIZED ({ZONE_EDGES}), p AS (SELECT id, CAST(floor(lat * 1000000 + 0.5) AS BIGINT) AS y, CAST(floor(lng * 1000000 + 0.5) AS BIGINT) AS x FROM stops),
 held AS (SELECT p.id, e.poly FROM p JOIN e ON {EAST_OF} GROUP BY ALL HAVING count(*) % 2 = 1),
 area AS (SELECT poly, abs(sum(x1 * y2 - x2 * y1)) AS area FROM e GROUP BY poly),
