@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.operators.polygons import micro, ring_area
-from tramline.operators.spatial import corner_rows, hull_of
+from tramline.operators.spatial import hull_of
 from tramline.session import cut
 
 CELLS = 64  # along the longer side of a group's box, at most
@@ -132,25 +132,21 @@ def concave_ring(pts: list[tuple[int, int]], concavity: float) -> list[tuple[int
 
 
 def _by_cell(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The corners of each cell's outline; the rows of a cell follow each other."""
-    rest: tuple[str, np.ndarray] | None = None
-
-    def frame_of(k: str, pts: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame([(k, y, x) for y, x in hull_of(pts)], columns=["k", "y", "x"])
-
+    """The corners of the outline of each run of rows with one k; runs are those of each frame, sorted, and go on in the next one."""
+    key, held = None, np.empty((0, 2), np.int64)
     for frame in frames:
-        out = []
-        for k, rows in frame.groupby("k", sort=False):
-            pts = rows[["y", "x"]].to_numpy(np.int64)
-            if rest and rest[0] == k:
-                pts = np.concatenate((np.array(hull_of(rest[1]), np.int64).reshape(-1, 2), pts))
-            elif rest:
-                out.append(frame_of(*rest))
-            rest = k, pts
-        if out:
-            yield pd.concat(out)
-    if rest:
-        yield frame_of(*rest)
+        frame = frame.sort_values("k", kind="stable")
+        keys, pts, rows = frame["k"].to_numpy(object), frame[["y", "x"]].to_numpy(np.int64), []
+        starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for low, high in zip(starts, starts[1:], strict=False):
+            if low == high:
+                continue
+            if keys[low] != key:
+                rows += [(key, y, x) for y, x in hull_of(held)]
+                key, held = keys[low], held[:0]
+            held = np.array(hull_of(np.concatenate((held, pts[low:high]))), np.int64).reshape(-1, 2) if len(held) else pts[low:high]
+        yield pd.DataFrame(rows, columns=["k", "y", "x"])
+    yield pd.DataFrame([(key, y, x) for y, x in hull_of(held)], columns=["k", "y", "x"])
 
 
 def concave_outlines(points: DataFrame, keys: list[str], concavity: float = 0.3, cells: int = CELLS) -> DataFrame:
@@ -170,7 +166,7 @@ def concave_outlines(points: DataFrame, keys: list[str], concavity: float = 0.3,
     side = F.greatest(F.lit(1), F.floor(F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west")) / cells) + 1).cast("bigint")
     cell = lambda c, low: F.floor((F.col(c) - F.col(low)) / side).cast("string")
     placed = p.join(box, "k").select(F.concat_ws(" ", cell("y", "south"), cell("x", "west"), "k").alias("k"), "y", "x")
-    some = placed.mapInPandas(corner_rows, "k string, y bigint, x bigint").repartition("k").sortWithinPartitions("k")
+    some = placed.mapInPandas(_by_cell, "k string, y bigint, x bigint").repartition("k").sortWithinPartitions("k")
     thin = some.mapInPandas(_by_cell, "k string, y bigint, x bigint").select(F.expr("substring(k, length(substring_index(k, ' ', 2)) + 2)").alias("k"), "y", "x")
 
     def outline(frame: pd.DataFrame) -> pd.DataFrame:
