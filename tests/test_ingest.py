@@ -183,3 +183,12 @@ def test_a_run_takes_up_after_its_last_checkpoint(spark):
     assert sorted((str(r["run"]), r["done"]) for r in saved.collect()) == [("None", 1), ("p", 25), ("p", 50), ("p", 60), ("q", 1)]
     left = lifecycle.rest(items, "run", ["at", "x"], saved.filter("run = 'p' and done < 60"))
     assert sorted((str(r["run"]), r["at"]) for r in left.collect()) == [("None", 5), *[("p", k) for k in range(50, 60)], ("q", 1)]
+
+
+def test_promotion_leaves_no_staged_copy(spark, tmp_path):
+    net = staging.Network(spark, str(tmp_path / "net"))
+    net.promote_all(staging.stage(dataset(spark), "v1"), "v1")
+    with pytest.raises(staging.Refused):
+        net.promote_all(staging.stage(dataset(spark).limit(0), "none"), "none")
+    assert not [p.name for p in (tmp_path / "net").iterdir() if p.name.startswith("staged-")]
+    assert net.tables()["stops"].count() > 0

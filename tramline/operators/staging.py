@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tramline.operators.lifecycle import Snapshots, time_source
 from tramline.operators.relational import distinct_on
-from tramline.session import cut
+from tramline.session import cut, remove_path
 
 KEYS = {"stops": ["provider", "external_id"], "routes": ["provider", "external_id"], "route_stops": ["provider", "route", "sequence"], "trips": ["provider", "external_id"], "stop_times": ["provider", "trip", "sequence"]}
 
@@ -117,11 +117,19 @@ class Network(Snapshots):
 
         Stops, routes and trips take the place of those with their key; a route's stops and a trip's times are
         replaced as a whole, and what the version doesn't name stays. Of staged rows with one key the last id wins. What
-        fails before the pointer is there leaves the version before as it was.
+        fails before the pointer is there leaves the version before as it was. The staged copy is removed in the end, whether
+        promoted or refused, so only what was promoted stays.
         """
-        number, folder = self._last(), f"{self.root}/staged-{uuid.uuid4().hex}"
+        folder = f"{self.root}/staged-{uuid.uuid4().hex}"
+        try:
+            return self._promote(staged, version, folder)
+        finally:
+            remove_path(self.spark, folder)
+
+    def _promote(self, staged: dict[str, DataFrame], version: str, folder: str) -> str:
+        number = self._last()
         for name, rows in staged.items():
-            rows.write.parquet(f"{folder}/{name}")
+            rows.write.option("compression", "zstd").parquet(f"{folder}/{name}")  # ids are hex digits, half of which it saves
         staged = {name: self.spark.read.schema(rows.schema).parquet(f"{folder}/{name}") for name, rows in staged.items()}
         errors = cut(gate_errors(staged))
         if not errors.isEmpty():

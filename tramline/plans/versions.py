@@ -3,38 +3,36 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramline.operators import staging
 from tramline.plans.registry import query
-from tramline.session import cut, shared_dir
+from tramline.session import remove_path, shared_dir
 
 KEY = "CASE WHEN s.id % 10 = 3 THEN 'node_' || s.name ELSE 'S' || s.id END"
 AT = f"SELECT c.trip_id, row_number() OVER (PARTITION BY c.trip_id ORDER BY c.seq, c.stop_id, c.platform) AS seq, s.id AS stop_id, s.name, {KEY} AS node, c.departs, count(*) OVER (PARTITION BY c.trip_id) AS n FROM calls c JOIN stops s ON s.id = c.stop_id"
 
 
-class Numbered:
-    """The views' stops, and calls whose places in a trip are 1, 2, ..."""
+def trip_calls(v) -> DataFrame:
+    """A row for each trip: its calls with their stops, in order; their places in it are their numbers, from 1."""
+    c = v.calls.join(v.stops.select(F.col("id").alias("stop_id"), "name", "lat", "lng").hint("merge"), "stop_id")
+    listed = F.sort_array(F.collect_list(F.struct("seq", "stop_id", "platform", "name", "lat", "lng", "departs")))  # as many as one trip has
+    return c.groupBy("trip_id").agg(listed.alias("calls"))
 
-    def __init__(self, v, calls: DataFrame | None = None):
-        self.stops = v.stops
-        self.calls = calls if calls is not None else v.calls.withColumn("seq", F.row_number().over(W.partitionBy("trip_id").orderBy("seq", "stop_id", "platform")).cast("bigint"))
 
+def documents(trips: DataFrame, node: Column | None = None, least: int = 1, known: Callable[[Column], Column] | None = None) -> DataFrame:
+    """A document for each of trip_calls(): its stops, a route pattern of their order, the trip with its times, one observation.
 
-def documents(v, node: Column | None = None, seq: Column | None = None, known: Column | None = None) -> DataFrame:
-    """A document for each trip: its stops, a route pattern of their order, the trip with its times, one observation.
-
-    Every tenth stop has no id of its provider. The columns change what is told: the stops' ids, the places in the order,
-    the stops among the nodes.
+    Every tenth stop has no id of its provider. The others change what is told: the stops' ids, the least place in the order,
+    the stops among the nodes. Each row is made of its own trip alone, so nothing is shuffled.
     """
-    own = F.when(F.col("stop_id") % 10 != 3, F.concat(F.lit("S"), F.col("stop_id").cast("string"))) if node is None else node
-    c = v.calls.join(v.stops.select(F.col("id").alias("stop_id"), "name", "lat", "lng"), "stop_id")
-    call = F.struct("seq", (F.col("seq") if seq is None else seq).cast("int").alias("at"), own.alias("ext"), "name", "lat", "lng", "departs", (F.lit(True) if known is None else known).alias("known"))
-    docs = c.groupBy("trip_id").agg(F.sort_array(F.collect_list(call)).alias("calls"))  # as many as one trip has
+    own = lambda x: F.when(x["stop_id"] % 10 != 3, F.concat(F.lit("S"), x["stop_id"].cast("string"))) if node is None else node
+    call = lambda x, i: F.struct(F.greatest(i + 1, F.lit(least)).alias("at"), own(x).alias("ext"), x["name"].alias("name"), x["lat"].alias("lat"), x["lng"].alias("lng"), x["departs"].alias("departs"), (F.lit(True) if known is None else known(x)).alias("known"))
+    docs = trips.select("trip_id", F.transform("calls", call).alias("calls"))
     name = lambda p: F.concat(F.lit(p), F.col("trip_id").cast("string"))
     node_of = lambda x: F.struct(x["ext"].alias("externalId"), x["name"].alias("name"), F.lower(x["name"]).alias("normalizedName"), x["lat"].alias("latitude"), x["lng"].alias("longitude"))
     stop_of = lambda x: F.struct(x["ext"].alias("nodeExternalId"), x["name"].alias("name"), x["at"].alias("sequence"))
@@ -53,7 +51,7 @@ UNION ALL SELECT 'route_stops', 'R' || trip_id || ':' || seq FROM a UNION ALL SE
 SELECT kind, external_id, count(*) AS rows FROM e GROUP BY ALL""")
 def lc_stage(v):
     """What the documents of all trips are staged as, by kind and external id."""
-    staged = staging.stage(documents(Numbered(v)), "v1")
+    staged = staging.stage(documents(trip_calls(v)), "v1")
     out = [rows.groupBy("external_id").agg(F.count("*").alias("rows")).withColumn("kind", F.lit(kind)) for kind, rows in staged.items()]
     return reduce(DataFrame.unionByName, out)
 
@@ -71,23 +69,24 @@ def lc_promote(v):
 
     What each refused version breaks, and what is active in the end.
     """
-    net = staging.Network(v.spark, f"{shared_dir(v.spark)}/promote-{uuid.uuid4().hex}")
-    calls = Numbered(v).calls
-    n = calls.groupBy("trip_id").agg(F.count("*").alias("n"))
-    every = Numbered(v, cut(calls.join(n, "trip_id")))
-    good = Numbered(v, every.calls.filter("n > 1"))
-    part = Numbered(v, good.calls.filter("trip_id % 2 = 0 and seq <= 2"))
+    root = f"{shared_dir(v.spark)}/promote-{uuid.uuid4().hex}"
+    net = staging.Network(v.spark, root)
+    trip_calls(v).write.parquet(f"{root}-calls")  # the one shuffle; every version is a selection of these rows
+    every = v.spark.read.parquet(f"{root}-calls")
+    good = every.filter(F.size("calls") > 1)
+    part = good.filter("trip_id % 2 = 0").withColumn("calls", F.slice("calls", 1, 2))
     unseen = documents(good).withColumn("observations", F.slice("observations", 1, 0))
     versions = {
-        "first": documents(good), "short": documents(every), "unknown": documents(good, known=F.col("stop_id") % 7 != 0), "twice": documents(good, seq=F.greatest("seq", F.lit(2))),
+        "first": documents(good), "short": documents(every), "unknown": documents(good, known=lambda x: x["stop_id"] % 7 != 0), "twice": documents(good, least=2),
         "conflict": documents(good, node=F.lit("S1")), "unseen": unseen, "nothing": unseen.limit(0), "second": documents(part),
     }
     said = []
     for name, docs in versions.items():
         try:
-            net.promote_all(staging.stage(cut(docs), name), name)
+            net.promote_all(staging.stage(docs, name), name)
         except staging.Refused as refused:
             said.append(refused.errors.groupBy(F.col("rule").alias("what")).agg(F.count("*").alias("n")).withColumn("step", F.lit(name)))
+    remove_path(v.spark, f"{root}-calls")
     active = net.tables()
     counts = {k: df for k, df in active.items()} | {"estimated": active["stop_times"].filter("time_source = 'INTERPOLATED'"), "scraped": active["stop_times"].filter("time_source = 'SCRAPED'")}
     out = [df.agg(F.count("*").alias("n")).select(F.lit("active").alias("step"), F.lit(k).alias("what"), "n") for k, df in counts.items()]
