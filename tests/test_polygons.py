@@ -85,3 +85,18 @@ def test_rings_of_little(spark):
     assert polygons.locate(pts, few).count() == 0 and polygons.overlaps(few).count() == 0
     assert [tuple(r) for r in polygons.smallest_around(pts, few).collect()] == [(1, None)]
     assert polygons.locate(pts.limit(0), table_of(spark, rings_of(1))).count() == 0
+
+
+def test_smallest_ring_by_cells(spark):
+    """Many nested and shared squares: the least of those around each place, whether a cell is all inside it or not; no side is broadcast."""
+    c = polygons.CELL
+    square = lambda y, x, r: [(y - r, x - r), (y - r, x + r), (y + r, x + r), (y + r, x - r)]
+    rings = [(k, square(c * (k % 4), c * (k % 3), c * (2 + k % 5))) for k in range(40)]
+    pts = [(i, (i * 37) % (9 * c) - 3 * c + 1, (i * 4099) % (8 * c) - 3 * c + 1) for i in range(0, 40 * 7919, 7919)]
+    pts += [(10**6 + i, y, x) for i, y, x in pts[:10]] + [(5, None, None)]
+    df, table = spark.createDataFrame(pts, "id bigint, y bigint, x bigint"), spark.createDataFrame(rings, "poly bigint, ring array<struct<y:bigint,x:bigint>>")
+    got = {r["id"]: r["poly"] for r in polygons.smallest_around(df, table).collect()}
+    around = lambda y, x: [(abs(2 * (ring[2][0] - ring[0][0])), k) for k, ring in rings if ring[0][0] < y < ring[2][0] and ring[0][1] < x < ring[2][1]]
+    assert got == {i: min(around(y, x))[1] if y is not None and around(y, x) else None for i, y, x in pts}
+    plan = polygons.smallest_around(df, table)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
