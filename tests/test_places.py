@@ -46,3 +46,10 @@ def test_walks_by_place(spark, written):
         rows = journey.walked(labels.withColumn("query", F.lit(1)), walks, ("query",)).collect()
         assert {r["stop_id"]: r["c"]["minutes"] for r in rows} == want
         assert all(r["c"]["frm"] != r["stop_id"] for r in rows)
+
+
+def test_transfer_edges_are_one_join(spark, sf_dir):
+    from tramline.plans import catalogue
+
+    plan = catalogue.QUERIES["graph_transfer_edge"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
