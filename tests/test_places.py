@@ -53,3 +53,15 @@ def test_transfer_edges_are_one_join(spark, sf_dir):
 
     plan = catalogue.QUERIES["graph_transfer_edge"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_names_are_cut_once(spark, sf_dir):
+    """Stops that share a name: the first ones by id, and no side that grows with the stops is broadcast."""
+    from tramline.operators import search
+
+    stops = spark.range(1, 400).select("id", F.when(F.col("id") % 3 == 0, "Old Bolt").when(F.col("id") % 3 == 1, "bolt").otherwise("ring").alias("name"))
+    found = search.stops_by_name(spark.createDataFrame([(1, " BOLT "), (2, "ring")], "query bigint, name string"), stops, 3)
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 4), (1, 7), (2, 2), (2, 5), (2, 8)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    cut_up = plan[plan.index("Generate explode"):]
+    assert "Aggregate [low" in cut_up and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()

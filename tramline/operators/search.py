@@ -16,9 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramline.functions.geo import distance_m
-from tramline.operators.journey import ACCESS_M, BOARD_MIN, BUS_KMH, WALK_KMH, WALK_M, hops
+from tramline.operators.journey import ACCESS_M, BOARD_MIN, BUS_KMH, WALK_KMH, WALK_M, Walks, hops, walked
 from tramline.operators.relational import top_n
-from tramline.operators.spatial import Bands, radius_pairs
+from tramline.operators.spatial import Bands
 from tramline.operators.timetable import hop_metres
 from tramline.session import cut
 
@@ -33,16 +33,18 @@ def minutes_of(metres: Column, kmh: float) -> Column:
 def stops_by_name(wanted: DataFrame, stops: DataFrame, most: int = NAMES) -> DataFrame:
     """query and stop_id: for each row of `wanted` (query, name), up to `most` stops of that name, then of one that holds it, by id.
 
-    A name meets the stops that share its first GRAM characters anywhere, so nothing is compared that has none in
-    common; blanks and empty names find nothing.
+    A name meets the names that share its first GRAM characters anywhere, so nothing is compared that has none in
+    common; blanks and empty names find nothing. Only distinct names are cut into pieces, and of each at most `most` stops go on.
     """
     needle = F.lower(F.trim("name"))
     w = wanted.select("query", needle.alias("needle")).filter("needle <> ''").distinct().withColumn("gram", F.substring("needle", 1, GRAM))
-    low = F.lower("name")
+    low = F.col("low")
     pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - n + 1)), lambda i: F.substring(low, i, n))))
-    s = stops.select(F.col("id").alias("stop_id"), low.alias("low"), F.explode(F.array_distinct(pieces)).alias("gram"))
-    met = w.join(s, "gram").filter(F.contains("low", "needle"))
-    return top_n(met, ["query", "needle"], [F.col("low") != F.col("needle"), F.col("stop_id")], most).select("query", "stop_id")
+    named = stops.select(F.col("id").alias("stop_id"), F.lower("name").alias("low"))
+    names = named.select("low").distinct().select("low", F.explode(F.array_distinct(pieces)).alias("gram"))
+    met = w.join(names.hint("merge"), "gram").filter(F.contains("low", "needle")).select("query", "needle", "low")
+    few = top_n(named, ["low"], [F.col("stop_id")], most)
+    return top_n(met.join(few.hint("merge"), "low"), ["query", "needle"], [F.col("low") != F.col("needle"), F.col("stop_id")], most).select("query", "stop_id")
 
 
 def access_stops(points: DataFrame, stops: DataFrame, most_m: float = ACCESS_M, links: DataFrame | None = None) -> DataFrame:
@@ -55,14 +57,14 @@ def access_stops(points: DataFrame, stops: DataFrame, most_m: float = ACCESS_M,
     bands = Bands(most_m)
     located = stops.filter("lat is not null and lng is not null")
     p = points.filter("lat is not null and lng is not null").select("query", F.explode(bands.near(F.col("lat"), F.col("lng"))).alias("c")).select("query", "c.y", "c.x")
-    near = p.join(located.select(F.col("id").alias("stop_id"), bands.band(F.col("lat")).alias("y"), "lng").withColumn("x", bands.cell(F.col("lng"), F.col("y"))), ["y", "x"]).select("query", "stop_id")
+    near = p.join(located.select(F.col("id").alias("stop_id"), bands.band(F.col("lat")).alias("y"), "lng").withColumn("x", bands.cell(F.col("lng"), F.col("y"))).hint("merge"), ["y", "x"]).select("query", "stop_id")
     named = stops_by_name(points.select("query", F.explode("names").alias("name")), stops)
     tagged = points.select("query", "place_id").join(links, "place_id").select("query", "stop_id") if links is not None else None
     where = points.select("query", F.col("lat").alias("lat_q"), F.col("lng").alias("lng_q"))
     at = stops.select(F.col("id").alias("stop_id"), "lat", "lng")
 
     def measured(rows: DataFrame) -> DataFrame:
-        return rows.join(where, "query").join(at, "stop_id").withColumn("m", F.coalesce(distance_m(F.col("lat_q"), F.col("lng_q"), F.col("lat"), F.col("lng")), F.lit(0.0))).select("query", "stop_id", "m")
+        return rows.join(where, "query").join(at.hint("merge"), "stop_id").withColumn("m", F.coalesce(distance_m(F.col("lat_q"), F.col("lng_q"), F.col("lat"), F.col("lng")), F.lit(0.0))).select("query", "stop_id", "m")
 
     both = measured(near).filter(F.col("m") <= most_m).unionByName(measured(named if tagged is None else named.unionByName(tagged))).distinct()
     both = cut(both)
@@ -78,8 +80,7 @@ class Network:
         running = F.sum(F.coalesce("hop_min", F.lit(0))).over(W.partitionBy("trip_id", "segment").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
         on = hops(calls, stops).join(trips.select(F.col("id").alias("trip_id"), "route_id"), "trip_id")
         self.ride = cut(on.select("trip_id", "route_id", "segment", "pos", "stop_id", "departs", running.alias("cum")))
-        pairs = radius_pairs(stops, walk_m).select("a", "b", minutes_of(F.col("metres"), WALK_KMH).alias("walk"))
-        self.walks = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "walk")))
+        self.walks = Walks(stops, walk_m).written()
         self.stops, self.calls = stops, calls
 
 
@@ -115,9 +116,7 @@ def search(starts: DataFrame, net: Network, rounds: int = ROUNDS, banned: DataFr
         ridden = F.struct((F.col("cum") + BOARD_MIN + F.col("b.k")).alias("minutes"), F.col("b.stop_id").alias("frm"), "trip_id", F.col("b.pos").alias("from_pos"), F.col("pos").alias("to_pos"), "route_id", F.col("b.departs").alias("departs"), F.col("departs").alias("arrives"))
         rides = cut(_lowered(at.select("query", "stop_id", ridden.alias("c")), labels))
         labels = cut(_best(labels, rides))
-        onward = rides.select("query", F.col("stop_id").alias("frm"), "minutes").join(net.walks, F.col("frm") == F.col("a"))
-        walked = F.struct((F.col("minutes") + F.col("walk")).alias("minutes"), "frm")
-        walks = cut(_lowered(onward.select("query", F.col("b").alias("stop_id"), walked.alias("c")), labels))
+        walks = cut(_lowered(walked(rides.select("query", "stop_id", "minutes"), net.walks, ("query",)), labels))
         labels = cut(_best(labels, walks))
         found += [rides.withColumn("step", F.lit(2 * number - 1)), walks.withColumns({"step": F.lit(2 * number)} | {k: v for k, v in nothing.items() if k != "frm"})]
         frontier = cut(rides.select("query", "stop_id").unionByName(walks.select("query", "stop_id")).distinct())
@@ -147,7 +146,7 @@ def legs_of(goals: DataFrame, way: DataFrame, origins: DataFrame, targets: DataF
     Walks of more than SHORT_WALK_M to the first stop and from the last one are legs. A fare is the route's share of
     the distance ridden, in whole units, one at least; all of it beyond the trip's own length; none if the route has none.
     """
-    at = lambda c, k: net.stops.select(F.col("id").alias(c), F.col("lat").alias(f"lat_{k}"), F.col("lng").alias(f"lng_{k}"))
+    at = lambda c, k: net.stops.select(F.col("id").alias(c), F.col("lat").alias(f"lat_{k}"), F.col("lng").alias(f"lng_{k}")).hint("merge")
     m = F.coalesce(distance_m(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b")), F.lit(0.0))
     ride, speed = F.col("trip_id").isNotNull(), F.when(F.col("trip_id").isNotNull(), BUS_KMH).otherwise(WALK_KMH)
     mine = way.filter("trip_id is not null").select("trip_id").distinct()
