@@ -118,3 +118,21 @@ def test_points_near_rings(spark, reach):
     near = lambda p, r: inside(*p, r) or any(distance(p, a, b) <= reach for a, b in zip(r, [*r[1:], r[0]], strict=True))
     assert got == sorted((i, k) for i, p in enumerate(pts) for k, r in enumerate(rings) if near(p, r))
     assert polygons.within(df.limit(0), table_of(spark, rings), reach).count() == 0
+
+
+def test_places_meet_a_widened_ring_once(spark):
+    """Stops that share a place share its tests, and a cell held whole needs none: 20,000 stops at 100 places meet a ring in as
+    many rows as there are places and less; repeated points and rings, also two rings of one name, still give each pair once."""
+    rings, rng = {0: [(0, 0), (0, 900_000), (900_000, 900_000), (900_000, 0)], 1: [(-500_000, -500_000), (-500_000, 100_000), (100_000, 100_000), (100_000, -500_000)]}, random.Random(8)
+    places = [(rng.randrange(-800_000, 1_200_000), rng.randrange(-800_000, 1_200_000)) for _ in range(100)]
+    df = spark.createDataFrame([(k, *places[k % 100]) for k in range(20_000)], "id bigint, y bigint, x bigint")
+    near = lambda p, r: inside(*p, r) or any(distance(p, a, b) <= 100_000 for a, b in zip(r, [*r[1:], r[0]], strict=True))
+    want = sorted((i, k) for i in range(20_000) for k, r in rings.items() if near(places[i % 100], r))
+    out = polygons.within(df, table_of(spark, list(rings.values())), 100_000)
+    assert sorted(map(tuple, out.collect())) == want and out._jdf.queryExecution().optimizedPlan().nodeName() != "Aggregate"  # no pair is shuffled
+    held = polygons._reached_cells(table_of(spark, list(rings.values())), 100_000, polygons.CELL)
+    assert held.filter("passed and not held").count() == 0 and held.filter("not held and size(edges) = 0").count() == 0
+    one = spark.createDataFrame([(0, [{"y": y, "x": x} for y, x in r]) for r in rings.values()] * 2, "poly bigint, ring array<struct<y bigint, x bigint>>")
+    again = df.filter("id < 100").unionByName(df.filter("id < 100")).unionByName(spark.createDataFrame([(0, 5, 5)], df.schema))
+    got = sorted(map(tuple, polygons.within(again, one, 100_000).collect()))
+    assert got == sorted({(i, 0) for i, _ in want if i < 100} | {(0, 0)})
