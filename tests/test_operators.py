@@ -437,3 +437,33 @@ def test_structured_pages(spark):
     assert [tuple(r)[3:5] for r in detail.filter("kind = 'field'").collect()] == [("Bus Name", "X Y")]
     both = mapping.up_down(pages.bus_calls(detail)).orderBy("direction", "seq").collect()
     assert [(r["direction"], r["stop"], r["at"]) for r in both] == [("DOWN", "Q", "18:05"), ("DOWN", "P", None), ("UP", "P", "06:10"), ("UP", "Q", "06:40")]
+
+
+def _dealt(df) -> int:
+    """The most tasks over which rows are dealt by number somewhere in the plan of `df`."""
+    import re
+
+    return max((int(n) for n in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())), default=0)
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """What makes pairs, hops or documents of calls is dealt over as many tasks as there are rows for, whatever their bytes."""
+    from types import SimpleNamespace
+
+    from tramline.operators import journey, relational
+    from tramline.plans import versions
+
+    monkeypatch.setattr(relational, "PART", 10)
+    rows = [(t, (t * 7 + s * 3) % 50, 0, s, (t + s * 9) % 1440, None, "OFFICIAL") for t in range(30) for s in range(1, 5)]
+    calls = spark.createDataFrame(rows, "trip_id bigint, stop_id bigint, platform bigint, seq int, minute bigint, departs string, time_source string")
+    stops = spark.createDataFrame([(k, f"s{k}", "p", "t", 22 + k / 100, 88.0) for k in range(50)], "id bigint, name string, provider string, state string, lat double, lng double")
+    origin, some = spark.createDataFrame([(1, 0)], "stop_id bigint, minutes bigint"), spark.createDataFrame([(0,), (20,)], "origin bigint")
+    legs, both = journey.line_legs(calls), journey.two_legs(calls, some)
+    ridden, trips = journey.ride_round(origin, journey.hops(calls, stops)), versions.trip_calls(SimpleNamespace(calls=calls, stops=stops))
+    assert min(_dealt(df) for df in (legs, both, journey.hops(calls, stops), ridden, trips)) >= 13  # of 120 calls, ten a task
+    pairs = {}
+    for t, a, _, s, *_ in rows:
+        for u, b, _, e, *_ in rows:
+            if t == u and s != e:
+                pairs.setdefault((a, b), []).append(max(6, 2 * abs(e - s) + 3))
+    assert sorted(map(tuple, legs.collect())) == sorted((a, b, min(m), len(m)) for (a, b), m in pairs.items())
