@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.operators import staging
-from tramline.operators.relational import dealt, parts
+from tramline.operators.relational import parts
 from tramline.plans.registry import query
 from tramline.session import remove_path, shared_dir
 
@@ -20,7 +20,9 @@ AT = f"SELECT c.trip_id, row_number() OVER (PARTITION BY c.trip_id ORDER BY c.se
 
 def trip_calls(v) -> DataFrame:
     """A row for each trip: its calls with their stops, in order; their places in it are their numbers, from 1."""
-    c = dealt(v.calls, "stop_id").join(v.stops.select(F.col("id").alias("stop_id"), "name", "lat", "lng").hint("merge"), "stop_id").repartition(parts(v.calls.count()), "trip_id")
+    few = parts(v.calls.count())
+    at = v.stops.select(F.col("id").alias("stop_id"), "name", "lat", "lng").repartition(few, "stop_id")
+    c = v.calls.repartition(few, "stop_id").join(at.hint("merge"), "stop_id").repartition(few, "trip_id")
     listed = F.sort_array(F.collect_list(F.struct("seq", "stop_id", "platform", "name", "lat", "lng", "departs")))  # as many as one trip has
     return c.groupBy("trip_id").agg(listed.alias("calls"))
 
