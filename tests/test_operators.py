@@ -467,3 +467,34 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
             if t == u and s != e:
                 pairs.setdefault((a, b), []).append(max(6, 2 * abs(e - s) + 3))
     assert sorted(map(tuple, legs.collect())) == sorted((a, b, min(m), len(m)) for (a, b), m in pairs.items())
+
+
+def test_regional_plan_tasks_grow_with_its_pairs(spark, monkeypatch):
+    """Pairs of rides are dealt by their number, nothing is broadcast, and a call at an unknown stop counts."""
+    import re
+    from types import SimpleNamespace
+
+    from tramline.operators import relational
+    from tramline.plans import pipelines
+
+    monkeypatch.setattr(relational, "PART", 10)
+    rows = [(t, (t * 7 + s * 3) % 50, s) for t in range(30) for s in range(1, 5)] + [(30, 20, 1), (30, 20, 2), (30, None, 3), (None, 0, 1), (None, 1, 2)]
+    calls = spark.createDataFrame(rows, "trip_id bigint, stop_id bigint, seq int")
+    stops = spark.createDataFrame([(k,) for k in range(50) if k != 20], "id bigint")
+    plan = pipelines.graph_regional_plan(SimpleNamespace(calls=calls, stops=stops))
+    legs = {}
+    for t, a, s in rows:
+        for u, b, e in rows:
+            if t is not None and t == u and s < e and a is not None and b is not None:
+                legs[a, b] = min(legs.get((a, b), 99), max(8, 3 * (e - s)))
+    want, pairs = {k: (m, "direct") for k, m in legs.items() if k[0] % 20 == 0 and k[0] != k[1]}, 0
+    for (a, via), m in legs.items():
+        for (b, c), n in legs.items():
+            if a % 20 == 0 and b == via:
+                pairs += 1
+                if a != c and want.get((a, c), (0, "transfer"))[1] == "transfer":
+                    want[a, c] = min(want.get((a, c), (999, "transfer")), (m + 4 + n, "transfer"))
+    assert sorted(map(tuple, plan.collect())) == sorted((*k, *v) for k, v in want.items())
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in text and "ENSURE_REQUIREMENTS" not in text
+    assert max(map(int, re.findall(r"hashpartitioning\([^\n]*?, (\d+)\), REPARTITION_BY_NUM", text))) >= pairs // 20  # ten a task, reckoned from averages
