@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.operators.lifecycle import Snapshots, time_source
 from tramline.operators.relational import distinct_on
-from tramline.session import cut, remove_path
+from tramline.session import cut
 
 KEYS = {"stops": ["provider", "external_id"], "routes": ["provider", "external_id"], "route_stops": ["provider", "route", "sequence"], "trips": ["provider", "external_id"], "stop_times": ["provider", "trip", "sequence"]}
 
@@ -66,39 +67,54 @@ def stage(dataset: DataFrame, version: str) -> dict[str, DataFrame]:
 def gate_errors(staged: dict[str, DataFrame]) -> DataFrame:
     """rule and subject of everything that keeps a version from being promoted, each once; none if it may be.
 
-    The tables are checked as joins and counts between them, so any number of rows and errors is fine.
+    Each table is read once for what it says of its keys (stops, routes, trips), and those are counted in one shuffle, before
+    which each task counts its own; so neither rows nor a key that all of them name meet in one task. Rows are looked up again
+    only for keys that nothing defines.
     """
-    said = lambda rows, rule, subject: rows.select(F.lit(rule).alias("rule"), subject.alias("subject")).distinct()
     nodes, routes, stops, trips, times = (staged[k] for k in ("stops", "routes", "route_stops", "trips", "stop_times"))
-    known = nodes.filter("external_id is not null").select("provider", F.col("external_id").alias("stop")).distinct()
-    ridden = trips.select("provider", F.col("external_id").alias("trip"), F.col("route")).distinct()
-    none = lambda rule, *tables: _none(rule, tables)
-    mixed = nodes.filter("external_id is not null").groupBy("provider", "external_id").agg(F.min("normal_name").alias("a"), F.max("normal_name").alias("b"), F.count_if(F.col("normal_name").isNull()).alias("n"), F.count("normal_name").alias("m"))
-    counts = routes.select("provider", F.col("external_id").alias("route")).distinct().join(stops.groupBy("provider", "route").agg(F.count("*").alias("n")), ["provider", "route"], "left")
+    bad = cut(_keys(nodes, routes, stops, trips, times).filter("conflict or nameless or short or unknown"))
     again = stops.groupBy("provider", "route", "sequence").agg(F.count("*").alias("n")).filter("n > 1")
+    said = lambda rows, rule, subject: rows.select(F.lit(rule).alias("rule"), subject.alias("subject"))
     pair = lambda a, b: F.concat_ws(" > ", F.coalesce(a, F.lit("?")), F.coalesce(F.col(b).cast("string"), F.lit("?")))
     parts = [
-        none("NO_OBSERVATION", staged["observations"]), none("EMPTY", nodes, routes),
-        said(nodes.filter("external_id is null"), "NO_EXTERNAL_ID", F.col("id")),
-        said(mixed.filter("a < b or (n > 0 and m > 0)"), "ID_CONFLICT", F.col("external_id")),
-        said(stops.join(known, ["provider", "stop"], "left_anti"), "UNKNOWN_STOP", pair("route", "stop")),
-        said(counts.filter("coalesce(n, 0) < 2"), "TOO_FEW_STOPS", F.coalesce("route", F.lit("?"))),
-        said(again, "DUPLICATE_SEQUENCE", pair("route", "sequence")),
-        said(trips.join(routes.select("provider", F.col("external_id").alias("route")).distinct(), ["provider", "route"], "left_anti"), "UNKNOWN_ROUTE", pair("external_id", "route")),
-        said(times.join(known, ["provider", "stop"], "left_anti").unionByName(times.join(ridden, ["provider", "trip"], "left_anti")), "UNMAPPED_TIME", pair("trip", "sequence")),
+        said(bad.filter("nameless"), "NO_EXTERNAL_ID", F.col("key")), said(bad.filter("conflict"), "ID_CONFLICT", F.col("key")),
+        said(bad.filter("short"), "TOO_FEW_STOPS", F.coalesce("key", F.lit("?"))), said(again, "DUPLICATE_SEQUENCE", pair("route", "sequence")),
     ]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    named = {(r["space"], by) for r in bad.filter("unknown").groupBy("space").agg(*[F.sum(k).alias(k) for k in ("route_stops", "trips", "stop_times")]).collect() for by in ("route_stops", "trips", "stop_times") if r[by]}  # three rows at most
+    for space, by, key, rule, subject in (("stop", "route_stops", "stop", "UNKNOWN_STOP", pair("route", "stop")), ("route", "trips", "route", "UNKNOWN_ROUTE", pair("external_id", "route")), ("stop", "stop_times", "stop", "UNMAPPED_TIME", pair("trip", "sequence")), ("trip", "stop_times", "trip", "UNMAPPED_TIME", pair("trip", "sequence"))):
+        if (space, by) in named:
+            none = bad.filter((F.col("space") == space) & F.col("unknown") & (F.col(by) > 0)).select(F.col("provider").alias("of"), "key")
+            parts.append(said(staged[by].join(none, F.col("provider").eqNullSafe(F.col("of")) & F.col(key).eqNullSafe(F.col("key")), "left_semi"), rule, subject))
+    empty = [rule for rule, tables in (("NO_OBSERVATION", [staged["observations"]]), ("EMPTY", [nodes, routes])) if all(t.isEmpty() for t in tables)]
+    parts.append(nodes.sparkSession.createDataFrame([(rule, "version") for rule in empty], "rule string, subject string"))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def _none(rule: str, tables: tuple[DataFrame, ...]) -> DataFrame:
-    """One row if all tables are empty."""
-    found = tables[0].agg(F.count("*").alias("n"))
-    for t in tables[1:]:
-        found = found.unionByName(t.agg(F.count("*").alias("n")))
-    return found.agg(F.sum("n").alias("n")).filter("n = 0").select(F.lit(rule).alias("rule"), F.lit("version").alias("subject"))
+def _keys(nodes: DataFrame, routes: DataFrame, stops: DataFrame, trips: DataFrame, times: DataFrame) -> DataFrame:
+    """What the staged tables say of each key (space, provider, key): how many of each name it, and whether that breaks a gate.
+
+    A null key or a null provider defines nothing. Nodes without a key are a space of their own, by their ids.
+    """
+
+    def facts(rows: DataFrame, by: str, *keys: tuple[str, str], name: Column | None = None) -> DataFrame:
+        text = F.lit(None).cast("string") if name is None else name
+        each = rows.select("provider", text.alias("name"), F.explode(F.array(*[F.struct(F.lit(space).alias("space"), F.expr(key).alias("key")) for space, key in keys])).alias("k"))
+        return each.select("k.space", "provider", "k.key", F.lit(by).alias("by"), "name")
+
+    said = [
+        facts(nodes.filter("external_id is not null"), "nodes", ("stop", "external_id"), name=F.col("normal_name")), facts(nodes.filter("external_id is null"), "nodes", ("none", "id")), facts(routes, "routes", ("route", "external_id")),
+        facts(stops, "route_stops", ("stop", "stop"), ("route", "route")), facts(trips, "trips", ("trip", "external_id"), ("route", "route")), facts(times, "stop_times", ("stop", "stop"), ("trip", "trip")),
+    ]
+    by, kinds = F.col("by"), ("nodes", "routes", "route_stops", "trips", "stop_times")
+    named = reduce(DataFrame.unionByName, said).groupBy("space", "provider", "key", "name").agg(*[F.count_if(by == k).alias(k) for k in kinds])
+    keys = named.groupBy("space", "provider", "key").agg(*[F.sum(k).alias(k) for k in kinds], F.count_if(F.col("nodes") > 0).alias("names"))
+    space, lost = F.col("space"), F.col("provider").isNull() | F.col("key").isNull()
+    own = F.when(space == "stop", F.col("nodes")).when(space == "route", F.col("routes")).otherwise(F.col("trips"))
+    asked = F.when(space == "stop", F.col("route_stops") + F.col("stop_times")).when(space == "route", F.col("trips")).when(space == "trip", F.col("stop_times")).otherwise(0)
+    return keys.select(
+        "space", "provider", "key", "route_stops", "trips", "stop_times", (space == "none").alias("nameless"), ((space == "stop") & (F.col("names") > 1)).alias("conflict"),
+        ((space == "route") & (F.col("routes") > 0) & (lost | (F.col("route_stops") < 2))).alias("short"), ((asked > 0) & ((own == 0) | lost)).alias("unknown"),
+    )
 
 
 class Network(Snapshots):
@@ -117,20 +133,10 @@ class Network(Snapshots):
 
         Stops, routes and trips take the place of those with their key; a route's stops and a trip's times are
         replaced as a whole, and what the version doesn't name stays. Of staged rows with one key the last id wins. What
-        fails before the pointer is there leaves the version before as it was. The staged copy is removed in the end, whether
-        promoted or refused, so only what was promoted stays.
+        fails before the pointer is there leaves the version before as it was. The staged tables are read for the gates and again
+        to be merged, without a copy of their own: they must come from stored rows, and only what was promoted stays.
         """
-        folder = f"{self.root}/staged-{uuid.uuid4().hex}"
-        try:
-            return self._promote(staged, version, folder)
-        finally:
-            remove_path(self.spark, folder)
-
-    def _promote(self, staged: dict[str, DataFrame], version: str, folder: str) -> str:
         number = self._last()
-        for name, rows in staged.items():
-            rows.write.option("compression", "zstd").parquet(f"{folder}/{name}")  # ids are hex digits, half of which it saves
-        staged = {name: self.spark.read.schema(rows.schema).parquet(f"{folder}/{name}") for name, rows in staged.items()}
         errors = cut(gate_errors(staged))
         if not errors.isEmpty():
             raise Refused(version, errors)

@@ -20,33 +20,38 @@ AT = f"SELECT c.trip_id, row_number() OVER (PARTITION BY c.trip_id ORDER BY c.se
 
 def trip_calls(v) -> DataFrame:
     """A row for each trip: its calls with their stops, in order; their places in it are their numbers, from 1."""
-    few = parts(v.calls.count())
+    few = parts(4 * v.calls.count())  # of each call a node, a stop and a time are made
     at = v.stops.select(F.col("id").alias("stop_id"), "name", "lat", "lng").repartition(few, "stop_id")
     c = v.calls.repartition(few, "stop_id").join(at.hint("merge"), "stop_id").repartition(few, "trip_id")
     listed = F.sort_array(F.collect_list(F.struct("seq", "stop_id", "platform", "name", "lat", "lng", "departs")))  # as many as one trip has
     return c.groupBy("trip_id").agg(listed.alias("calls"))
 
 
-def documents(trips: DataFrame, node: Column | None = None, least: int = 1, known: Callable[[Column], Column] | None = None) -> DataFrame:
-    """A document for each of trip_calls(): its stops, a route pattern of their order, the trip with its times, one observation.
+def told(node: Column | None = None, least: int = 1, known: Callable[[Column], Column] | None = None) -> dict[str, Column]:
+    """The columns of a document of trip_calls(): its stops, a route pattern of their order, the trip with its times, one observation.
 
     Every tenth stop has no id of its provider. The others change what is told: the stops' ids, the least place in the order,
     the stops among the nodes. Each row is made of its own trip alone, so nothing is shuffled.
     """
     own = lambda x: F.when(x["stop_id"] % 10 != 3, F.concat(F.lit("S"), x["stop_id"].cast("string"))) if node is None else node
-    call = lambda x, i: F.struct(F.greatest(i + 1, F.lit(least)).alias("at"), own(x).alias("ext"), x["name"].alias("name"), x["lat"].alias("lat"), x["lng"].alias("lng"), x["departs"].alias("departs"), (F.lit(True) if known is None else known(x)).alias("known"))
-    docs = trips.select("trip_id", F.transform("calls", call).alias("calls"))
+    at = lambda i: F.greatest(i + 1, F.lit(least))
     name = lambda p: F.concat(F.lit(p), F.col("trip_id").cast("string"))
-    node_of = lambda x: F.struct(x["ext"].alias("externalId"), x["name"].alias("name"), F.lower(x["name"]).alias("normalizedName"), x["lat"].alias("latitude"), x["lng"].alias("longitude"))
-    stop_of = lambda x: F.struct(x["ext"].alias("nodeExternalId"), x["name"].alias("name"), x["at"].alias("sequence"))
-    time_of = lambda x: F.struct(x["ext"].alias("stopExternalId"), x["name"].alias("stopName"), x["at"].alias("sequence"), F.lit(None).cast("string").alias("arrivalTime"), x["departs"].alias("departureTime"), (x["at"] % 2 == 0).alias("timeIsEstimated"))
+    node_of = lambda x: F.struct(own(x).alias("externalId"), x["name"].alias("name"), F.lower(x["name"]).alias("normalizedName"), x["lat"].alias("latitude"), x["lng"].alias("longitude"))
+    stop_of = lambda x, i: F.struct(own(x).alias("nodeExternalId"), x["name"].alias("name"), at(i).alias("sequence"))
+    time_of = lambda x, i: F.struct(own(x).alias("stopExternalId"), x["name"].alias("stopName"), at(i).alias("sequence"), F.lit(None).cast("string").alias("arrivalTime"), x["departs"].alias("departureTime"), (at(i) % 2 == 0).alias("timeIsEstimated"))
     pattern = F.struct(name("R").alias("externalId"), name("r").alias("shortName"), name("Route ").alias("longName"), F.lit(None).cast("string").alias("operationalStatus"), F.transform("calls", stop_of).alias("stops"))
     trip = F.struct(name("T").alias("externalId"), name("t").alias("serviceName"), name("R").alias("routeExternalId"), F.lit("ACTIVE").alias("operationalStatus"), F.transform("calls", time_of).alias("stopTimes"))
     seen = F.struct(name("trip-").alias("sourceRecordId"), F.lit(0.9).alias("confidence"))
-    return docs.select(
-        F.lit("p").alias("provider"), F.col("trip_id").cast("string").alias("document"), F.array(seen).alias("observations"), F.transform(F.filter("calls", lambda x: x["known"]), node_of).alias("nodes"),
-        F.array(pattern).alias("routePatterns"), F.array(trip).alias("trips"),
-    )
+    nodes = F.col("calls") if known is None else F.filter("calls", known)
+    return {
+        "provider": F.lit("p"), "document": F.col("trip_id").cast("string"), "observations": F.array(seen), "nodes": F.transform(nodes, node_of),
+        "routePatterns": F.array(pattern), "trips": F.array(trip),
+    }
+
+
+def documents(trips: DataFrame) -> DataFrame:
+    """A document for each of trip_calls(), beside its calls."""
+    return trips.withColumns(told())
 
 
 @query(f"""WITH a AS ({AT}), e AS (SELECT 'stops' AS kind, node AS external_id FROM a UNION ALL SELECT DISTINCT 'routes', 'R' || trip_id FROM a UNION ALL SELECT DISTINCT 'trips', 'T' || trip_id FROM a UNION ALL SELECT DISTINCT 'observations', 'trip-' || trip_id FROM a
@@ -74,14 +79,15 @@ def lc_promote(v):
     """
     root = f"{shared_dir(v.spark)}/promote-{uuid.uuid4().hex}"
     net = staging.Network(v.spark, root)
-    trip_calls(v).write.parquet(f"{root}-calls")  # the one shuffle; every version is a selection of these rows
-    every = v.spark.read.parquet(f"{root}-calls")
+    documents(trip_calls(v)).write.parquet(f"{root}-documents")  # the one shuffle; every version is a selection of these rows, with some columns told otherwise
+    every = v.spark.read.parquet(f"{root}-documents")
     good = every.filter(F.size("calls") > 1)
+    some = lambda docs, columns, *names: docs.withColumns({k: columns[k] for k in names})
     part = good.filter("trip_id % 2 = 0").withColumn("calls", F.slice("calls", 1, 2))
-    unseen = documents(good).withColumn("observations", F.slice("observations", 1, 0))
+    unseen = good.withColumn("observations", F.slice("observations", 1, 0))
     versions = {
-        "first": documents(good), "short": documents(every), "unknown": documents(good, known=lambda x: x["stop_id"] % 7 != 0), "twice": documents(good, least=2),
-        "conflict": documents(good, node=F.lit("S1")), "unseen": unseen, "nothing": unseen.limit(0), "second": documents(part),
+        "first": good, "short": every, "unknown": some(good, told(known=lambda x: x["stop_id"] % 7 != 0), "nodes"), "twice": some(good, told(least=2), "routePatterns", "trips"),
+        "conflict": some(good, told(node=F.lit("S1")), "nodes", "routePatterns", "trips"), "unseen": unseen, "nothing": unseen.limit(0), "second": some(part, told(), "nodes", "routePatterns", "trips"),
     }
     said = []
     for name, docs in versions.items():
@@ -89,7 +95,7 @@ def lc_promote(v):
             net.promote_all(staging.stage(docs, name), name)
         except staging.Refused as refused:
             said.append(refused.errors.groupBy(F.col("rule").alias("what")).agg(F.count("*").alias("n")).withColumn("step", F.lit(name)))
-    remove_path(v.spark, f"{root}-calls")
+    remove_path(v.spark, f"{root}-documents")
     active = net.tables()
     counts = {k: df for k, df in active.items()} | {"estimated": active["stop_times"].filter("time_source = 'INTERPOLATED'"), "scraped": active["stop_times"].filter("time_source = 'SCRAPED'")}
     out = [df.agg(F.count("*").alias("n")).select(F.lit("active").alias("step"), F.lit(k).alias("what"), "n") for k, df in counts.items()]
