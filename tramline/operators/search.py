@@ -9,6 +9,8 @@ travels through the rounds, and nothing comes to the driver.
 
 from __future__ import annotations
 
+import uuid
+import weakref
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,9 +22,10 @@ from tramline.operators.journey import ACCESS_M, BOARD_MIN, BUS_KMH, WALK_KMH, W
 from tramline.operators.relational import top_n
 from tramline.operators.spatial import Bands
 from tramline.operators.timetable import hop_metres
-from tramline.session import cut
+from tramline.session import cut, remove_path, shared_dir
 
 ROUNDS, OPTIONS, NAMES, SHORT_WALK_M = 3, 4, 12, 50
+HELD = 500_000  # stops or trips that are broadcast to keep other rows out of a shuffle
 GRAM = 3  # characters by which a name is looked for inside others
 
 
@@ -74,15 +77,39 @@ def access_stops(points: DataFrame, stops: DataFrame, most_m: float = ACCESS_M,
 
 
 class Network:
-    """What all rounds read, written once: rides with running minutes, walks both ways, lengths of trips."""
+    """What all rounds read, written once: rides with running minutes (packed, in a folder that goes with the network), walks both ways."""
 
     def __init__(self, calls: DataFrame, trips: DataFrame, stops: DataFrame, walk_m: float = WALK_M):
+        spark, folder = calls.sparkSession, f"{shared_dir(calls.sparkSession)}/rides-{uuid.uuid4().hex}"
+        weakref.finalize(self, remove_path, spark, folder).atexit = False
         running = F.sum(F.coalesce("hop_min", F.lit(0))).over(W.partitionBy("trip_id", "segment").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-        on = hops(calls, stops).join(trips.select(F.col("id").alias("trip_id"), "route_id"), "trip_id")
-        self.ride = cut(on.select("trip_id", "route_id", "segment", "pos", "stop_id", "departs", running.alias("cum")))
+        on = hops(calls, stops).join(trips.select(F.col("id").alias("trip_id"), "route_id").hint("merge"), "trip_id")
+        on.select("trip_id", "route_id", "segment", "pos", "stop_id", "departs", running.alias("cum")).write.parquet(folder)
+        self.ride = spark.read.parquet(folder)
         self.walks = Walks(stops, walk_m).written()
         self.stops, self.calls = stops, calls
 
+    def around(self, at: DataFrame) -> DataFrame:
+        """`at` (query, stop_id) and the stops from which a walk leads there."""
+        places = at.join(self.walks.at.hint("merge"), "stop_id").select("query", "lat", "lng").distinct()
+        near = places.join(self.walks.pairs.hint("merge"), (F.col("lat") == F.col("lat_a")) & (F.col("lng") == F.col("lng_a"))).select("query", F.col("lat_b").alias("lat"), F.col("lng_b").alias("lng"))
+        return at.unionByName(places.unionByName(near).distinct().join(self.walks.at.hint("merge"), ["lat", "lng"]).select("query", "stop_id")).distinct()
+
+    def trips_at(self, at: DataFrame) -> DataFrame:
+        """query, trip_id, route_id and segment of the rides that call at the stops of `at` (query, stop_id)."""
+        calls = _held(self.ride.select("stop_id", "trip_id", "route_id", "segment"), at, "stop_id")
+        return at.join(calls.hint("merge"), "stop_id").select("query", "trip_id", "route_id", "segment").distinct()
+
+    def calls_of(self, touched: DataFrame) -> DataFrame:
+        """The calls of the rides `touched` (query, trip_id, route_id, segment), for each query that rides them."""
+        return touched.join(_held(self.ride.drop("route_id"), touched, "trip_id").hint("merge"), ["trip_id", "segment"])
+
+
+def _held(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """`rows` whose key `wanted` has, before they are shuffled: only if there are at most HELD keys, which are then broadcast; else all."""
+    keys = cut(wanted.select(key).distinct())
+    return rows.join(F.broadcast(keys), key, "left_semi") if keys.count() <= HELD else rows
+
 
 def _lowered(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     """The best candidate of each query and stop, where it is below the label."""
@@ -95,30 +122,45 @@ def _best(*tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.select("query", "stop_id", "minutes") for t in tables]).groupBy("query", "stop_id").agg(F.min("minutes").alias("minutes"))
 
 
-def search(starts: DataFrame, net: Network, rounds: int = ROUNDS, banned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def search(starts: DataFrame, net: Network, rounds: int = ROUNDS, banned: DataFrame | None = None, ends: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Labels (query, stop_id, minutes) and predecessors (query, stop_id, step, minutes, frm, trip_id, route_id, from_pos, to_pos, departs, arrives).
 
     `starts` has query, stop_id and minutes; `banned` has query and route_id of routes that a query may not ride. In a
     round only trips through stops that the round before lowered are ridden; on a trip, each query has a running minimum of
     its places to board, so no pair of calls is made. Ties go to the earlier place to board, then to smaller ids.
+
+    With `ends` (query, stop_id) only the ways to those are looked for: the last round rides only what calls at one of them or a walk away,
+    and of the round before only what is boarded there, or is an end, goes on. Ways to the ends are the same; other labels aren't all lowered.
     """
     labels = frontier = cut(_best(starts))
     nothing = {c: F.lit(None).cast(t) for c, t in (("frm", "bigint"), ("trip_id", "bigint"), ("route_id", "bigint"), ("from_pos", "int"), ("to_pos", "int"), ("departs", "string"), ("arrives", "string"))}
     found = [labels.withColumns({"step": F.lit(0), **nothing})]
+    goal = kept = final = before = None
+    if ends is not None:
+        goal = cut(ends.select("query", "stop_id").distinct())
+        final = cut(net.around(goal))
+        last = cut(net.trips_at(final))
+        kept = cut(net.calls_of(last).select("query", "stop_id").unionByName(goal).distinct())
+        before = cut(net.around(kept))
     for number in range(1, rounds + 1):
-        touched = frontier.join(net.ride.select("stop_id", "trip_id", "route_id", "segment"), "stop_id").select("query", "trip_id", "route_id", "segment").distinct()
+        left = rounds - number if ends is not None else None
+        touched = last if left == 0 else net.trips_at(frontier)
         if banned is not None:
             touched = touched.join(banned, ["query", "route_id"], "left_anti")
-        on = touched.join(net.ride.drop("route_id"), ["trip_id", "segment"]).join(labels, ["query", "stop_id"], "left")
+        on = net.calls_of(touched if left == 0 and banned is None else cut(touched)).join(labels, ["query", "stop_id"], "left")
         start = F.when(F.col("minutes").isNotNull(), F.struct((F.col("minutes") - F.col("cum")).alias("k"), "pos", "stop_id", "departs"))
         best = F.min(start).over(W.partitionBy("query", "trip_id", "segment").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
         at = on.withColumn("b", best).filter("b is not null")
         ridden = F.struct((F.col("cum") + BOARD_MIN + F.col("b.k")).alias("minutes"), F.col("b.stop_id").alias("frm"), "trip_id", F.col("b.pos").alias("from_pos"), F.col("pos").alias("to_pos"), "route_id", F.col("b.departs").alias("departs"), F.col("departs").alias("arrives"))
-        rides = cut(_lowered(at.select("query", "stop_id", ridden.alias("c")), labels))
+        lowered = _lowered(at.select("query", "stop_id", ridden.alias("c")), labels)
+        rides = cut(lowered if left not in (0, 1) else lowered.join((before if left else final).hint("merge"), ["query", "stop_id"], "left_semi"))
         labels = cut(_best(labels, rides))
-        walks = cut(_lowered(walked(rides.select("query", "stop_id", "minutes"), net.walks, ("query",)), labels))
+        lowered = _lowered(walked(rides.select("query", "stop_id", "minutes"), net.walks, ("query",)), labels)
+        walks = cut(lowered if left not in (0, 1) else lowered.join((kept if left else goal).hint("merge"), ["query", "stop_id"], "left_semi"))
         labels = cut(_best(labels, walks))
         found += [rides.withColumn("step", F.lit(2 * number - 1)), walks.withColumns({"step": F.lit(2 * number)} | {k: v for k, v in nothing.items() if k != "frm"})]
+        if number == rounds:
+            break
         frontier = cut(rides.select("query", "stop_id").unionByName(walks.select("query", "stop_id")).distinct())
     return labels, cut(reduce(DataFrame.unionByName, found))
 
@@ -179,7 +221,7 @@ def plan(origins: DataFrame, targets: DataFrame, net: Network, routes: DataFrame
     A query whose best way has no hop and no walk has no leg. `routes` has id and fare.
     """
     starts, ends = stops or (access_stops(origins, net.stops), access_stops(targets, net.stops))
-    return cut(legs_of(*walk_back(*search(starts, net, rounds, banned), ends, rounds), origins, targets, net, routes))
+    return cut(legs_of(*walk_back(*search(starts, net, rounds, banned, ends), ends, rounds), origins, targets, net, routes))
 
 
 def alternatives(origins: DataFrame, targets: DataFrame, net: Network, routes: DataFrame, most: int = OPTIONS, rounds: int = ROUNDS) -> DataFrame:
